@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posemill.llm import line_dedup
+from posemill.llm import line_dedup, sharding
 from posemill.llm.common import table
 
 
@@ -15,12 +15,23 @@ def hex_sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return sharding.assign_shards(rows, "doc_id", shards=8, slack=0.0).withColumns(
+        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", hex_sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
 

@@ -220,7 +220,7 @@ def _pack_level(rows: DataFrame, capacity: int, chunk_pieces: int, first_chunk:
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("number", ignore_index=True)
         where, offset, full = pack_chunk(group["size"].tolist(), capacity)
-        return pd.DataFrame({"number": group["number"], "sequence_id": (group["chunk"] << 24) + where, "offset": offset, "fill": full})
+        return pd.DataFrame({"number": group["number"], "sequence_id": group["chunk"].to_numpy() * (1 << 24) + where, "offset": offset, "fill": full})
 
     placed = dealt.select("chunk", "number", "size").groupBy("chunk").applyInPandas(fill, "number long, sequence_id long, offset long, fill long")
     return rows.join(placed, "number").select("row", "size", "number", "sequence_id", "offset", "fill")

@@ -7,8 +7,6 @@ out of place each is in the profile, or the greatest penalty where it is missing
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,62 +18,41 @@ from pyspark.sql import functions as F
 PROFILE_SIZE = 400
 #: N-grams are counted in this many hashed places; far more than a profile holds.
 PLACES = 1 << 16
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS, _CACHE_CHARS = 200_000, 24
 UNDECIDED = "und"
-
-
-def _grams(word: str) -> np.ndarray:
-    """The hashed 1- to 3-grams of a lower-case word between blanks, each as often as it occurs."""
-    code = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    a = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    two = (a[:-1] ^ (a[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + a[1:]
-    three = (two[:-1] ^ (two[:-1] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) + a[2:]
-    every = np.concatenate((a[1:-1], two, three))
-    every = (every ^ (every >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (every >> np.uint64(48)).astype(np.int32)
-
-
-class GramCounter:
-    """Counts a text's n-grams; the n-grams of short words are kept between texts."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def counts(self, text: str) -> np.ndarray | None:
-        """Counts by place, or None for a text without letters."""
-        words = _WORD.findall(text.lower())
-        if not text.isascii():  # the pattern also takes numbers that are no decimal digits
-            words = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
-        if not words:
-            return None
-        parts, known = [], self.known
-        if len(words) < 2000:
-            for word in words:
-                parts.append(self._of(word))
-            return np.bincount(np.concatenate(parts), minlength=PLACES)
-        total = np.zeros(PLACES)
-        tally = Counter(words)
-        for n, group in _by_count(tally):
-            total += n * np.bincount(np.concatenate([self._of(w) for w in group]), minlength=PLACES)
-        return total.astype(np.int64)
-
-    def _of(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = _grams(word)
-            if len(word) <= _CACHE_CHARS:
-                if len(self.known) >= _CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-
-def _by_count(tally: Counter) -> Iterator[tuple[int, list[str]]]:
-    groups: dict[int, list[str]] = {}
-    for word, n in tally.items():
-        groups.setdefault(n, []).append(word)
-    yield from groups.items()
+_LETTER: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
+
+
+def gram_counts(text: str) -> np.ndarray | None:
+    """The counts of a text's 1- to 3-grams by hashed place, or None for a text without letters. All that is no letter
+    is a blank, runs of blanks are one, and no gram reaches over a blank."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[code]
+    if not letter.any():
+        return None
+    last = np.zeros(len(code) + 2, bool)
+    last[1:-1] = letter
+    keep = last.copy()
+    keep[1:] |= last[:-1]
+    keep[:-1] |= last[1:]
+    line = np.zeros(len(code) + 2, np.uint32)
+    line[1:-1] = np.where(letter, code, 0)
+    line = line[keep]
+    blank = line == 0
+    once = ~(blank[1:] & blank[:-1])  # two words may be kept with two blanks between them
+    line = np.concatenate((line[:1], line[1:][once]))
+    one = (line + np.uint32(1)) * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + one[1:]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE35) + one[2:]
+    every = np.concatenate((one[line != 0], two, three[line[1:-1] != 0]))
+    every = (every ^ (every >> np.uint32(16))) * np.uint32(0x27D4EB2F)
+    return np.bincount(every >> np.uint32(16), minlength=PLACES)
 
 
 def ranked(counts: np.ndarray, size: int = PROFILE_SIZE) -> np.ndarray:
@@ -121,10 +98,10 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", rows_p
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit("profile")), F.lit(full)) < F.element_at(bound, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total = GramCounter(), {}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, g in zip(batch.column("text"), batch.column("lang")):
-                found = counter.counts(t.as_py())
+                found = gram_counts(t.as_py())
                 if found is not None:
                     total[g.as_py()] = total.get(g.as_py(), 0) + found
         for g, found in total.items():
@@ -153,9 +130,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     languages, packed = profiles.languages, profiles.ranks.astype(np.int16)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, own = GramCounter(), Profiles(languages, packed)
+        own = Profiles(languages, packed)
         for batch in batches:
-            said = [own.predict(counter.counts(t.as_py() or "")) for t in batch.column(text)]
+            said = [own.predict(gram_counts(t.as_py() or "")) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
                 [*names, "lang_pred", "score"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from posemill.llm.tokens import encode_all, load
+from posemill.llm.tokens import SplitEncoder, encode_all, load
 
 LEAF_CHARS = 4096
 FIRST_WINDOW = 48
@@ -43,6 +43,7 @@ class TreeEncoder:
     def __init__(self, tokenizer: Tokenizer, leaf_chars: int = LEAF_CHARS, first_window: int = FIRST_WINDOW):
         self.tokenizer, self.leaf_chars, self.first_window = tokenizer, leaf_chars, first_window
         self.sizes = self._sizes()
+        self.leaves = SplitEncoder(tokenizer)
         self.whole = [added.content for added in tokenizer.get_added_tokens_decoder().values()]
 
     def _sizes(self) -> np.ndarray:
@@ -57,8 +58,8 @@ class TreeEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= self.leaf_chars]
-        for i, ids in zip(short, encode_all(self.tokenizer, [texts[i] for i in short])):
-            out[i] = ids
+        for i, ids in zip(short, self.leaves.encode([texts[i] for i in short])):
+            out[i] = ids.tolist()
         long = [i for i, t in enumerate(texts) if len(t) > self.leaf_chars]
         for i, ids in zip(long, self._trees([texts[i] for i in long])):
             out[i] = ids
@@ -66,7 +67,7 @@ class TreeEncoder:
 
     def _trees(self, texts: list[str]) -> list[list[int]]:
         leaves = [_halved(t, self.leaf_chars, self.whole) for t in texts]
-        encoded = iter(encode_all(self.tokenizer, [leaf for own in leaves for leaf in own]))
+        encoded = iter(self.leaves.encode([leaf for own in leaves for leaf in own]))
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         levels: list[list[Part]] = []
         for own in leaves:
@@ -82,7 +83,7 @@ class TreeEncoder:
             levels = [[made.get((t, k), parts[k]) for k in range(0, len(parts), 2)] for t, parts in enumerate(levels)]
         return [parts[0].ids.tolist() for parts in levels]
 
-    def _part(self, low: int, ids: list[int]) -> Part:
+    def _part(self, low: int, ids: list[int] | np.ndarray) -> Part:
         own = np.array(ids, np.int64)
         ends = low + np.cumsum(self.sizes[own])
         return Part(low, int(ends[-1]) if len(ends) else low, own, ends)

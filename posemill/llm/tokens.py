@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -14,6 +17,8 @@ CALL_CHARS = 400_000
 
 def load(path: str) -> Tokenizer:
     if path not in _LOADED:
+        # Tasks already use all cores; threads inside them cost more than they bring.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
@@ -59,3 +64,37 @@ class ChunkEncoder:
         if not long:
             return [b"".join(map(kept.__getitem__, chunks)) for chunks in split]
         return [b"".join([kept[c] if c in kept else long[c] for c in chunks]) for chunks in split]
+
+
+#: How byte-level BPE splits a text before merging, and characters on whose classes all regex engines agree.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = r"[\t\n\x0b\x0c\r -~\xa1-\u024f\u2010-\u2027]*"
+
+
+class SplitEncoder:
+    """For byte-level BPE: merges never cross the splits, so each distinct split is encoded once and kept. Texts with
+    other than plain characters, or with an added token, go to the library whole. Gives ids as 32-bit arrays."""
+
+    def __init__(self, tokenizer: Tokenizer, most_kept: int = 600_000, most_chars: int = 32):
+        self.tokenizer, self.most_kept, self.most_chars = tokenizer, most_kept, most_chars
+        self.split, self.plain = regex.compile(BYTE_LEVEL_SPLIT).findall, re.compile(PLAIN).fullmatch
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(a in t for a in self.added)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
+            out[i] = np.array(ids, "<u4")
+        kept = self.kept
+        if len(kept) >= self.most_kept:
+            kept.clear()
+        splits = [(i, self.split(t)) for i, t in enumerate(texts) if out[i] is None]
+        new = list({s for _, own in splits for s in own if s not in kept})
+        long: dict[str, bytes] = {}
+        for s, ids in zip(new, encode_all(self.tokenizer, new)):
+            (kept if len(s) <= self.most_chars else long)[s] = np.array(ids, "<u4").tobytes()
+        for i, own in splits:
+            found = map(kept.__getitem__, own) if not long else [kept[s] if s in kept else long[s] for s in own]
+            out[i] = np.frombuffer(b"".join(found), "<u4")
+        return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posemill.llm.common import written
-from posemill.llm.tokens import ChunkEncoder
+from posemill.llm.tokens import WordEncoder
 
 CHUNK_PIECES = 8192
 SEPARATOR = 1
@@ -32,7 +32,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separa
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path)
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)

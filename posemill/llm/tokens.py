@@ -1,4 +1,4 @@
-"""Tokenizers by file, loaded once in each worker process, and exact encoding by cached white-space chunks."""
+"""Tokenizers by file, loaded once in each worker process, and exact encoding by kept words."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -42,33 +41,60 @@ def encode_all(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
     return out
 
 
-class ChunkEncoder:
-    """For tokenizers that drop white space: ids of a text are those of its chunks between ASCII white space, so each
-    distinct chunk is encoded once and kept. Gives ids as little-endian unsigned 32-bit bytes."""
+#: Characters on whose classes all regex engines agree, the letters and numbers among them, and with those
+#: how the tokenizers with word ends (after folding case) and those of byte level split a text before merging.
+PLAIN = r"[\t\n\x0b\x0c\r -~\xa1-\u017f\u2010-\u2027]*"
+LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD_SPLIT = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
+BYTE_LEVEL_SPLIT = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+
+
+def encode_words(tokenizer: Tokenizer, words: list[str], ends: np.ndarray) -> list[bytes]:
+    """The ids of each word as bytes, for words that the tokenizer splits no further: many words in one call, cut after
+    the tokens that end a word (ends[id])."""
+    out: list[bytes] = []
+    for low in range(0, len(words), 20_000):
+        part = words[low:low + 20_000]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+        if len(cuts) == len(part):
+            data = ids.tobytes()
+            out += [data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts)]
+        else:
+            out += [np.array(x, "<u4").tobytes() for x in encode_all(tokenizer, part)]
+    return out
+
+
+class WordEncoder:
+    """For tokenizers that fold case, drop white space and mark word ends: the ids of a text are those of its words, and
+    each distinct word is encoded once and kept. Texts with other than plain characters, or with an added token, go to
+    the library whole. Gives ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most_kept: int = 400_000, most_bytes: int = 48):
-        self.tokenizer, self.most_kept, self.most_bytes = load(path), most_kept, most_bytes
-        self.kept: dict[bytes, bytes] = {}
+    def __init__(self, path: str, most_kept: int = 600_000, most_chars: int = 40):
+        self.tokenizer, self.most_kept, self.most_chars = load(path), most_kept, most_chars
+        self.split, self.plain = re.compile(WORD_SPLIT).findall, re.compile(PLAIN).fullmatch
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(a in t for a in self.added)]
+        out: list[bytes | None] = [None] * len(texts)
+        for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
+            out[i] = np.array(ids, "<u4").tobytes()
         kept = self.kept
         if len(kept) >= self.most_kept:
             kept.clear()
-        new = {c for chunks in split for c in chunks if c not in kept}
-        long = {}
-        if new:
-            ordered = list(new)
-            for chunk, ids in zip(ordered, encode_all(self.tokenizer, [c.decode("utf-8", "replace") for c in ordered])):
-                (kept if len(chunk) <= self.most_bytes else long)[chunk] = np.array(ids, "<u4").tobytes()
-        if not long:
-            return [b"".join(map(kept.__getitem__, chunks)) for chunks in split]
-        return [b"".join([kept[c] if c in kept else long[c] for c in chunks]) for chunks in split]
-
-
-#: How byte-level BPE splits a text before merging, and characters on whose classes all regex engines agree.
-BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN = r"[\t\n\x0b\x0c\r -~\xa1-\u024f\u2010-\u2027]*"
+        splits = [(i, self.split(t.lower())) for i, t in enumerate(texts) if out[i] is None]
+        new = list({w for _, own in splits for w in own if w not in kept})
+        long: dict[str, bytes] = {}
+        for word, ids in zip(new, encode_words(self.tokenizer, new, self.ends)):
+            (kept if len(word) <= self.most_chars else long)[word] = ids
+        for i, own in splits:
+            out[i] = b"".join(map(kept.__getitem__, own) if not long else [kept[w] if w in kept else long[w] for w in own])
+        return out
 
 
 class SplitEncoder:
@@ -77,9 +103,26 @@ class SplitEncoder:
 
     def __init__(self, tokenizer: Tokenizer, most_kept: int = 600_000, most_chars: int = 32):
         self.tokenizer, self.most_kept, self.most_chars = tokenizer, most_kept, most_chars
-        self.split, self.plain = regex.compile(BYTE_LEVEL_SPLIT).findall, re.compile(PLAIN).fullmatch
+        self.split, self.plain = re.compile(BYTE_LEVEL_SPLIT).findall, re.compile(PLAIN).fullmatch
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.line_end = encode_all(tokenizer, ["\n"])[0]
+
+    def _encode(self, splits: list[str]) -> list[bytes]:
+        """Letters (after a space or not) stay splits of their own between line ends: many in one call."""
+        letters = [s for s in splits if s.lstrip(" ").isalpha() and s.count(" ") < 2]
+        out: dict[str, bytes] = {}
+        if len(self.line_end) == 1:
+            for low in range(0, len(letters), 20_000):
+                part = letters[low:low + 20_000]
+                ids = np.array(self.tokenizer.encode("\n".join(part) + "\n", add_special_tokens=False).ids, "<u4")
+                cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
+                if len(cuts) == len(part):
+                    data = ids.tobytes()
+                    out.update((s, data[4 * i:4 * j]) for s, i, j in zip(part, [0, *[c + 1 for c in cuts]], cuts))
+        rest = [s for s in splits if s not in out]
+        out.update((s, np.array(ids, "<u4").tobytes()) for s, ids in zip(rest, encode_all(self.tokenizer, rest)))
+        return [out[s] for s in splits]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(a in t for a in self.added)]
@@ -92,8 +135,8 @@ class SplitEncoder:
         splits = [(i, self.split(t)) for i, t in enumerate(texts) if out[i] is None]
         new = list({s for _, own in splits for s in own if s not in kept})
         long: dict[str, bytes] = {}
-        for s, ids in zip(new, encode_all(self.tokenizer, new)):
-            (kept if len(s) <= self.most_chars else long)[s] = np.array(ids, "<u4").tobytes()
+        for s, ids in zip(new, self._encode(new)):
+            (kept if len(s) <= self.most_chars else long)[s] = ids
         for i, own in splits:
             found = map(kept.__getitem__, own) if not long else [kept[s] if s in kept else long[s] for s in own]
             out[i] = np.frombuffer(b"".join(found), "<u4")

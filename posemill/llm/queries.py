@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from posemill.llm import bpe, chat, fingerprint, language, line_dedup, packing, pii, quality, sharding
+from posemill.llm import bpe, chat, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding
 from posemill.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmer_fingerprint": op2_syncmer_fingerprint,
     "op3_sharding": op3_sharding,
     "op4_bpe_tree": op4_bpe_tree,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -1,10 +1,8 @@
-"""The library's own queries by name, each with the SQL that says the same where SQL can."""
+"""All queries of the library by name, each with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from posemill.plans import series, tables  # noqa: F401  they register their queries
+from posemill.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

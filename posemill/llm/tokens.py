@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -65,6 +65,27 @@ def encode_words(tokenizer: Tokenizer, words: list[str], ends: np.ndarray) -> li
     return out
 
 
+def joined_parts(parts: dict[int, list[str]], kept: dict[str, bytes], most_chars: int, encode: Callable[[list[str]], list[bytes]]) -> Iterator[tuple[int, bytes]]:
+    """The joined bytes of each list of parts. Parts that are not kept are encoded, all in one call, and kept if short."""
+    found = {i: list(map(kept.get, own)) for i, own in parts.items()}
+    gaps: dict[int, list[int]] = {}
+    for i, ids in found.items():
+        at, places = -1, []
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            places.append(at)
+        if places:
+            gaps[i] = places
+    new = list({parts[i][k] for i, places in gaps.items() for k in places})
+    made = dict(zip(new, encode(new))) if new else {}
+    kept.update((part, ids) for part, ids in made.items() if len(part) <= most_chars)
+    for i, places in gaps.items():
+        own, ids = parts[i], found[i]
+        for k in places:
+            ids[k] = made[own[k]]
+    return ((i, b"".join(ids)) for i, ids in found.items())
+
+
 class WordEncoder:
     """For tokenizers that fold case, drop white space and mark word ends: the ids of a text are those of its words, and
     each distinct word is encoded once and kept. Texts with other than plain characters, or with an added token, go to
@@ -87,13 +108,9 @@ class WordEncoder:
         kept = self.kept
         if len(kept) >= self.most_kept:
             kept.clear()
-        splits = [(i, self.split(t.lower())) for i, t in enumerate(texts) if out[i] is None]
-        new = list({w for _, own in splits for w in own if w not in kept})
-        long: dict[str, bytes] = {}
-        for word, ids in zip(new, encode_words(self.tokenizer, new, self.ends)):
-            (kept if len(word) <= self.most_chars else long)[word] = ids
-        for i, own in splits:
-            out[i] = b"".join(map(kept.__getitem__, own) if not long else [kept[w] if w in kept else long[w] for w in own])
+        for i, found in joined_parts({i: self.split(t.lower()) for i, t in enumerate(texts) if out[i] is None}, kept, self.most_chars,
+                                     lambda new: encode_words(self.tokenizer, new, self.ends)):
+            out[i] = found
         return out
 
 
@@ -132,12 +149,7 @@ class SplitEncoder:
         kept = self.kept
         if len(kept) >= self.most_kept:
             kept.clear()
-        splits = [(i, self.split(t)) for i, t in enumerate(texts) if out[i] is None]
-        new = list({s for _, own in splits for s in own if s not in kept})
-        long: dict[str, bytes] = {}
-        for s, ids in zip(new, self._encode(new)):
-            (kept if len(s) <= self.most_chars else long)[s] = ids
-        for i, own in splits:
-            found = map(kept.__getitem__, own) if not long else [kept[s] if s in kept else long[s] for s in own]
-            out[i] = np.frombuffer(b"".join(found), "<u4")
+        splits = {i: self.split(t) for i, t in enumerate(texts) if out[i] is None}
+        for i, found in joined_parts(splits, kept, self.most_chars, self._encode):
+            out[i] = np.frombuffer(found, "<u4")
         return out

@@ -232,7 +232,7 @@ def profiles(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
         edges = np.cumsum([0, *map(len, parts)])
         return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "df": [_planes(df[a:b]) for a, b in zip(edges, edges[1:])]})
 
-    def profile(key, sets: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def profile(key: tuple, sets: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         tokens = np.frombuffer(sets["tokens"].iloc[0], np.uint64)
         sizes = np.frombuffer(sets["sizes"].iloc[0], np.int64)

@@ -64,7 +64,7 @@ def cadence(df: DataFrame, keys: list[str], time: str, values: list[str], fps: f
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{v}_freq` double" for v in values])
 
-    def one(key, frames: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values(time)
         return pd.DataFrame([[*key, *[cadence_per_minute(frames[v].to_numpy(float), fps, seconds) for v in values]]], columns=[*keys, *[f"{v}_freq" for v in values]])
 

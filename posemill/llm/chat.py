@@ -49,17 +49,27 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     state = written(nodes.join(known, has_parent, "left").select(
         "tree", "node", F.col("known_node").alias("up"), F.when(F.col("known_node").isNull(), 0).otherwise(1).cast("long").alias("depth"),
         F.col("score").alias("total")), "jumps")
-    tables, most = [], nodes.count()
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        if 1 << len(tables) > most:  # what still climbs goes round a cycle and has no root
+    tables, arrived, most = [], [], nodes.count()
+    named = ["tree", "node", "depth", "total"]
+    while True:
+        climbing = state.filter(F.col("up").isNotNull())
+        if not climbing.limit(1).count() or 1 << len(tables) > most:  # what climbs on after so many steps goes round a cycle
+            arrived.append(state.filter(F.col("up").isNull()).select(*named))
             break
-        tables.append(state.filter(F.col("up").isNotNull()).select("tree", "node", "up"))
-        above = state.select(*[F.col(c).alias(f"above_{c}") for c in state.columns])
-        on = F.col("tree").eqNullSafe(F.col("above_tree")) & (F.col("up") == F.col("above_node"))
-        state = written(state.join(above, on, "left").select(
-            "tree", "node", F.col("above_up").alias("up"), (F.col("depth") + F.coalesce("above_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("above_total", F.lit(0.0))).alias("total")), "jumps")
-    return tables, state.filter(F.col("up").isNull()).select("tree", "node", "depth", "total")
+        tables.append(climbing.select("tree", "node", "up"))
+        # A tree whose nodes have all arrived at its root takes no part in later joins.
+        open_trees = climbing.select(F.col("tree").alias("open_tree")).distinct()
+        is_open = F.col("tree").eqNullSafe(F.col("open_tree"))
+        arrived.append(state.join(open_trees, is_open, "left_anti").select(*named))
+        rest = state.join(open_trees, is_open, "left_semi")
+        above = rest.select(*[F.col(c).alias(f"above_{c}") for c in state.columns])
+        reached = climbing.join(above, F.col("tree").eqNullSafe(F.col("above_tree")) & (F.col("up") == F.col("above_node"))).select(
+            "tree", "node", F.col("above_up").alias("up"), (F.col("depth") + F.col("above_depth")).alias("depth"), (F.col("total") + F.col("above_total")).alias("total"))
+        state = written(reached.unionByName(rest.filter(F.col("up").isNull())), "jumps")
+    depths = arrived[0]
+    for part in arrived[1:]:
+        depths = depths.unionByName(part)
+    return tables, depths
 
 
 def tree_paths(nodes: DataFrame, top_k: int | None = None) -> DataFrame:

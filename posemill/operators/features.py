@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from posemill.functions import geometry as G
 from posemill.functions.nulls import mean_present, nan_to_null
 from posemill.operators.signal import cadence
-from posemill.operators.stats import theil_sen
+from posemill.operators.stats import median_slope, points
 from posemill.operators.windows import centred_windows, hop_windows
 
 #: The windows of the current feature set, and the landmarks that it reads.
@@ -46,14 +46,13 @@ def frame_measures(frames: DataFrame, aspect: float = G.ASPECT) -> DataFrame:
         (~G.visible(v("nose"))).cast("double").alias("nose_low"))
 
 
-def limb_speed(windows: DataFrame, keys: list[str], limb: str, fps: str, torso: str) -> DataFrame:
-    """Mean speed of a limb in torso lengths a second, over consecutive seen frames less than 2 / fps apart."""
-    order = W.partitionBy(*keys).orderBy("t")
-    kept = windows.filter(F.col(f"{limb}_seen"))
-    dt = F.col("t") - F.lag("t").over(order)
-    step = F.hypot(F.col(f"{limb}_x") - F.lag(f"{limb}_x").over(order), F.col(f"{limb}_y") - F.lag(f"{limb}_y").over(order))
-    pairs = kept.withColumns({"_dt": dt, "_d": step}).filter((F.col("_dt") > 0) & (F.col("_dt") < 2 / F.col(fps)))
-    return pairs.groupBy(*keys).agg(F.when(F.first(torso) > 0, F.avg(F.col("_d") / F.col("_dt")) / F.first(torso)).alias(f"{limb}_speed"))
+def limb_steps(keys: list[str], limb: str, fps: Column) -> Column:
+    """Speed of a limb since the frame that showed it last, if that is less than 2 / fps ago; NULL otherwise."""
+    before = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.col(f"{limb}_seen")
+    last = lambda c: F.last(F.when(seen, F.col(c)), True).over(before)
+    dt = F.col("t") - last("t")
+    return F.when(seen & (dt > 0) & (dt < 2 / fps), F.hypot(F.col(f"{limb}_x") - last(f"{limb}_x"), F.col(f"{limb}_y") - last(f"{limb}_y")) / dt)
 
 
 def window_features(frames: DataFrame, fps: float = 25.0, with_cadence: bool = True) -> DataFrame:
@@ -65,20 +64,19 @@ def window_features(frames: DataFrame, fps: float = 25.0, with_cadence: bool = T
     per_video = W.partitionBy("video_id")
     rows = measured.withColumns({"torso_med": F.median(F.when(F.col("core"), F.col("torso"))).over(per_video), "fps": F.lit(float(fps))})
     keys = ["video_id", "start_s"]
-    hopped = hop_windows(rows, ["video_id"], "t", WINDOW, STEP)
+    hopped = hop_windows(rows, ["video_id"], "t", WINDOW, STEP).withColumns({f"{n}_step": limb_steps(keys, n, F.col("fps")) for n in LIMBS})
     share = lambda c: (100 * F.avg(F.col(c).cast("double")))
-    aggregates = [F.median(c).alias(f"{c}_med") for c in ("trunk_angle", "hip_y", "ankle_y", "knee_angle")] + [F.stddev_pop(c).alias(f"{c}_std") for c in ("trunk_angle", "hip_y")]
+    least = max(4, int(0.5 * WINDOW * fps))
+    # The windows of the limbs, the medians and the slopes' points share one exchange by video and window.
     base = hopped.groupBy(*keys).agg(
         F.first("participant_id").alias("participant_id"), F.first("view").alias("view"), F.sum(F.col("core").cast("int")).alias("_valid"), F.avg(F.col("core").cast("double")).alias("_share"),
-        *aggregates, F.bround(share("core"), 1).alias("torso_valid_pct"), *[F.bround(share(f"{n}_seen"), 1).alias(f"{n}_valid_pct") for n in LIMBS],
+        *[F.median(c).alias(f"{c}_med") for c in ("trunk_angle", "hip_y", "ankle_y", "knee_angle")], *[F.stddev_pop(c).alias(f"{c}_std") for c in ("trunk_angle", "hip_y")],
+        *[points("t", c).alias(f"{c}_slope") for c in ("trunk_angle", "hip_y")],
+        *[F.when(F.first("torso_med") > 0, F.avg(f"{n}_step") / F.first("torso_med")).alias(f"{n}_speed") for n in LIMBS],
+        F.bround(share("core"), 1).alias("torso_valid_pct"), *[F.bround(share(f"{n}_seen"), 1).alias(f"{n}_valid_pct") for n in LIMBS],
         *[F.bround(F.avg(f"{c}_conf"), 3).alias(f"mean_{c}_conf") for c in ("torso", "arm", "leg")], F.bround(F.avg("nose_low"), 3).alias("nose_low_vis_frac"))
     base = base.filter((F.col("_valid") >= int(0.5 * WINDOW * fps)) & (F.col("_share") > 0.4)).drop("_valid", "_share")
-    least = max(4, int(0.5 * WINDOW * fps))
-    out = base
-    for c in ("trunk_angle", "hip_y"):
-        out = out.join(theil_sen(hopped, keys, "t", c, least, f"{c}_slope"), keys, "left")
-    for limb in LIMBS:
-        out = out.join(limb_speed(hopped, keys, limb, "fps", "torso_med"), keys, "left")
+    out = base.withColumns({f"{c}_slope": median_slope(F.col(f"{c}_slope"), least) for c in ("trunk_angle", "hip_y")})
     for part in ("arm", "leg"):
         left, right = F.col(f"{part}_l_speed"), F.col(f"{part}_r_speed")
         out = out.withColumns({f"{part}_speed": mean_present(left, right), f"{part}_asym": G.symmetry_index(left, right)})

@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def theil_sen(df: DataFrame, keys: list[str], time: str, value: str, least: int = 4, name: str = "slope") -> DataFrame:
-    """The median slope over all pairs of each group's rows; NULL below `least` rows. One aggregate by key; the pairs of
-    a group (a window of bounded length) are made inside its row."""
+def points(time: str, value: str) -> Column:
+    """An aggregate: the (time, value) points of a group that are complete, by time."""
     both = F.when(F.col(time).isNotNull() & F.col(value).isNotNull(), F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v")))
-    points = df.groupBy(*keys).agg(F.array_sort(F.collect_list(both)).alias("_p"))
-    p = F.col("_p")
+    return F.array_sort(F.collect_list(both))
+
+
+def median_slope(p: Column, least: int = 4) -> Column:
+    """The median slope over all pairs of points at different times; NULL below `least` points."""
     slopes = F.flatten(F.transform(p, lambda a, i: F.transform(
         F.filter(F.slice(p, i + 2, F.size(p)), lambda b: b["t"] > a["t"]), lambda b: (b["v"] - a["v"]) / (b["t"] - a["t"]))))
-    return points.select(*keys, F.when(F.size(p) >= least, median_of(slopes)).alias(name))
+    return F.when(F.size(p) >= least, median_of(slopes))
+
+
+def theil_sen(df: DataFrame, keys: list[str], time: str, value: str, least: int = 4, name: str = "slope") -> DataFrame:
+    """The median slope over all pairs of each group's rows; NULL below `least` rows. One aggregate by key; the pairs of
+    a group (a window of bounded length) are made inside its row."""
+    return df.groupBy(*keys).agg(points(time, value).alias("_p")).select(*keys, median_slope(F.col("_p"), least).alias(name))
 
 
 def median_of(values: Column) -> Column:
@@ -26,36 +34,75 @@ def median_of(values: Column) -> Column:
     return F.transform(F.array(F.array_sort(values)), middle)[0]
 
 
-def _one_row(df: DataFrame, aggregates: list[Column]) -> DataFrame:
-    """A global aggregate: one row, so it may be broadcast at any size of df."""
-    return F.broadcast(df.agg(*aggregates))
+def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float], held: int = 1_000_000) -> dict[str, list[float | None]]:
+    """Exact interpolated percentiles of whole columns, at any size: for each name those at shares (None without values).
+
+    Spark's exact percentile keeps all distinct values in one task. Here, as long as more than `held` values lie between
+    the bounds known around a percentile, a mergeable sketch gives closer bounds and one count says how many values lie
+    below and between; only then is the exact function used, on what is between. Each pass is one aggregate of scalars.
+    """
+    counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
+    # Of each percentile: bounds, values below the lower bound, values between.
+    spots = {(n, p): [None, None, 0, counts[n]] for n in columns for p in shares}
+
+    def between(n: str, spot: list) -> Column:
+        inside = F.lit(True)
+        if spot[0] is not None:
+            inside = (columns[n] >= spot[0]) & (columns[n] <= spot[1])
+        return F.when(inside, columns[n])
+
+    while wide := {k: s for k, s in spots.items() if s[3] > held and (s[0] is None or s[0] < s[1])}:
+        asks = []
+        for i, ((n, p), s) in enumerate(wide.items()):
+            rank = p * (counts[n] - 1) - s[2]
+            ends = [min(1.0, max(0.0, (rank + d) / s[3])) for d in (-s[3] / 1000 - 2, s[3] / 1000 + 2)]
+            asks.append(F.percentile_approx(between(n, s), ends, 10_000).alias(f"b{i}"))
+        bounds = df.agg(*asks).first()
+        tells = []
+        for i, (n, _) in enumerate(wide):
+            low, high = bounds[i]
+            tells += [F.count(F.when(columns[n] < low, 1)).alias(f"l{i}"), F.count(F.when((columns[n] >= low) & (columns[n] <= high), 1)).alias(f"m{i}")]
+        told = df.agg(*tells).first()
+        for i, (key, s) in enumerate(wide.items()):
+            rank = key[1] * (counts[key[0]] - 1)
+            held_between = told[2 * i] <= int(rank) and -int(-rank // 1) < told[2 * i] + told[2 * i + 1]
+            if not held_between or told[2 * i + 1] >= s[3]:  # the sketch can do no better: the exact function takes over
+                s[3] = 0
+            else:
+                s[:] = [*bounds[i], told[2 * i], told[2 * i + 1]]
+    last = []
+    for (n, p), s in spots.items():
+        size = s[3] or counts[n]
+        rank = p * (counts[n] - 1) - s[2]
+        last.append(F.percentile(between(n, s), min(1.0, max(0.0, rank / (size - 1))) if size > 1 else 0.5))
+    found = df.agg(*last).first()
+    values = dict(zip(spots, found))
+    return {n: [values[n, p] for p in shares] for n in columns}
 
 
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """columns clipped to their global percentiles; NULLs stay."""
-    bounds = _one_row(df, [F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
-    clipped = {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_{c}")[1]), F.col(f"_{c}")[0])) for c in columns}
-    return df.join(bounds).withColumns(clipped).drop(*[f"_{c}" for c in columns])
+    bounds = exact_percentiles(df, {c: F.col(c) for c in columns}, [low, high])
+    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(bounds[c][1])), F.lit(bounds[c][0])))
+    return df.withColumns({c: clip(c) for c in columns if bounds[c][0] is not None})
 
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs replaced by the column's median, or 0 where all are NULL."""
-    medians = _one_row(df, [F.median(c).alias(f"_{c}") for c in columns])
-    return df.join(medians).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
+    medians = exact_percentiles(df, {c: F.col(c) for c in columns}, [0.5])
+    return df.withColumns({c: F.coalesce(c, F.lit(float(medians[c][0] or 0.0))) for c in columns})
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Centred on the median, divided by the interquartile range (by 1 if that is 0)."""
-    quartiles = _one_row(df, [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
-    def scaled(c: str) -> Column:
-        q = F.col(f"_{c}")
-        return (F.col(c) - q[1]) / F.when(q[2] > q[0], q[2] - q[0]).otherwise(1.0)
-    return df.join(quartiles).withColumns({c: scaled(c) for c in columns}).drop(*[f"_{c}" for c in columns])
+    quartiles = exact_percentiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    scaled = lambda c, q: (F.col(c) - F.lit(q[1])) / F.lit(q[2] - q[0] if q[2] > q[0] else 1.0)
+    return df.withColumns({c: scaled(c, quartiles[c]) for c in columns if quartiles[c][1] is not None})
 
 
 def standardized(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
     """Adds z-scores with the population deviation; 0 for a constant column, NULL for NULL."""
-    moments = _one_row(df, [x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    moments = F.broadcast(df.agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]))  # one row
     z = {f"{c}{suffix}": F.when(F.col(c).isNotNull(), F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0)) for c in columns}
     return df.join(moments).withColumns(z).drop(*[f"{p}{c}" for c in columns for p in ("_m_", "_s_")])
 

@@ -133,8 +133,8 @@ RULES = FEATURES + """, e AS (
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).withColumn("effort", X.effort(F.col("arm"), F.col("leg")))
     sealed = read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("user_id"))
-    threshold = F.broadcast(joins.non_members(rows, sealed, "user_id").agg(F.coalesce(F.median("effort"), F.lit(4.0)).alias("thr")))  # one row
-    rows = rows.join(threshold)
+    pooled = stats.exact_percentiles(joins.non_members(rows, sealed, "user_id"), {"effort": F.col("effort")}, [0.5])["effort"][0]
+    rows = rows.withColumn("thr", F.lit(4.0 if pooled is None else pooled))
     found = X.rule_class(F.col("angle_std"), F.col("slope"), F.col("effort"), F.col("thr"))
     return rows.withColumns({**found, "alignment": X.alignment(F.col("angle")), "effort_level": X.effort_level(F.col("effort"), F.col("thr"))})
 

@@ -128,6 +128,18 @@ def test_scaling(spark):
     assert stats.winsorized(df, ["a"], 0.25, 0.75).agg(F.min("a"), F.max("a")).first() == (q1, q3)
 
 
+@pytest.mark.parametrize("held", [10, 10_000])
+def test_exact_percentiles_at_any_size(spark, held):
+    rng = random.Random(7)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if i % 3 else rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.lit(None).cast("double"))
+    shares = [0.0, 0.02, 0.5, 0.731, 1.0]
+    got = stats.exact_percentiles(df, {c: F.col(c) for c in "abcd"}, shares, held)
+    for i, c in enumerate("abc"):
+        assert got[c] == pytest.approx(list(np.percentile([r[i] for r in rows if r[i] is not None], [100 * p for p in shares])))
+    assert got["d"] == [None] * 5
+
+
 def test_label_attach(spark):
     points = spark.createDataFrame([("s", 1.0), ("s", 4.0), ("s", 5.0), ("s", 20.0), ("z", 1.0)], "source string, at double")
     given = spark.createDataFrame([("s", 0.0, 5.0, 1, 0, 0.6), ("s", 4.0, 12.0, 2, 2, None), ("q", 0.0, 99.0, 3, 1, 1.0)], "source string, a double, b double, ord int, label int, w double")

@@ -34,7 +34,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, so that a lost executor costs no upstream work."""
     path = f"{shared_dir(df.sparkSession)}/posemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table. Nothing that is still to run may read it."""
+    _delete(df.sparkSession, df.written_at)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written to the shared folder, for a session that runs many: only when no
+    result is still to be read."""
+    _delete(spark, f"{shared_dir(spark)}/posemill")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posemill.llm.common import LAST_ID, let, written
+from posemill.llm.common import LAST_ID, discard, let, written
 
 #: Fixed values of the key: what is stripped at both ends, and the letters that are folded.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,7 +58,9 @@ class LineRuns:
             merged = self.levels[level][0]
             for other in self.levels[level][1:]:
                 merged = merged.unionByName(other)
-            run, self.levels[level] = self._sorted(merged), []
+            run, merged_away, self.levels[level] = self._sorted(merged), self.levels[level], []
+            for old in merged_away:
+                discard(old)
             level += 1
 
     def _sorted(self, keys: DataFrame) -> DataFrame:
@@ -89,6 +91,7 @@ def batch_drops(docs: DataFrame, state: LineRuns) -> DataFrame:
     gone = lines.join(fresh, [*HASH, "owner"], "left_anti")
     drops = written(gone.groupBy("owner", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "line-drops")
     state.add(fresh)
+    discard(fresh)
     return drops
 
 
@@ -123,6 +126,8 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame
             part = part.filter(F.col("doc_id") <= high)
         found = batch_drops(part, state)
         drops = found if drops is None else drops.unionByName(found)
+    for run in state.runs():
+        discard(run)
     taken = set(docs.columns)
     own, text_hash, gone = (next(n for n in (x, *(f"{x}_{i}" for i in range(99))) if n not in taken) for x in ("line_owner", "line_text_hash", "line_drops"))
     drops = drops.toDF(own, text_hash, gone)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 _LOADED: dict[str, Tokenizer] = {}
 #: Text encoded in one library call; its result holds strings and offsets for every token.
@@ -49,41 +49,39 @@ WORD_SPLIT = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUM
 BYTE_LEVEL_SPLIT = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 
 
-def encode_words(tokenizer: Tokenizer, words: list[str], ends: np.ndarray) -> list[bytes]:
-    """The ids of each word as bytes, for words that the tokenizer splits no further: many words in one call, cut after
-    the tokens that end a word (ends[id])."""
-    out: list[bytes] = []
-    for low in range(0, len(words), 20_000):
-        part = words[low:low + 20_000]
-        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-        cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
-        if len(cuts) == len(part):
-            data = ids.tobytes()
-            out += [data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts)]
-        else:
-            out += [np.array(x, "<u4").tobytes() for x in encode_all(tokenizer, part)]
-    return out
-
-
-def joined_parts(parts: dict[int, list[str]], kept: dict[str, bytes], most_chars: int, encode: Callable[[list[str]], list[bytes]]) -> Iterator[tuple[int, bytes]]:
-    """The joined bytes of each list of parts. Parts that are not kept are encoded, all in one call, and kept if short."""
-    found = {i: list(map(kept.get, own)) for i, own in parts.items()}
-    gaps: dict[int, list[int]] = {}
-    for i, ids in found.items():
-        at, places = -1, []
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at + 1)
-            places.append(at)
-        if places:
-            gaps[i] = places
-    new = list({parts[i][k] for i, places in gaps.items() for k in places})
-    made = dict(zip(new, encode(new))) if new else {}
-    kept.update((part, ids) for part, ids in made.items() if len(part) <= most_chars)
-    for i, places in gaps.items():
-        own, ids = parts[i], found[i]
-        for k in places:
-            ids[k] = made[own[k]]
-    return ((i, b"".join(ids)) for i, ids in found.items())
+class Kept:
+    """The ids of parts already encoded, as bytes, in two generations: when the new one is full it becomes the old one,
+    and what is still in use moves back when it is next asked for. Holds twice `most` parts at most."""
+
+    def __init__(self, most: int, most_chars: int, encode: Callable[[list[str]], list[bytes]]):
+        self.most, self.most_chars, self.encode = most, most_chars, encode
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, parts: dict[int, list[str]]) -> Iterator[tuple[int, bytes]]:
+        """The joined ids of each list of parts. What is not kept is encoded, all in one call, and kept if short."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        found = {i: list(map(self.new.get, own)) for i, own in parts.items()}
+        gaps: dict[int, list[int]] = {}
+        for i, ids in found.items():
+            at, places = -1, []
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                places.append(at)
+            if places:
+                gaps[i] = places
+        asked = {parts[i][k] for i, places in gaps.items() for k in places}
+        made = {part: ids for part in asked if (ids := self.old.get(part)) is not None}
+        unknown = list(asked.difference(made))
+        if unknown:
+            made.update(zip(unknown, self.encode(unknown)))
+        self.new.update((part, ids) for part, ids in made.items() if len(part) <= self.most_chars)
+        for i, places in gaps.items():
+            own, ids = parts[i], found[i]
+            for k in places:
+                ids[k] = made[own[k]]
+        return ((i, b"".join(ids)) for i, ids in found.items())
 
 
 class WordEncoder:
@@ -91,13 +89,30 @@ class WordEncoder:
     each distinct word is encoded once and kept. Texts with other than plain characters, or with an added token, go to
     the library whole. Gives ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most_kept: int = 600_000, most_chars: int = 40):
-        self.tokenizer, self.most_kept, self.most_chars = load(path), most_kept, most_chars
+    def __init__(self, path: str, most_kept: int = 650_000, most_chars: int = 40):
+        self.tokenizer = load(path)
         self.split, self.plain = re.compile(WORD_SPLIT).findall, re.compile(PLAIN).fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}
+        # The words are folded and split already: the same model without the steps before it.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.kept = Kept(most_kept, most_chars, self._encode)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Many words in one call, cut after the tokens that end a word."""
+        out: list[bytes] = []
+        for low in range(0, len(words), 20_000):
+            part = words[low:low + 20_000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                out += [data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts)]
+            else:
+                out += [np.array(x, "<u4").tobytes() for x in encode_all(self.tokenizer, part)]
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
@@ -105,12 +120,8 @@ class WordEncoder:
         out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
             out[i] = np.array(ids, "<u4").tobytes()
-        kept = self.kept
-        if len(kept) >= self.most_kept:
-            kept.clear()
-        for i, found in joined_parts({i: self.split(t.lower()) for i, t in enumerate(texts) if out[i] is None}, kept, self.most_chars,
-                                     lambda new: encode_words(self.tokenizer, new, self.ends)):
-            out[i] = found
+        for i, ids in self.kept.joined({i: self.split(t.lower()) for i, t in enumerate(texts) if out[i] is None}):
+            out[i] = ids
         return out
 
 
@@ -118,25 +129,27 @@ class SplitEncoder:
     """For byte-level BPE: merges never cross the splits, so each distinct split is encoded once and kept. Texts with
     other than plain characters, or with an added token, go to the library whole. Gives ids as 32-bit arrays."""
 
-    def __init__(self, tokenizer: Tokenizer, most_kept: int = 600_000, most_chars: int = 32):
-        self.tokenizer, self.most_kept, self.most_chars = tokenizer, most_kept, most_chars
+    def __init__(self, tokenizer: Tokenizer, most_kept: int = 400_000, most_chars: int = 32):
+        self.tokenizer = tokenizer
         self.split, self.plain = re.compile(BYTE_LEVEL_SPLIT).findall, re.compile(PLAIN).fullmatch
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
         self.line_end = encode_all(tokenizer, ["\n"])[0]
+        # The same model without the usual splitting: only at line ends, which stay as tokens of their own.
+        self.lines = Tokenizer(tokenizer.model)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.kept = Kept(most_kept, most_chars, self._encode)
 
     def _encode(self, splits: list[str]) -> list[bytes]:
-        """Letters (after a space or not) stay splits of their own between line ends: many in one call."""
-        letters = [s for s in splits if s.lstrip(" ").isalpha() and s.count(" ") < 2]
+        """Many splits in one call, each on a line of its own; those that hold a line end apart."""
+        single = [s for s in splits if "\n" not in s] if len(self.line_end) == 1 else []
         out: dict[str, bytes] = {}
-        if len(self.line_end) == 1:
-            for low in range(0, len(letters), 20_000):
-                part = letters[low:low + 20_000]
-                ids = np.array(self.tokenizer.encode("\n".join(part) + "\n", add_special_tokens=False).ids, "<u4")
-                cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
-                if len(cuts) == len(part):
-                    data = ids.tobytes()
-                    out.update((s, data[4 * i:4 * j]) for s, i, j in zip(part, [0, *[c + 1 for c in cuts]], cuts))
+        for low in range(0, len(single), 20_000):
+            part = single[low:low + 20_000]
+            ids = np.array(self.lines.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                out.update((s, data[4 * i:4 * j]) for s, i, j in zip(part, [0, *[c + 1 for c in cuts]], cuts))
         rest = [s for s in splits if s not in out]
         out.update((s, np.array(ids, "<u4").tobytes()) for s, ids in zip(rest, encode_all(self.tokenizer, rest)))
         return [out[s] for s in splits]
@@ -146,10 +159,6 @@ class SplitEncoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
             out[i] = np.array(ids, "<u4")
-        kept = self.kept
-        if len(kept) >= self.most_kept:
-            kept.clear()
-        splits = {i: self.split(t) for i, t in enumerate(texts) if out[i] is None}
-        for i, found in joined_parts(splits, kept, self.most_chars, self._encode):
-            out[i] = np.frombuffer(found, "<u4")
+        for i, ids in self.kept.joined({i: self.split(t) for i, t in enumerate(texts) if out[i] is None}):
+            out[i] = np.frombuffer(ids, "<u4")
         return out

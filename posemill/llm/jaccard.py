@@ -314,14 +314,16 @@ def _star_pairs(rows: DataFrame, attributes: DataFrame, percent: int) -> DataFra
 
 
 def _rest_pairs(rows: DataFrame, attributes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components that share a prefix token and pass the filters."""
+    """The pairs of different components that share a prefix token and pass the filters. One side of a token's join is
+    what lies outside the component of its most typical class, so a component that holds most of it isn't met with itself."""
     placed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_rows = written(placed.join(mixed_tokens.select("token"), "token", "left_semi").join(attributes, "id").select(
-        "token", "id", "component", "n", "u", "bits", "second", "third"), "open-prefixes")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, on & _may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("odd", "id", "component")).alias("main")).filter("low < high")
+    opened = placed.join(mixed_tokens.select("token", F.col("main.component").alias("main")), "token").join(attributes, "id")
+    opened = written(opened.select("token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", "u", "bits", "second", "third"), "open-prefixes")
+    x, y = opened.filter(~F.col("inside")).alias("x"), opened.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.inside") | (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, on & _may_link("x", "y", percent))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -51,10 +51,10 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int =
     Meant for a bounded sample of windows.
     """
     points = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = points.groupBy(F.pmod(F.xxhash64("i"), F.lit(block)).alias("b")).agg(F.collect_list(F.struct("i", "c", "v")).alias("others"))
+    blocks = points.groupBy(F.pmod(F.xxhash64("i"), F.lit(block)).alias("b"), F.col("c").alias("oc")).agg(F.collect_list(F.struct("i", "v")).alias("others"))
     own = points.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
-    met = own.join(blocks, "b").select("i", "c", "v", F.inline(F.transform("others", lambda o: F.struct(
-        o["c"].alias("oc"), F.when(o["i"] == F.col("i"), 0.0).otherwise(distance(F.col("v"), o["v"])).alias("d"), (o["i"] != F.col("i")).cast("int").alias("m")))))
+    away = F.aggregate("others", F.lit(0.0), lambda s, o: s + F.when(o["i"] == F.col("i"), 0.0).otherwise(distance(F.col("v"), o["v"])))
+    met = own.join(blocks, "b").select("i", "c", "oc", away.alias("d"), F.size(F.filter("others", lambda o: o["i"] != F.col("i"))).alias("m"))
     means = met.groupBy("i", "c", "oc").agg(F.try_divide(F.sum("d"), F.sum("m")).alias("m"))
     sides = means.groupBy("i", "c").agg(F.max(F.when(F.col("oc") == F.col("c"), F.col("m"))).alias("a"), F.min(F.when(F.col("oc") != F.col("c"), F.col("m"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))

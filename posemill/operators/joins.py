@@ -64,3 +64,22 @@ def first_given(tables: list[DataFrame], key: str) -> DataFrame:
 def last_file(df: DataFrame, key: str, path: str) -> DataFrame:
     """The greatest path of each key."""
     return df.groupBy(key).agg(F.max(path).alias(path))
+
+
+def prefix_match(left: DataFrame, right: DataFrame, stem: str, path: str, key_length: int = 4) -> DataFrame:
+    """Each left row with the smallest path that begins with its stem. Both sides meet by their first key_length
+    characters, so that not all pairs are tried; shorter stems match nothing."""
+    keyed = left.filter(F.length(stem) >= key_length).withColumn("_k", F.substring(stem, 1, key_length))
+    found = keyed.join(right.select(F.col(path).alias("_path"), F.substring(path, 1, key_length).alias("_k")), "_k").filter(F.col("_path").startswith(F.col(stem)))
+    return found.groupBy(*left.columns).agg(F.min("_path").alias(path))
+
+
+def overlapping(start: Column, end: Column, low: float, high: float) -> Column:
+    """Whether [start, end) and (low, high) have more than an end in common."""
+    return (start < high) & (end > low)
+
+
+def thirds(start: Column, end: Column, step: float = 10.0) -> Column:
+    """array of struct(part, start, end): two stretches of `step` and the rest of a rated window."""
+    parts = [(0, start, start + step), (1, start + step, start + 2 * step), (2, start + 2 * step, end)]
+    return F.array(*[F.struct(F.lit(i).alias("part"), a.cast("double").alias("start"), b.cast("double").alias("end")) for i, a, b in parts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +74,28 @@ class Standard:
         return self.model.transform(rows).withColumn("proba", vector_to_array("_p")).drop("_p", "_r", "_q")
 
 
+class Boosted:
+    """Gradient-boosted trees, one model for each class against the rest; class shares are their normalized shares."""
+
+    def __init__(self, depth: int = 3, rounds: int = 20):
+        self.depth, self.rounds = depth, rounds
+        self.classes: list[int] = []
+        self.models: list = []
+
+    def fit(self, rows: DataFrame, label: str, weight: str) -> Boosted:
+        self.classes = sorted(r[0] for r in rows.select(label).distinct().collect())
+        make = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol=weight, maxDepth=self.depth, maxIter=self.rounds, seed=0, predictionCol="_q")
+        self.models = [make.fit(rows.withColumn("_y", (F.col(label) == k).cast("double"))) for k in self.classes]
+        return self
+
+    def shares(self, rows: DataFrame) -> DataFrame:
+        for i, model in enumerate(self.models):
+            rows = model.transform(rows).withColumn(f"_is{i}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "_q")
+        own = F.array(*[F.greatest(F.col(f"_is{i}"), F.lit(1e-9)) for i in range(len(self.models))])
+        total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
+        return rows.withColumn("proba", F.transform(own, lambda x: x / total)).drop(*[f"_is{i}" for i in range(len(self.models))])
+
+
 _OUT = {"featuresCol": "_x", "probabilityCol": "_p", "rawPredictionCol": "_r", "predictionCol": "_q"}
 
 
@@ -83,6 +105,7 @@ def challengers() -> dict[str, Callable[[], object]]:
         "ordinal": OrdinalLogistic,
         "softmax": lambda: Standard(lambda y, w: LogisticRegression(labelCol=y, weightCol=w, family="multinomial", regParam=0.01, maxIter=50, **_OUT)),
         "tree": lambda: Standard(lambda y, w: DecisionTreeClassifier(labelCol=y, weightCol=w, maxDepth=4, minInstancesPerNode=15, seed=0, **_OUT)),
+        "boosted": Boosted,
         "forest": lambda: Standard(lambda y, w: RandomForestClassifier(labelCol=y, weightCol=w, numTrees=100, minInstancesPerNode=2, seed=0, **_OUT)),
     }
 
@@ -138,6 +161,32 @@ def winner(scores: dict[str, dict[str, float]]) -> str:
     return max(scores, key=lambda m: scores[m]["macro_f1"] + (scores[m]["weighted_kappa"] or 0.0))
 
 
+def champion(df: DataFrame, group: str, label: str, features: list[str], weight: str | None = None, folds: int = 5, names: list[str] | None = None) -> tuple[str, object, dict[str, float], dict]:
+    """The winner of the challengers by out-of-fold scores, fitted on all rows: its name, the model, the medians that fill
+    missing values, and all scores."""
+    makes = {n: m for n, m in challengers().items() if names is None or n in names}
+    dealt = grouped_folds(df, group, folds)
+    scores = {n: scored(out_of_fold(df, dealt, group, label, features, make, weight), label) for n, make in makes.items()}
+    best = winner(scores)
+    medians = fold_medians(df, features)
+    model = makes[best]().fit(class_weights(assembled(df, features, medians), label, weight), label, "_w")
+    return best, model, medians, scores
+
+
+def sealed_report(model: object, medians: dict[str, float], df: DataFrame, features: list[str], video: str, label: str) -> dict[str, float]:
+    """Scores of a frozen model on rows that it has not seen: by window, and by video after a vote."""
+    rows = predicted(model.shares(assembled(df, features, medians)), model.classes)
+    votes = video_vote(rows, video, label)
+    return {**scored(rows, label), "video_accuracy": votes.agg(F.avg((F.col("voted") == F.col("true_class")).cast("double"))).first()[0]}
+
+
+def importances(df: DataFrame, label: str, features: list[str]) -> list[tuple[str, float]]:
+    """A forest's importance of each feature, greatest first."""
+    rows = class_weights(assembled(df, features, fold_medians(df, features)), label)
+    model = challengers()["forest"]().fit(rows, label, "_w").model
+    return sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
+
+
 def video_vote(predictions: DataFrame, video: str, label: str) -> DataFrame:
     """video, voted and true class by the most frequent window (ties: the smallest), and the share that agrees."""
     votes = predictions.groupBy(video).agg(F.mode("pred", True).alias("voted"), F.mode(label, True).alias("true_class"), F.count(F.lit(1)).alias("n"))

@@ -87,3 +87,22 @@ def weighted_score(parts: dict[str, float]) -> Column:
     for column, weight in parts.items():
         out = out + weight * F.col(column)
     return out
+
+
+def second_round(scored: DataFrame, reviewed: DataFrame, group: str, at: str, score: str, minority: int, unlabelled: int, per_group: int, spacing: float, each: int = 3) -> DataFrame:
+    """The clips of a second round with reason: first the greedy choice by score ("minority"), cut to its number; then,
+    for groups without reviewed rows in natural order, `each` clips at even distances that keep away from those chosen
+    ("unlabeled"), cut to their number; then all reviewed rows again ("rereview"). A clip keeps its first reason."""
+    from posemill.functions.scalars import natural_key
+    from posemill.operators.windows import even_spread
+
+    first = spaced_picks(scored, group, at, score, minority, per_group, spacing).withColumn("reason", F.lit("minority"))
+    fresh = scored.join(reviewed.select(group).distinct(), group, "left_anti")
+    spread = even_spread(fresh, [group], [at], each)
+    near = first.groupBy(group).agg(F.collect_list(at).alias("_taken"))  # at most per_group places
+    free = spread.join(near, group, "left").filter(F.coalesce(~F.exists("_taken", lambda p: F.abs(p - F.col(at)) < spacing), F.lit(True))).drop("_taken")
+    second = free.orderBy(natural_key(F.col(group).cast("string")), group, at).limit(unlabelled).withColumn("reason", F.lit("unlabeled"))
+    third = reviewed.withColumn("reason", F.lit("rereview"))
+    order = F.when(F.col("reason") == "minority", 0).when(F.col("reason") == "unlabeled", 1).otherwise(2)
+    every = first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
+    return every.withColumn("_i", F.row_number().over(W.partitionBy(group, at).orderBy(order))).filter("_i = 1").drop("_i")

@@ -130,3 +130,21 @@ def dominance(df: DataFrame, group: str, source: str) -> DataFrame:
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col(source).alias("source")))
     return counts.groupBy(group).agg(F.sum("n").alias("n"), best.alias("_b")).select(
         group, "n", F.col("_b.source").alias("dominant"), (-F.col("_b.n") / F.col("n")).alias("share"))
+
+
+def pooled_median(*columns: str) -> Column:
+    """An aggregate: the median of the values of several columns taken together."""
+    kept = F.flatten(F.collect_list(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull())))
+    return median_of(kept)
+
+
+def percentile_range(value: str, low: float = 0.1, high: float = 0.9) -> Column:
+    """An aggregate: the distance between two percentiles of a group."""
+    both = F.percentile(value, F.array(F.lit(low), F.lit(high)))
+    return both[1] - both[0]
+
+
+def level_vote(value: str, height: Column, most: float = 0.06) -> list[Column]:
+    """Aggregates: the median of votes for a level (a water line, say), and whether they deviate by less than a share of
+    the height."""
+    return [F.median(value).alias("level"), (F.stddev_pop(value) < most * F.first(height)).alias("confident")]

@@ -46,8 +46,8 @@ SIZE, STEP = 72.0, 36.0
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, t (hours), event_type, value, sig (value, missing for errors), k."""
     events = read(spark, sf_dir, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.select("user_id", ((micros - 1704067200000000) / F.lit(3.6e9)).alias("t"), "event_type", "value",
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    return events.select("user_id", (micros / F.lit(3.6e9)).alias("t"), "event_type", "value",
                          F.when(F.col("event_type") != "error", F.col("value")).alias("sig"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -421,3 +421,41 @@ def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _classes(spark, sf_dir)
     out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 2), "participant", "y", [f"e{i}" for i in range(_DIMS)], learn.challengers()["ordinal"])
     return out.select("vec_id", "fold", "y", "pred", r("confidence").alias("confidence"))
+
+
+@query("""SELECT c_name, min(p_name || '/' || p_brand || '.mp4') AS path FROM (SELECT DISTINCT left(p_name, 5 + (p_partkey % 6)::INT) AS c_name FROM part) s JOIN part ON starts_with(p_name, c_name) WHERE length(c_name) >= 4 GROUP BY c_name""")
+def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    stems = part.select(F.expr("left(p_name, 5 + int(p_partkey % 6))").alias("c_name")).distinct()
+    paths = part.select(F.concat("p_name", F.lit("/"), "p_brand", F.lit(".mp4")).alias("path")).distinct()
+    return joins.prefix_match(stems, paths, "c_name", "path")
+
+
+@query("""SELECT l_returnflag, l_linestatus, l_shipdate::DATE::VARCHAR AS day, round_even(median(v), 6) AS pooled, round_even(max(rng), 6) AS rng, round_even(max(level), 6) AS level, bool_or(sd < 0.06 * 500) AS confident
+FROM (SELECT l_returnflag, l_linestatus, l_shipdate, unnest([l_quantity, l_tax * 100]) AS v FROM lineitem) JOIN (
+  SELECT l_returnflag, l_linestatus, l_shipdate, quantile_cont(l_quantity, 0.9) - quantile_cont(l_quantity, 0.1) AS rng, median(l_quantity) AS level, stddev_pop(l_quantity) AS sd FROM lineitem GROUP BY ALL) USING (l_returnflag, l_linestatus, l_shipdate)
+GROUP BY ALL""")
+def pooled_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").withColumns({"tax": F.col("l_tax") * 100, "day": F.date_format("l_shipdate", "yyyy-MM-dd")})
+    out = rows.groupBy("l_returnflag", "l_linestatus", "day").agg(stats.pooled_median("l_quantity", "tax").alias("pooled"), stats.percentile_range("l_quantity").alias("rng"), *stats.level_vote("l_quantity", F.lit(500.0)))
+    return out.withColumns({c: r(c) for c in ("pooled", "rng", "level")})
+
+
+@query(f"""WITH {FEATURES}, j AS (SELECT user_id, start_s, start_s < 240 AND start_s + 72 > 120 AS hit FROM features)
+SELECT user_id, start_s FROM (SELECT *, bool_or(hit) OVER (PARTITION BY user_id) AS any_hit FROM j) WHERE hit OR NOT any_hit""")
+def overlap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir).select("user_id", "start_s")
+    return joins.inside_or_all(rows, ["user_id"], joins.overlapping(F.col("start_s"), F.col("start_s") + 72, 120, 240))
+
+
+@query("""SELECT c_custkey, unnest([0, 1, 2]) AS part, unnest([a, a + 10, a + 20]) AS start, unnest([a + 10, a + 20, b]) AS end FROM (SELECT c_custkey, (c_custkey % 40)::DOUBLE AS a, (c_custkey % 40)::DOUBLE + 30 + c_nationkey AS b FROM customer)""")
+def expert_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = (F.col("c_custkey") % 40).cast("double")
+    return read(spark, sf_dir, "customer").select("c_custkey", F.inline(joins.thirds(start, start + 30 + F.col("c_nationkey"))))
+
+
+@query()
+def second_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows scored by slope; users divisible by 4 are reviewed already."""
+    rows = features(spark, sf_dir).select("user_id", "start_s", F.col("slope").alias("score"))
+    return sampling.second_round(rows, rows.filter("user_id % 4 = 0"), "user_id", "start_s", "score", 40, 30, 3, 72.0)

@@ -267,6 +267,27 @@ def test_learning_round_trip(spark, tmp_path):
     assert both[0] == both[1] and meta["sealed"] == ["p9"]
 
 
+def test_champion_and_sealed_report(spark):
+    rng = random.Random(5)
+    rows = [(i % 3, f"p{i // 3 % 6}", i % 3 + rng.gauss(0, 0.3), rng.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "y int, g string, a double, b double")
+    best, model, medians, scores = learn.champion(df.filter("g <> 'p5'"), "g", "y", ["a", "b"], folds=2, names=["ordinal", "boosted"])
+    assert set(scores) == {"ordinal", "boosted"} and scores[best]["macro_f1"] > 0.75
+    report = learn.sealed_report(model, medians, df.filter("g = 'p5'"), ["a", "b"], "g", "y")
+    assert report["accuracy"] > 0.7 and report["video_accuracy"] in (0.0, 1.0)
+    assert learn.importances(df, "y", ["a", "b"])[0][0] == "a"
+
+
+def test_second_round_keeps_first_reasons(spark):
+    rows = spark.createDataFrame([(f"P{g}", float(t * 2), float(g * 100 + t)) for g in range(1, 6) for t in range(12)], "g string, at double, score double")
+    got = sampling.second_round(rows, rows.filter("g = 'P1' AND at < 6"), "g", "at", "score", 4, 3, 2, 6.0).toPandas()
+    assert got.groupby("reason").size().to_dict() == {"minority": 4, "unlabeled": 3, "rereview": 3}
+    assert set(got[got.reason == "minority"].g) == {"P5", "P4"} and not got.duplicated(["g", "at"]).any()
+    chosen = got[got.reason == "minority"]
+    for r in got[got.reason == "unlabeled"].itertuples():
+        assert r.g != "P1" and all(abs(r.at - p) >= 6 for p in chosen[chosen.g == r.g]["at"])
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "P07_features.csv").write_text("video_id,start_s,end_s,torso_valid_pct,trunk_angle_med\nv,0.0,3.0,80,nan\nv,1.5,4.5,20,12.5\n")
     rows = readers.read_features(spark, str(tmp_path / "*.csv")).collect()

@@ -120,7 +120,8 @@ def sized_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             meta = np.concatenate((meta, size[:, None], here[:, None]), axis=1)
             block_id = _block_id(number)
             out = [(b, block_id, _packed(tokens[at]), _planes(refs[at]), None) for b, at in _by_bucket(tokens, buckets)]
-            out.append((block_id % buckets, block_id, None, None, meta.tobytes()))
+            # What is known of the documents passes through a bucket of its own block, spread over all of them.
+            out.append(((TaskContext.get().partitionId() + 7919 * number) % buckets, block_id, None, None, meta.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
                                               ["bucket", "block", "tokens", "refs", "meta"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posemill.functions.geometry import flotation_index
 from posemill.functions.scalars import quadrant
+from posemill.operators.stats import exact_medians
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, restarts: int = 3, seed: int = 0, name: str = "cluster") -> DataFrame:
@@ -91,8 +92,10 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def cluster_profile(df: DataFrame, cluster: str, features: list[str]) -> DataFrame:
-    """Median and deviation of each feature by cluster, rounded to two decimals."""
-    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[x for f in features for x in (F.bround(F.median(f), 2).alias(f"{f}_med"), F.bround(F.stddev_pop(f), 2).alias(f"{f}_sd"))])
+    """Rows, median and deviation of each feature by cluster, rounded to two decimals."""
+    medians = exact_medians(df, [cluster], features).select(cluster, *[F.bround(f, 2).alias(f"{f}_med") for f in features])
+    spread = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.bround(F.stddev_pop(f), 2).alias(f"{f}_sd") for f in features])
+    return spread.join(F.broadcast(medians), cluster)  # a row for each cluster
 
 
 def best_floating(profile: DataFrame, cluster: str, angle: str, hip: str, head: str) -> DataFrame:
@@ -103,6 +106,6 @@ def best_floating(profile: DataFrame, cluster: str, angle: str, hip: str, head:
 
 def named_clusters(df: DataFrame, cluster: str, view: str, angle: str, effort: str) -> DataFrame:
     """cluster, view, name: posture against the view's median angle, effort against its median effort."""
-    views = df.groupBy(view).agg(F.median(angle).alias("_va"), F.median(effort).alias("_ve"))
-    own = df.groupBy(view, cluster).agg(F.median(angle).alias("_a"), F.median(effort).alias("_e"))
+    views = exact_medians(df, [view], [angle, effort]).toDF(view, "_va", "_ve")
+    own = exact_medians(df, [view, cluster], [angle, effort]).toDF(view, cluster, "_a", "_e")
     return own.join(F.broadcast(views), view).select(view, cluster, quadrant(F.col("_a") < F.col("_va"), F.col("_e") > F.col("_ve")).alias("name"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posemill.operators.agreement import class_scores, pair_counts, summary, weighted_kappa
+from posemill.operators.stats import exact_percentiles
 
 
 def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
@@ -24,8 +25,8 @@ def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataF
 
 def fold_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
     """The training medians; 0 where a feature is missing throughout."""
-    row = train.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f) for f in features]).first()
-    return {f: row[f] for f in features}
+    found = exact_percentiles(train, {f: F.col(f) for f in features}, [0.5])
+    return {f: found[f][0] or 0.0 for f in features}
 
 
 def assembled(df: DataFrame, features: list[str], medians: dict[str, float]) -> DataFrame:

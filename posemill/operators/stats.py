@@ -42,8 +42,8 @@ def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[fl
     below and between; only then is the exact function used, on what is between. Each pass is one aggregate of scalars.
     """
     counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
-    # Of each percentile: bounds, values below the lower bound, values between.
-    spots = {(n, p): [None, None, 0, counts[n]] for n in columns for p in shares}
+    # Of each percentile: bounds, values below the lower bound, values between, whether a sketch may still bring them closer.
+    spots = {(n, p): [None, None, 0, counts[n], True] for n in columns for p in shares}
 
     def between(n: str, spot: list) -> Column:
         inside = F.lit(True)
@@ -51,7 +51,7 @@ def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[fl
             inside = (columns[n] >= spot[0]) & (columns[n] <= spot[1])
         return F.when(inside, columns[n])
 
-    while wide := {k: s for k, s in spots.items() if s[3] > held and (s[0] is None or s[0] < s[1])}:
+    while wide := {k: s for k, s in spots.items() if s[4] and s[3] > held and (s[0] is None or s[0] < s[1])}:
         asks = []
         for i, ((n, p), s) in enumerate(wide.items()):
             rank = p * (counts[n] - 1) - s[2]
@@ -67,19 +67,33 @@ def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[fl
             rank = key[1] * (counts[key[0]] - 1)
             held_between = told[2 * i] <= int(rank) and -int(-rank // 1) < told[2 * i] + told[2 * i + 1]
             if not held_between or told[2 * i + 1] >= s[3]:  # the sketch can do no better: the exact function takes over
-                s[3] = 0
+                s[4] = False
             else:
-                s[:] = [*bounds[i], told[2 * i], told[2 * i + 1]]
+                s[:] = [*bounds[i], told[2 * i], told[2 * i + 1], True]
     last = []
     for (n, p), s in spots.items():
-        size = s[3] or counts[n]
         rank = p * (counts[n] - 1) - s[2]
-        last.append(F.percentile(between(n, s), min(1.0, max(0.0, rank / (size - 1))) if size > 1 else 0.5))
+        last.append(F.percentile(between(n, s), min(1.0, max(0.0, rank / (s[3] - 1))) if s[3] > 1 else 0.5))
     found = df.agg(*last).first()
     values = dict(zip(spots, found))
     return {n: [values[n, p] for p in shares] for n in columns}
 
 
+def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and the exact median of each column, for few groups of any size (clusters, views): a group's values are never
+    gathered in one task."""
+    groups = [tuple(row) for row in df.select(*keys).distinct().collect()]
+    def of(group: tuple) -> Column:
+        out = F.lit(True)
+        for key, value in zip(keys, group):
+            out = out & F.col(key).eqNullSafe(F.lit(value))
+        return out
+    found = exact_percentiles(df, {f"{i} {c}": F.when(of(g), F.col(c)) for i, g in enumerate(groups) for c in columns}, [0.5]) if groups else {}
+    rows = [(*g, *[found[f"{i} {c}"][0] for c in columns]) for i, g in enumerate(groups)]
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{c}` double" for c in columns])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """columns clipped to their global percentiles; NULLs stay."""
     bounds = exact_percentiles(df, {c: F.col(c) for c in columns}, [low, high])

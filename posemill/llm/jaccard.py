@@ -19,6 +19,7 @@ All filters are necessary conditions, so no link between different components is
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -315,15 +316,26 @@ def _star_pairs(rows: DataFrame, attributes: DataFrame, percent: int) -> DataFra
 
 
 def _rest_pairs(rows: DataFrame, attributes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components that share a prefix token and pass the filters. One side of a token's join is
-    what lies outside the component of its most typical class, so a component that holds most of it isn't met with itself."""
+    """The pairs of different components that share a prefix token and pass the filters.
+
+    Of the tokens that the same classes hold (those of one passage, say) one stands for all. One side of a token's join
+    is what lies outside the component of its most typical class, so a component that holds most of it isn't met with
+    itself. Sizes of linked sets differ by the threshold's ratio at most, so classes of sizes are part of the key.
+    """
     placed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("odd", "id", "component")).alias("main")).filter("low < high")
-    opened = placed.join(mixed_tokens.select("token", F.col("main.component").alias("main")), "token").join(attributes, "id")
+    of_token = placed.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("odd", "id", "component")).alias("main"),
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("holders"), F.sum(F.hash("id").cast("long")).alias("more")).filter("low < high")
+    chosen = of_token.groupBy("size", "holders", "more").agg(F.min(F.struct("token", "main.component")).alias("t"))
+    chosen = chosen.select(F.col("t.token").alias("token"), F.col("t.component").alias("main"))
+    opened = placed.join(chosen, "token").join(attributes, "id")
     opened = written(opened.select("token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", "u", "bits", "second", "third"), "open-prefixes")
-    x, y = opened.filter(~F.col("inside")).alias("x"), opened.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.inside") | (F.col("x.id") < F.col("y.id")))
-    pairs = x.join(y, on & _may_link("x", "y", percent))
+    place = F.log(F.col("n").cast("double")) / math.log(100 / percent)
+    near = F.sequence(F.floor(place - 1 - 1e-9), F.floor(place + 1 + 1e-9))
+    x = opened.filter(~F.col("inside")).withColumn("class", F.floor(place)).alias("x")
+    y = opened.withColumn("class", F.explode(near)).alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, on & (F.col("y.inside") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 

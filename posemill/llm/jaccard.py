@@ -213,7 +213,8 @@ def packed_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFram
 
 
 def profiles(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """For each set of blocks that can still link: id, n, u int (tokens of no other set), bits, second, third
+    """For each set of blocks that can still link: id, n, u int (tokens of no other set), extra int (shared tokens beyond
+    the first in a slot of bits), bits, second, third
     array<long> (bitmaps of its shared tokens and of its prefixes under the second and third order), prefix array<long>
     (shared tokens of its prefix under the first order), tokens, second_prefix, third_prefix binary."""
     buckets = 1 << max(4, (4 * shuffle_partitions(blocks.sparkSession) - 1).bit_length())
@@ -255,19 +256,24 @@ def profiles(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             for rank, salt in zip(ranks, _SALTS):
                 first = np.lexsort((mixed(own ^ salt), rank))[:p]
                 firsts.append(np.sort(own[first[shared[first]]]))
-            out.append((i, n, u, _bitmap(own[shared], BITMAP_WORDS), _bitmap(firsts[1], SMALL_BITMAP_WORDS), _bitmap(firsts[2], SMALL_BITMAP_WORDS),
+            slots = _slots(own[shared], BITMAP_WORDS)
+            out.append((i, n, u, n - u - int(slots.sum()), _words(slots), _words(_slots(firsts[1], SMALL_BITMAP_WORDS)), _words(_slots(firsts[2], SMALL_BITMAP_WORDS)),
                         firsts[0].view(np.int64), own.tobytes(), firsts[1].tobytes(), firsts[2].tobytes()))
-        return pd.DataFrame(out, columns=["id", "n", "u", "bits", "second", "third", "prefix", "tokens", "second_prefix", "third_prefix"])
+        return pd.DataFrame(out, columns=["id", "n", "u", "extra", "bits", "second", "third", "prefix", "tokens", "second_prefix", "third_prefix"])
 
     sent = blocks.select("block", "tokens").mapInArrow(send, "bucket int, block long, tokens binary, counts binary")
     answers = sent.groupBy("bucket").applyInPandas(total, "bucket int, block long, df binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        profile, "id long, n int, u int, bits array<long>, second array<long>, third array<long>, prefix array<long>, tokens binary, second_prefix binary, third_prefix binary")
+        profile, "id long, n int, u int, extra int, bits array<long>, second array<long>, third array<long>, prefix array<long>, tokens binary, second_prefix binary, third_prefix binary")
 
 
-def _bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
-    slots = np.zeros(words * 64, np.uint8)
-    slots[(tokens >> np.uint64(17)) & np.uint64(words * 64 - 1)] = 1
+def _slots(tokens: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words * 64, np.uint8)
+    out[(tokens >> np.uint64(17)) & np.uint64(words * 64 - 1)] = 1
+    return out
+
+
+def _words(slots: np.ndarray) -> np.ndarray:
     return np.packbits(slots, bitorder="little").view(np.int64)
 
 
@@ -278,7 +284,7 @@ def _may_link(a: str, b: str, percent: int = PERCENT) -> Column:
     shared = [F.col(f"{x}.n") - F.col(f"{x}.u") for x in (a, b)]
     both = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseAND(F.col(f"{b}.bits")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
     # A slot in both bitmaps stands for one common token at most, but for the tokens beyond the first in a slot.
-    beyond = F.least(*[s - sum((F.bit_count(F.col(f"{x}.bits")[i]) for i in range(BITMAP_WORDS)), F.lit(0)) for x, s in zip((a, b), shared)])
+    beyond = F.least(F.col(f"{a}.extra"), F.col(f"{b}.extra"))
     meets = [sum((F.bit_count(F.col(f"{a}.{o}")[i].bitwiseAND(F.col(f"{b}.{o}")[i])) for i in range(SMALL_BITMAP_WORDS)), F.lit(0)) > 0 for o in ("second", "third")]
     return bound(F.least(*shared)) & meets[0] & meets[1] & bound(F.least(both + beyond, *shared))
 
@@ -329,7 +335,7 @@ def _rest_pairs(rows: DataFrame, attributes: DataFrame, found: DataFrame, percen
     chosen = of_token.groupBy("size", "holders", "more").agg(F.min(F.struct("token", "main.component")).alias("t"))
     chosen = chosen.select(F.col("t.token").alias("token"), F.col("t.component").alias("main"))
     opened = placed.join(chosen, "token").join(attributes, "id")
-    opened = written(opened.select("token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", "u", "bits", "second", "third"), "open-prefixes")
+    opened = written(opened.select("token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", "u", "extra", "bits", "second", "third"), "open-prefixes")
     place = F.log(F.col("n").cast("double")) / math.log(100 / percent)
     near = F.sequence(F.floor(place - 1 - 1e-9), F.floor(place + 1 + 1e-9))
     x = opened.filter(~F.col("inside")).withColumn("class", F.floor(place)).alias("x")
@@ -360,7 +366,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if repeated.limit(1).count():
         known = known.dropDuplicates(["id", "tokens"])
     sets = written(known, "set-profiles")
-    attributes = sets.select("id", "n", "u", "bits", "second", "third")
+    attributes = sets.select("id", "n", "u", "extra", "bits", "second", "third")
     rows = written(sets.select(F.explode("prefix").alias("token"), "id", (F.col("u") / F.col("n")).alias("odd")), "prefixes")
     star_pairs = written(_star_pairs(rows, attributes, percent), "star-pairs")
     stars = written(verified(star_pairs, sets, percent), "star-links")

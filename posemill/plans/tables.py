@@ -288,21 +288,23 @@ def named_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.named_clusters(rows, "cluster", "view", "angle", "effort")
 
 
-_DIMS = 8
-
-
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(_DIMS)])
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The whole embeddings as columns, as many as the longest has values, and the columns' names."""
+    rows = read(spark, sf_dir, "embeddings")
+    names = [f"e{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)]), names
 
 
 @query()
 def cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kmeans(_vectors(spark, sf_dir), [f"e{i}" for i in range(_DIMS)], 6).select("vec_id", "cluster")
+    rows, names = _vectors(spark, sf_dir)
+    return C.kmeans(rows, names, 6).select("vec_id", "cluster")
 
 
 @query()
 def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.principal_components(_vectors(spark, sf_dir).drop("embedding"), [f"e{i}" for i in range(_DIMS)]).select("vec_id", "pc1", "pc2")
+    rows, names = _vectors(spark, sf_dir)
+    return C.principal_components(rows, names).select("vec_id", "pc1", "pc2")
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (
@@ -404,22 +406,23 @@ def recode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                        X.score_total(a, F.when(k % 5 < 3, (k % 5).cast("int"))).cast("int").alias("total"), X.csv_quoted(F.col("o_orderpriority")).alias("quoted"), X.sanitized(F.col("o_orderpriority")).alias("safe"))
 
 
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three ordered classes of vectors, in groups of participants."""
-    return _vectors(spark, sf_dir).select("vec_id", (F.col("label") % 3).cast("int").alias("y"), (F.col("vec_id") % 10).alias("participant"), *[f"e{i}" for i in range(_DIMS)])
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Three ordered classes of vectors, in groups of participants, and the names of the features."""
+    rows, names = _vectors(spark, sf_dir)
+    return rows.select("vec_id", (F.col("label") % 3).cast("int").alias("y"), (F.col("vec_id") % 10).alias("participant"), *names), names
 
 
 @query()
 def grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classes(spark, sf_dir)
-    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 3), "participant", "y", [f"e{i}" for i in range(_DIMS)], learn.challengers()["tree"])
+    rows, names = _classes(spark, sf_dir)
+    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 3), "participant", "y", names, learn.challengers()["tree"])
     return out.select("vec_id", "fold", "y", "pred", "confidence")
 
 
 @query()
 def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classes(spark, sf_dir)
-    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 2), "participant", "y", [f"e{i}" for i in range(_DIMS)], learn.challengers()["ordinal"])
+    rows, names = _classes(spark, sf_dir)
+    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 2), "participant", "y", names, learn.challengers()["ordinal"])
     return out.select("vec_id", "fold", "y", "pred", r("confidence").alias("confidence"))
 
 

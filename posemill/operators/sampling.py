@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,16 +49,33 @@ def spaced_picks(df: DataFrame, group: str, at: str, score: str, most: int | Non
     return picked.orderBy(F.desc(score), group, at).limit(most)
 
 
-def round_robin_picks(df: DataFrame, cluster: str, group: str, at: str, order: str, most: int, per_group: int, spacing: float, reach: int = 8) -> DataFrame:
+def round_robin_picks(df: DataFrame, cluster: str, group: str, at: str, order: str, most: int, per_group: int, spacing: float) -> DataFrame:
     """Turns over the clusters, each adding its next row that keeps the caps and spacing shared by all, until `most`
-    rows are chosen or a turn adds none. Candidates are the first `reach` rows of each (cluster, group), by definition:
-    the choice is one sequence in one task, and so its input is cut where the groups are dealt out."""
-    df = df.withColumn("_i", F.row_number().over(W.partitionBy(cluster, group).orderBy(order, at))).filter(F.col("_i") <= reach).drop("_i")
+    rows are chosen or a turn adds none. Ties of order: the smaller group, then the smaller place.
+
+    The choice is one sequence in one task. Left out before are only rows that it can't choose: of a cluster and group,
+    those at the place of an earlier row, and those after `per_group` rows that lie twice the spacing apart, as fewer
+    choices than the cap can't block all of these.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    if spacing > 0:
+        first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.isnull(order), F.isnan(F.col(order).cast("double")), F.col(order)))
+        df = df.groupBy(F.col(cluster).alias("_c"), F.col(group).alias("_g"), F.col(at).alias("_a")).agg(first.alias("_r")).select("_r.*")
+
+    def within_reach(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order, at], kind="stable")
+        apart: list[float] = []
+        for i, place in enumerate(rows[at].to_numpy()):
+            if len(apart) >= per_group:
+                return rows.iloc[:i]
+            if all(abs(place - p) >= 2 * spacing for p in apart) and place == place:
+                apart.append(place)
+        return rows
 
     def turns(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([cluster, order], kind="stable").reset_index(drop=True)
-        waiting = {c: list(part.index) for c, part in rows.groupby(cluster, sort=True)}
+        rows = rows.sort_values([cluster, order, group, at], kind="stable").reset_index(drop=True)
+        waiting = {c: deque(part.index) for c, part in rows.groupby(cluster, sort=True)}
+        groups, spots = rows[group].to_list(), rows[at].to_list()
         taken: dict[object, list[float]] = {}
         chosen: list[int] = []
         added = True
@@ -64,16 +83,16 @@ def round_robin_picks(df: DataFrame, cluster: str, group: str, at: str, order: s
             added = False
             for queue in waiting.values():
                 while queue and len(chosen) < most:
-                    i = queue.pop(0)
-                    places = taken.setdefault(rows.at[i, group], [])
-                    if len(places) < per_group and all(abs(rows.at[i, at] - p) >= spacing for p in places):
-                        places.append(rows.at[i, at])
+                    i = queue.popleft()
+                    places = taken.setdefault(groups[i], [])
+                    if len(places) < per_group and all(abs(spots[i] - p) >= spacing for p in places):
+                        places.append(spots[i])
                         chosen.append(i)
                         added = True
                         break
         return rows.loc[chosen]
 
-    return df.groupBy().applyInPandas(turns, schema)
+    return df.groupBy(cluster, group).applyInPandas(within_reach, schema).groupBy().applyInPandas(turns, schema)
 
 
 def hash_order(key: str, seed: int) -> Column:

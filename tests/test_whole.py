@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from posemill.operators import sampling
 from posemill.plans import catalog
 
 
@@ -26,3 +28,34 @@ def test_whole_embeddings_are_used(spark, tmp_path):
     assert abs(pc.agg(F.corr("pc1", "label")).first()[0]) > 0.99
     for name in ("grouped_kfold", "ordinal_oof"):  # a third by chance
         assert catalog.QUERIES[name](spark, at).filter("pred = y").count() > 100
+
+
+def turns(rows, most, per_group, spacing):
+    """The loop over all rows (cluster, group, at, order)."""
+    rows = sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2]))
+    chosen, taken, added = [], {}, True
+    while added and len(chosen) < most:
+        added = False
+        for c in sorted({r[0] for r in rows}):
+            for r in rows:
+                places = taken.setdefault(r[1], [])
+                if len(chosen) < most and r[0] == c and r not in chosen and len(places) < per_group and all(abs(r[2] - p) >= spacing for p in places):
+                    places.append(r[2])
+                    chosen.append(r)
+                    added = True
+                    break
+    return sorted(chosen)
+
+
+def test_round_robin_goes_on_after_a_burst(spark):
+    rows = [(0, "p", 0.1 * i, i) for i in range(20)] + [(0, "p", 50.0, 20), (0, "p", 90.0, 21)]
+    got = sampling.round_robin_picks(spark.createDataFrame(rows, "c int, g string, at double, o int"), "c", "g", "at", "o", 10, 3, 6.0)
+    assert sorted(r["at"] for r in got.collect()) == [0.0, 50.0, 90.0]
+
+
+@pytest.mark.parametrize("seed, spacing", [(1, 6.0), (2, 3.0), (3, 12.0), (4, 0.0)])
+def test_round_robin_equals_the_loop_over_all_rows(spark, seed, spacing):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(3), f"p{rng.randrange(4)}", float(rng.choice((0, 5, 40)) + rng.randrange(8)), i) for i in range(200)]
+    got = sampling.round_robin_picks(spark.createDataFrame(rows, "c int, g string, at double, o int"), "c", "g", "at", "o", 40, 4, spacing)
+    assert sorted(map(tuple, got.collect())) == turns(rows, 40, 4, spacing)

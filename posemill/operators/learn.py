@@ -6,8 +6,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +29,9 @@ def fold_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
 
 
 def assembled(df: DataFrame, features: list[str], medians: dict[str, float]) -> DataFrame:
-    filled = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f]))) for f in features})
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
+    """df with _x: the features as a vector, medians for missing ones. One expression, so that plans over many folds stay small."""
+    values, middles = F.array(*[F.col(f).cast("double") for f in features]), F.lit([float(medians[f]) for f in features])
+    return df.withColumn("_x", array_to_vector(F.zip_with(values, middles, lambda v, m: F.coalesce(v, m))))
 
 
 class OrdinalLogistic:
@@ -145,7 +145,9 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, feature
         if train.select(label).distinct().limit(2).count() < 2:
             continue
         medians = fold_medians(train, features)
-        model = make().fit(class_weights(assembled(train, features, medians), label, weight), label, "_w")
+        ready = class_weights(assembled(train, features, medians), label, weight).select(label, "_w", "_x").cache()
+        model = make().fit(ready, label, "_w")
+        ready.unpersist()
         part = predicted(model.shares(assembled(test, features, medians)), model.classes).drop("_x")
         out = part if out is None else out.unionByName(part)
     return out

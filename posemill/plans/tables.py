@@ -415,14 +415,14 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 @query()
 def grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _classes(spark, sf_dir)
-    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 3), "participant", "y", names, learn.challengers()["tree"])
+    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 5), "participant", "y", names, learn.challengers()["tree"])
     return out.select("vec_id", "fold", "y", "pred", "confidence")
 
 
 @query()
 def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _classes(spark, sf_dir)
-    out = learn.out_of_fold(rows, learn.grouped_folds(rows, "participant", 2), "participant", "y", names, learn.challengers()["ordinal"])
+    out = learn.out_of_fold(rows, learn.leave_group_out(rows, "participant"), "participant", "y", names, learn.challengers()["ordinal"])
     return out.select("vec_id", "fold", "y", "pred", r("confidence").alias("confidence"))
 
 

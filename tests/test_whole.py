@@ -59,3 +59,10 @@ def test_round_robin_equals_the_loop_over_all_rows(spark, seed, spacing):
     rows = [(rng.randrange(3), f"p{rng.randrange(4)}", float(rng.choice((0, 5, 40)) + rng.randrange(8)), i) for i in range(200)]
     got = sampling.round_robin_picks(spark.createDataFrame(rows, "c int, g string, at double, o int"), "c", "g", "at", "o", 40, 4, spacing)
     assert sorted(map(tuple, got.collect())) == turns(rows, 40, 4, spacing)
+
+
+@pytest.mark.parametrize("name, folds", [("grouped_kfold", 5), ("ordinal_oof", 10)])
+def test_models_learn_from_all_other_folds(spark, tmp_path, name, folds):
+    """Ten participants: five folds of two, or each left out once."""
+    found = catalog.QUERIES[name](spark, vectors(spark, tmp_path)).groupBy("fold").agg(F.countDistinct(F.col("vec_id") % 10).alias("n"))
+    assert [r["n"] for r in found.collect()] == [10 // folds] * folds

@@ -22,13 +22,15 @@ def kmeans(df: DataFrame, columns: list[str], k: int, restarts: int = 3, seed: i
     return out
 
 
-def best_k(df: DataFrame, columns: list[str], most: int, vector: Column, sample: int = 2000) -> int:
-    """The k from 2 to most with the greatest silhouette on at most about `sample` rows; the first of equals."""
+def best_k(df: DataFrame, columns: list[str], most: int, vector: Column) -> int:
+    """The k from 2 to most with the greatest mean silhouette of all rows; the first of equals."""
     scores = []
-    share = min(1.0, sample / max(1, df.count()))
+    rows = df.withColumns({"_i": F.monotonically_increasing_id(), "_p": vector}).cache()
+    block = max(64, -(-rows.count() // 1000))  # about a thousand rows in a block at any size
     for k in range(2, most + 1):
-        rows = kmeans(df, columns, k).withColumn("_p", vector).sample(share, 1)
-        scores.append((silhouette(rows.withColumn("_i", F.monotonically_increasing_id()), "_i", "cluster", "_p").agg(F.avg("silhouette")).first()[0] or -1.0, -k))
+        mean = silhouette(kmeans(rows, columns, k), "_i", "cluster", "_p", block).agg(F.avg("silhouette")).first()[0]
+        scores.append((-1.0 if mean is None else mean, -k))
+    rows.unpersist()
     return -max(scores)[1]
 
 
@@ -49,7 +51,6 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int =
     """key, cluster, silhouette with Euclidean distance; 0 for a cluster of one.
 
     Quadratic by definition: each row against all others, in blocks of rows, so that a pair never is a row by itself.
-    Meant for a bounded sample of windows.
     """
     points = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
     blocks = points.groupBy(F.pmod(F.xxhash64("i"), F.lit(block)).alias("b"), F.col("c").alias("oc")).agg(F.collect_list(F.struct("i", "v")).alias("others"))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from posemill.operators import sampling
+from posemill.operators import cluster, sampling
 from posemill.plans import catalog
 
 
@@ -66,3 +66,18 @@ def test_models_learn_from_all_other_folds(spark, tmp_path, name, folds):
     """Ten participants: five folds of two, or each left out once."""
     found = catalog.QUERIES[name](spark, vectors(spark, tmp_path)).groupBy("fold").agg(F.countDistinct(F.col("vec_id") % 10).alias("n"))
     assert [r["n"] for r in found.collect()] == [10 // folds] * folds
+
+
+def test_best_k_scores_all_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.gauss(10 * (i % 3), 0.3), rng.gauss(0, 0.3)) for i in range(2400)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    scored, whole = [], cluster.silhouette
+
+    def counting(rows, *args):
+        scored.append(rows.count())
+        return whole(rows, *args)
+
+    monkeypatch.setattr(cluster, "silhouette", counting)
+    assert cluster.best_k(df, ["x", "y"], 4, F.array("x", "y")) == 3
+    assert scored == [2400] * 3

@@ -13,7 +13,7 @@ from posemill.functions.scalars import quadrant
 from posemill.operators.stats import exact_medians
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int, restarts: int = 3, seed: int = 0, name: str = "cluster") -> DataFrame:
+def kmeans(df: DataFrame, columns: list[str], k: int, restarts: int = 10, seed: int = 0, name: str = "cluster") -> DataFrame:
     """df with the cluster of the best of `restarts` runs (least cost)."""
     rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(df).cache()
     models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol=name, maxIter=30).fit(rows) for i in range(restarts)]

@@ -37,7 +37,7 @@ def assembled(df: DataFrame, features: list[str], medians: dict[str, float]) ->
 class OrdinalLogistic:
     """K - 1 weighted logistic models of P(label > k); class shares are their differences, at least 1e-9, normalized."""
 
-    def __init__(self, reg: float = 0.01, iterations: int = 50):
+    def __init__(self, reg: float = 0.01, iterations: int = 3000):
         self.reg, self.iterations = reg, iterations
         self.classes: list[int] = []
         self.models: list = []
@@ -104,10 +104,10 @@ def challengers() -> dict[str, Callable[[], object]]:
     """The models that compete."""
     return {
         "ordinal": OrdinalLogistic,
-        "softmax": lambda: Standard(lambda y, w: LogisticRegression(labelCol=y, weightCol=w, family="multinomial", regParam=0.01, maxIter=50, **_OUT)),
+        "softmax": lambda: Standard(lambda y, w: LogisticRegression(labelCol=y, weightCol=w, family="multinomial", regParam=0.01, maxIter=3000, **_OUT)),
         "tree": lambda: Standard(lambda y, w: DecisionTreeClassifier(labelCol=y, weightCol=w, maxDepth=4, minInstancesPerNode=15, seed=0, **_OUT)),
         "boosted": Boosted,
-        "forest": lambda: Standard(lambda y, w: RandomForestClassifier(labelCol=y, weightCol=w, numTrees=100, minInstancesPerNode=2, seed=0, **_OUT)),
+        "forest": lambda: Standard(lambda y, w: RandomForestClassifier(labelCol=y, weightCol=w, numTrees=400, minInstancesPerNode=2, seed=0, **_OUT)),
     }
 
 

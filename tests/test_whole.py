@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from posemill.operators import cluster, sampling
+from posemill.operators import cluster, learn, sampling
 from posemill.plans import catalog
 
 
@@ -81,3 +81,14 @@ def test_best_k_scores_all_rows(spark, monkeypatch):
     monkeypatch.setattr(cluster, "silhouette", counting)
     assert cluster.best_k(df, ["x", "y"], 4, F.array("x", "y")) == 3
     assert scored == [2400] * 3
+
+
+def test_searches_are_as_long_as_the_reference_s(spark, monkeypatch):
+    seeds, make = [], cluster.KMeans
+    monkeypatch.setattr(cluster, "KMeans", lambda **named: seeds.append(named["seed"]) or make(**named))
+    df = spark.createDataFrame([(i % 2, float(i % 2 + i / 100)) for i in range(40)], "y int, x double")
+    cluster.kmeans(df, ["x"], 2)
+    assert seeds == list(range(10))
+    rows = learn.class_weights(learn.assembled(df, ["x"], {"x": 0.0}), "y")
+    assert learn.challengers()["forest"]().fit(rows, "y", "_w").model.getNumTrees == 400
+    assert learn.OrdinalLogistic().iterations == 3000

@@ -10,8 +10,9 @@ What keeps the work in proportion to the input:
 - A set with too many tokens that no other set has links with nothing. Frequencies are counted on packed, bucketed
   blocks of tokens, each task sending a token once, and only 3 of 8 tokens are counted in this first pass.
 - A token shared by many classes makes a star around its most typical class, not all pairs. The pairs that remain, in
-  different components after the stars are verified, are found by a self-join that keeps only pairs which size, unique
-  tokens and token bitmaps allow; no pair within a component is made.
+  different components after the stars are verified, are found by a self-join whose key holds both classes of size that
+  the places of the token in both prefixes allow, so a token late in a prefix meets few sets or none. Of what is left,
+  sizes, unique tokens and token bitmaps let pass what is verified; no pair within a component is made.
 
 All filters are necessary conditions, so no link between different components is lost.
 """
@@ -29,13 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posemill.llm.common import shuffle_partitions, written
+from posemill.llm.common import discard, written
 from posemill.llm.components import components
 from posemill.llm.wordhash import mixed, shingle_set
 
 WORDS, PERCENT = 5, 75
 #: Tokens in a block of packed tokens: a block is sorted in memory.
 BLOCK_TOKENS = 1_000_000
+#: Tokens that meet in one bucket: at least, and at most, whatever the input. Between these a bucket grows with the root of
+#: the input, so that neither the buckets' sizes nor the pieces that each block is cut into get out of hand.
+BUCKET_TOKENS = (250_000, 8_000_000)
+#: A set is in one of this many classes of size for each step by the threshold's ratio.
+SIZE_STEPS = 4
+#: Where more classes hold a token, both sides of the residual join are cut into parts of about so many, each met by all.
+TOKEN_ROWS = 2048
 #: A table of so many rows at most is broadcast (16 bytes a row); a larger one is shuffled.
 BROADCAST_ROWS = 2_000_000
 BITMAP_WORDS, SMALL_BITMAP_WORDS = 16, 4
@@ -49,6 +57,18 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def bucket_count(tokens: int) -> int:
+    """A power of two: how many buckets so many tokens are dealt to."""
+    low, high = BUCKET_TOKENS
+    each = min(high, max(low, 20 * math.isqrt(tokens)))
+    return 1 << max(6, (-(-tokens // each) - 1).bit_length())
+
+
+def text_tokens(docs: DataFrame) -> int:
+    """About how many tokens the texts have: a sixth of their bytes."""
+    return (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Integers as byte planes, whose empty high planes the shuffle's compression removes."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
@@ -94,10 +114,9 @@ def _block_id(number: int) -> int:
     return (TaskContext.get().partitionId() << 24) + number
 
 
-def sized_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def sized_documents(docs: DataFrame, buckets: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n long (size of the set), k1, k2 long (a hash of the set), possible boolean: false where so many of the
-    set's tokens are in no other document that it links with nothing."""
-    buckets = 1 << max(4, (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length())
+    set's tokens are in no other document that it links with nothing. Tokens meet in `buckets`, a power of two."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sets, held, number = [], [], 0, 0
@@ -212,12 +231,11 @@ def packed_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFram
     return rows.mapInArrow(scan, "block long, ids binary, sizes binary, tokens binary")
 
 
-def profiles(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+def profiles(blocks: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
     """For each set of blocks that can still link: id, n, u int (tokens of no other set), extra int (shared tokens beyond
-    the first in a slot of bits), bits, second, third
-    array<long> (bitmaps of its shared tokens and of its prefixes under the second and third order), prefix array<long>
-    (shared tokens of its prefix under the first order), tokens, second_prefix, third_prefix binary."""
-    buckets = 1 << max(4, (4 * shuffle_partitions(blocks.sparkSession) - 1).bit_length())
+    the first in a slot of bits), bits, second, third array<long> (bitmaps of its shared tokens and of its prefixes under
+    the second and third order), prefix array<long>, places array<int> (shared tokens of its prefix under the first order
+    and where they stand among all its tokens), tokens, second_prefix, third_prefix binary."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,19 +270,21 @@ def profiles(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
                 continue
             shared = freq > 1
             ranks = (freq.astype(np.uint64), np.log2(freq).astype(np.uint64), (np.log2(freq) / 2).astype(np.uint64))
-            firsts = []
+            firsts, places = [], None
             for rank, salt in zip(ranks, _SALTS):
                 first = np.lexsort((mixed(own ^ salt), rank))[:p]
-                firsts.append(np.sort(own[first[shared[first]]]))
+                places = np.flatnonzero(shared[first]) if places is None else places
+                firsts.append(own[first[shared[first]]])
             slots = _slots(own[shared], BITMAP_WORDS)
             out.append((i, n, u, n - u - int(slots.sum()), _words(slots), _words(_slots(firsts[1], SMALL_BITMAP_WORDS)), _words(_slots(firsts[2], SMALL_BITMAP_WORDS)),
-                        firsts[0].view(np.int64), own.tobytes(), firsts[1].tobytes(), firsts[2].tobytes()))
-        return pd.DataFrame(out, columns=["id", "n", "u", "extra", "bits", "second", "third", "prefix", "tokens", "second_prefix", "third_prefix"])
+                        firsts[0].view(np.int64), places.astype(np.int32), own.tobytes(), firsts[1].tobytes(), firsts[2].tobytes()))
+        return pd.DataFrame(out, columns=["id", "n", "u", "extra", "bits", "second", "third", "prefix", "places", "tokens", "second_prefix", "third_prefix"])
 
     sent = blocks.select("block", "tokens").mapInArrow(send, "bucket int, block long, tokens binary, counts binary")
     answers = sent.groupBy("bucket").applyInPandas(total, "bucket int, block long, df binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        profile, "id long, n int, u int, extra int, bits array<long>, second array<long>, third array<long>, prefix array<long>, tokens binary, second_prefix binary, third_prefix binary")
+        profile, "id long, n int, u int, extra int, bits array<long>, second array<long>, third array<long>, prefix array<long>, places array<int>, tokens binary, "
+        "second_prefix binary, third_prefix binary")
 
 
 def _slots(tokens: np.ndarray, words: int) -> np.ndarray:
@@ -312,37 +332,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return side("a").join(side("b"), ["a", "b"]).mapInArrow(check, "a long, b long")
 
 
-def _star_pairs(rows: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """For each prefix token the pairs of its most typical class (least share of unique tokens) with the others."""
-    pivots = rows.groupBy("token").agg(F.min(F.struct("odd", "id")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    pairs = rows.join(pivots.select("token", F.col("pivot.id").alias("pivot")), "token").filter("id != pivot")
-    pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    return pairs.join(attributes.alias("x"), F.col("a") == F.col("x.id")).join(attributes.alias("y"), F.col("b") == F.col("y.id")).filter(
-        _may_link("x", "y", percent)).select("a", "b")
+def _allowed(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
+    x, y = attributes.alias("x"), attributes.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).filter(_may_link("x", "y", percent)).select("a", "b")
 
 
-def _rest_pairs(rows: DataFrame, attributes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components that share a prefix token and pass the filters.
+def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """For each prefix token the pairs of its most typical class (least share of unique tokens) with the others."""
+    pivots = rows.groupBy("token").agg(F.min(F.struct("odd", "id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    pairs = rows.join(pivots.select("token", "pivot"), "token").filter(F.col("id") != F.col("pivot.id"))
+    pairs = pairs.filter(100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n"))
+    return pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
 
-    Of the tokens that the same classes hold (those of one passage, say) one stands for all. One side of a token's join
-    is what lies outside the component of its most typical class, so a component that holds most of it isn't met with
-    itself. Sizes of linked sets differ by the threshold's ratio at most, so classes of sizes are part of the key.
-    """
+
+def _open_rows(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """token, id, component, inside, n, rest, own, size: of the prefix tokens that several components hold, what can still
+    meet. Of the tokens that the same classes hold (those of one passage, say) the first stands for all. inside: in the
+    component of the token's most typical class. rest: the set's tokens from this one on. own: its class of size. size:
+    how many classes hold the token."""
     placed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_token = placed.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("odd", "id", "component")).alias("main"),
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("holders"), F.sum(F.hash("id").cast("long")).alias("more")).filter("low < high")
-    chosen = of_token.groupBy("size", "holders", "more").agg(F.min(F.struct("token", "main.component")).alias("t"))
-    chosen = chosen.select(F.col("t.token").alias("token"), F.col("t.component").alias("main"))
-    opened = placed.join(chosen, "token").join(attributes, "id")
-    opened = written(opened.select("token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", "u", "extra", "bits", "second", "third"), "open-prefixes")
-    place = F.log(F.col("n").cast("double")) / math.log(100 / percent)
-    near = F.sequence(F.floor(place - 1 - 1e-9), F.floor(place + 1 + 1e-9))
-    x = opened.filter(~F.col("inside")).withColumn("class", F.floor(place)).alias("x")
-    y = opened.withColumn("class", F.explode(near)).alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, on & (F.col("y.inside") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("odd", "id", "set", "component", "place")).alias("main"),
+        F.count(F.lit(1)).alias("size"), F.bit_xor("set").alias("holders"), F.sum(F.hash("set").cast("long")).alias("more")).filter("low < high")
+    chosen = of_token.groupBy("size", "holders", "more").agg(F.min(F.struct("main.place", "token", "main.component")).alias("t"))
+    chosen = chosen.select(F.col("t.token").alias("token"), F.col("t.component").alias("main"), "size")
+    n = F.col("n").cast("double")
+    return placed.join(chosen, "token").select(
+        "token", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "n", (F.col("n") - F.col("place")).alias("rest"),
+        F.floor(F.log(n) / _size_unit(percent)).cast("int").alias("own"), "size").filter(_largest_partner(percent) >= n * percent / 100 - 1e-6)
+
+
+def _size_unit(percent: int) -> float:
+    return math.log(100 / percent) / SIZE_STEPS
+
+
+def _largest_partner(percent: int) -> Column:
+    """The most tokens that a set can have which first meets this one here, and links."""
+    n = F.col("n").cast("double")
+    return F.least(n * 100 / percent, F.col("rest") * (100 + percent) / percent - n)
+
+
+def _partner_classes(percent: int) -> Column:
+    first, last = (F.floor(F.log(size) / _size_unit(percent) + margin).cast("int") for size, margin in ((F.col("n") * percent / 100, -1e-9), (_largest_partner(percent), 1e-9)))
+    return F.sequence(first, F.greatest(first, last))
+
+
+def _enough(x: str, y: str, percent: int) -> Column:
+    """Whether what two sets have from a token on reaches the common tokens that they need."""
+    return (100 + percent) * F.least(f"{x}rest", f"{y}rest").cast("long") >= percent * (F.col(f"{x}n").cast("long") + F.col(f"{y}n"))
+
+
+def _rest_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that share a prefix token at places that allow a link.
+
+    A pair that links meets at the first token that both hold: all that they have in common comes from there on. So the
+    place of a token in a set bounds its partners' sizes, and the key holds the classes of size on both sides. One side
+    of a token's join is what lies outside the component of its most typical class, so a component that holds most of it
+    isn't met with itself. A token that many classes hold is cut into parts on either side, and each two meet in a task.
+    """
+    parts = F.ceil(F.col("size") / TOKEN_ROWS).cast("int")
+    dealt = opened.withColumn("other", F.explode(_partner_classes(percent)))
+    mine, all_ = F.pmod(F.xxhash64("id"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    x = dealt.filter(~F.col("inside")).withColumn("row", mine).withColumn("line", all_).alias("x")
+    y = dealt.withColumn("row", all_).withColumn("line", mine).alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    met = met & (F.col("x.row") == F.col("y.row")) & (F.col("x.line") == F.col("y.line"))
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("y.inside") | (F.col("x.id") < F.col("y.id")))
+    return x.join(y, met & apart & _enough("x.", "y.", percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -356,25 +412,32 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Sets are compared by 64-bit hashes of their tokens.
     """
     source = docs.select("doc_id", "text")
-    sized = written(sized_documents(source, words, percent), "sized-documents")
+    tokens = text_tokens(source)
+    # Three of eight tokens are counted at first.
+    sized = written(sized_documents(source, bucket_count(tokens * 3 // 8), words, percent), "sized-documents")
     open_docs = sized.filter(F.col("possible") & F.col("doc_id").isNotNull())
     classes = written(open_docs.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = written(classes.select(F.col("rep").alias("doc_id")).distinct(), "class-ids")
     blocks = written(packed_sets(source, reps, words), "packed-sets")
-    known = profiles(blocks, percent)
+    known = profiles(blocks, bucket_count(tokens), percent)
     repeated = open_docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     if repeated.limit(1).count():
         known = known.dropDuplicates(["id", "tokens"])
     sets = written(known, "set-profiles")
     attributes = sets.select("id", "n", "u", "extra", "bits", "second", "third")
-    rows = written(sets.select(F.explode("prefix").alias("token"), "id", (F.col("u") / F.col("n")).alias("odd")), "prefixes")
-    star_pairs = written(_star_pairs(rows, attributes, percent), "star-pairs")
+    rows = written(sets.select(F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("place"))), "id", "n", (F.col("u") / F.col("n")).alias("odd"),
+                              F.xxhash64("id", "tokens").alias("set")), "prefixes")
+    star_pairs = written(_allowed(_star_pairs(rows, percent), attributes, percent), "star-pairs")
     stars = written(verified(star_pairs, sets, percent), "star-links")
-    rest_pairs = written(_rest_pairs(rows, attributes, components(stars), percent), "rest-pairs")
+    clusters = components(stars)
+    opened = written(_open_rows(rows, clusters, percent), "open-prefixes")
+    rest_pairs = written(_allowed(_rest_pairs(opened, percent), attributes, percent), "rest-pairs")
     rest = written(verified(rest_pairs, sets, percent), "rest-links")
     # A class reaches the other rows of its documents: a doc_id with several sets joins their classes.
     own = open_docs.join(classes, ["n", "k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     several = own.join(repeated, F.col("a") == repeated["doc_id"], "left_semi")
-    found = written(components(stars.unionByName(rest).unionByName(several)), "set-components")
+    found = components(stars.unionByName(rest).unionByName(several))
+    for old in (reps, blocks, sets, rows, star_pairs, stars, clusters, opened, rest_pairs, rest):
+        discard(old)
     placed = sized.join(classes, ["n", "k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

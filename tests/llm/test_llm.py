@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from posemill.llm import bpe, chat, components, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding, tokens
+from posemill.llm import bpe, chat, components, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding, tokens, wordhash
 from posemill.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -397,3 +397,40 @@ def test_runs_are_compacted(spark):
         state.add(spark.range(i * 10, i * 10 + 10).select(F.col("id").alias("h1"), F.lit(0).alias("h2")))
     assert [len(level) for level in state.levels] == [1, 0, 1] and sum(r.count() for r in state.runs()) == 50
     assert state.unseen(spark.range(45, 55).select(F.col("id").alias("h1"), F.lit(0).alias("h2"))).count() == 5
+
+
+def test_near_copies_keep_all_links_and_few_pairs(spark):
+    """A group of near copies whose links are sparse: what is verified stays near what links, and no link is lost."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+
+    def edited(i: int) -> tuple[int, str]:
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(80)] = f"x{rng.randrange(10 ** 9)}"
+        return i, " ".join(words)
+
+    rows = [edited(i) for i in range(250)] + [(1000 + i, f"other text number {i} " + " ".join(base[40:])) for i in range(50)]
+    out = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+
+
+def test_small_parts_of_a_token_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOKEN_ROWS", 3)
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        text = list(words)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(40)] = f"y{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(text)))
+    out = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+
+
+def test_long_words_with_structured_collisions_differ():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert wordhash.word_hashes(a.encode())[0] != wordhash.word_hashes(b.encode())[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from posemill.llm.tokens import SplitEncoder, encode_all, load
+from posemill.llm.tokens import SplitEncoder, encode_all, load, splits_locally
 
 LEAF_CHARS = 4096
 FIRST_WINDOW = 48
@@ -38,11 +38,13 @@ class Part:
 
 
 class TreeEncoder:
-    """For byte-level BPE, where the bytes of a text's tokens are the bytes of the text."""
+    """For byte-level BPE that splits locally, where the bytes of a text's tokens are the bytes of the text. Of any other
+    tokenizer no text is cut: the library encodes each whole."""
 
     def __init__(self, tokenizer: Tokenizer, leaf_chars: int = LEAF_CHARS, first_window: int = FIRST_WINDOW):
         self.tokenizer, self.leaf_chars, self.first_window = tokenizer, leaf_chars, first_window
-        self.sizes = self._sizes()
+        self.cuts = splits_locally(tokenizer)
+        self.sizes = self._sizes() if self.cuts else np.zeros(0, np.int64)
         self.leaves = SplitEncoder(tokenizer)
         self.whole = [added.content for added in tokenizer.get_added_tokens_decoder().values()]
 
@@ -57,10 +59,10 @@ class TreeEncoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf_chars]
+        short = [i for i, t in enumerate(texts) if not self.cuts or len(t) <= self.leaf_chars]
         for i, ids in zip(short, self.leaves.encode([texts[i] for i in short])):
             out[i] = ids.tolist()
-        long = [i for i, t in enumerate(texts) if len(t) > self.leaf_chars]
+        long = [i for i, t in enumerate(texts) if self.cuts and len(t) > self.leaf_chars]
         for i, ids in zip(long, self._trees([texts[i] for i in long])):
             out[i] = ids
         return out
@@ -186,8 +188,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, digests: bool = False
 
     Ids are those of the library's own encoding without added special tokens; decoding keeps special tokens. Null text
     is empty: no ids, an empty decoded text. Repeated rows get equal results; an empty table gives an empty table.
-    Other columns pass through; those named like the added ones are replaced. The tokenizer must be byte-level BPE and
-    its file must be at tokenizer_path on every executor.
+    Other columns pass through; those named like the added ones are replaced. Texts of more than leaf_chars are cut if
+    the tokenizer is byte-level BPE that splits locally; any other encodes whole texts. Its file must be at
+    tokenizer_path on every executor.
     """
     added = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())} if digests else {
         "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -49,6 +50,44 @@ WORD_SPLIT = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUM
 BYTE_LEVEL_SPLIT = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 
 
+#: The steps before merging of the two kinds of tokenizers that these splits stand for.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    "suffix": "</w>",
+}
+BYTE_LEVEL_STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "suffix": None}
+#: Steps that split a text by what stands next to the place, and so alike in a text and in its parts.
+LOCAL_STEPS = ("ByteLevel", "Digits", "Punctuation", "Split")
+
+
+def steps(tokenizer: Tokenizer) -> dict | None:
+    """normalizer, pre_tokenizer and suffix (of word ends) of a tokenizer; None where its merging is other than plain BPE."""
+    told = json.loads(tokenizer.to_str())
+    model = told["model"]
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    if told["normalizer"] and any(t["normalized"] for t in told["added_tokens"]):  # found in the changed text
+        return None
+
+    def without_offsets(step: object) -> object:
+        if isinstance(step, dict):
+            return {k: without_offsets(v) for k, v in step.items() if k != "trim_offsets"}
+        return [without_offsets(x) for x in step] if isinstance(step, list) else step
+    return {"normalizer": without_offsets(told["normalizer"]), "pre_tokenizer": without_offsets(told["pre_tokenizer"]), "suffix": model.get("end_of_word_suffix") or None}
+
+
+def splits_locally(tokenizer: Tokenizer) -> bool:
+    """Whether this is byte-level BPE whose tokens' bytes are the text's, split by steps that look at neighbours only."""
+    found = steps(tokenizer)
+    if found is None or found["normalizer"] or found["suffix"] or not found["pre_tokenizer"]:
+        return False
+    own = found["pre_tokenizer"].get("pretokenizers", [found["pre_tokenizer"]])
+    return own[-1]["type"] == "ByteLevel" and all(s["type"] in LOCAL_STEPS and not s.get("add_prefix_space") and s.get("behavior") != "Removed" for s in own)
+
+
 class Kept:
     """The ids of parts already encoded, as bytes, in two generations: when the new one is full it becomes the old one,
     and what is still in use moves back when it is next asked for. Holds twice `most` parts at most."""
@@ -87,10 +126,12 @@ class Kept:
 class WordEncoder:
     """For tokenizers that fold case, drop white space and mark word ends: the ids of a text are those of its words, and
     each distinct word is encoded once and kept. Texts with other than plain characters, or with an added token, go to
-    the library whole. Gives ids as little-endian unsigned 32-bit bytes."""
+    the library whole, and so do all texts for a tokenizer with other steps. Gives ids as little-endian unsigned 32-bit
+    bytes."""
 
-    def __init__(self, path: str, most_kept: int = 650_000, most_chars: int = 40):
-        self.tokenizer = load(path)
+    def __init__(self, path: str | Tokenizer, most_kept: int = 650_000, most_chars: int = 40):
+        self.tokenizer = load(path) if isinstance(path, str) else path
+        self.known = steps(self.tokenizer) == WORD_STEPS
         self.split, self.plain = re.compile(WORD_SPLIT).findall, re.compile(PLAIN).fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -116,7 +157,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(a in t for a in self.added)]
+        whole = [i for i, t in enumerate(texts) if not self.known or not self.plain(t) or any(a in t for a in self.added)]
         out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
             out[i] = np.array(ids, "<u4").tobytes()
@@ -127,10 +168,12 @@ class WordEncoder:
 
 class SplitEncoder:
     """For byte-level BPE: merges never cross the splits, so each distinct split is encoded once and kept. Texts with
-    other than plain characters, or with an added token, go to the library whole. Gives ids as 32-bit arrays."""
+    other than plain characters, or with an added token, go to the library whole, and so do all texts for a tokenizer
+    with other steps. Gives ids as 32-bit arrays."""
 
     def __init__(self, tokenizer: Tokenizer, most_kept: int = 400_000, most_chars: int = 32):
         self.tokenizer = tokenizer
+        self.known = steps(tokenizer) == BYTE_LEVEL_STEPS
         self.split, self.plain = re.compile(BYTE_LEVEL_SPLIT).findall, re.compile(PLAIN).fullmatch
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.line_end = encode_all(tokenizer, ["\n"])[0]
@@ -155,7 +198,7 @@ class SplitEncoder:
         return [out[s] for s in splits]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(a in t for a in self.added)]
+        whole = [i for i, t in enumerate(texts) if not self.known or not self.plain(t) or any(a in t for a in self.added)]
         out: list[np.ndarray | None] = [None] * len(texts)
         for i, ids in zip(whole, encode_all(self.tokenizer, [texts[i] for i in whole])):
             out[i] = np.array(ids, "<u4")

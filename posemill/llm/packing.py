@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posemill.llm.common import written
+from posemill.llm.common import shuffle_partitions, written
 from posemill.llm.tokens import WordEncoder
 
 CHUNK_PIECES = 8192
@@ -222,5 +222,7 @@ def _pack_level(rows: DataFrame, capacity: int, chunk_pieces: int, first_chunk:
         where, offset, full = pack_chunk(group["size"].tolist(), capacity)
         return pd.DataFrame({"number": group["number"], "sequence_id": group["chunk"].to_numpy() * (1 << 24) + where, "offset": offset, "fill": full})
 
-    placed = dealt.select("chunk", "number", "size").groupBy("chunk").applyInPandas(fill, "number long, sequence_id long, offset long, fill long")
+    # Dealt to tasks by chunk: by bytes, as rows without their texts are small, Spark would give all chunks to few tasks.
+    tasks = min(chunks, max(shuffle_partitions(rows.sparkSession), 1000))
+    placed = dealt.select("chunk", "number", "size").repartition(tasks, "chunk").groupBy("chunk").applyInPandas(fill, "number long, sequence_id long, offset long, fill long")
     return rows.join(placed, "number").select("row", "size", "number", "sequence_id", "offset", "fill")

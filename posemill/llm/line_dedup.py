@@ -1,17 +1,23 @@
 """Line dedup with levelled sorted runs of line hashes (DataFrame functions only).
 
-Batches of documents arrive in ascending doc_id. The keys seen so far live in runs: tables of line hashes, hashed
-into partitions and sorted within them. A batch is anti-joined with every run; what is new becomes a run of level 0.
-When a level holds `fanout` runs they are merged into one run of the next level, so n batches leave O(log n) runs and
-every hash is rewritten O(log n) times.
+Batches of documents arrive in ascending doc_id. The keys seen so far live in runs: tables of line hashes, bucketed by
+hash and sorted within buckets, all into the same number of buckets. A batch is anti-joined with every run; what is new
+becomes a run of level 0. When a level holds `fanout` runs they are merged into one run of the next level, so n batches
+leave O(log n) runs and every hash is rewritten O(log n) times. As runs lie as joins need them, a batch's own keys are
+exchanged once, and no run is exchanged or sorted again when it is read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posemill.llm.common import LAST_ID, discard, let, written
+from posemill.llm.common import LAST_ID, delete, let, new_path, shuffle_partitions, written
 
 #: Fixed values of the key: what is stripped at both ends, and the letters that are folded.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,41 +36,93 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+#: With it Spark trusts the order of a bucket that is one file. Runs are written so.
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SORTED_SCANS, None)
+    spark.conf.set(SORTED_SCANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_SCANS, before) if before is not None else spark.conf.unset(SORTED_SCANS)
+
+
 class LineRuns:
-    """The state of the levelled runs: levels[i] is the list of runs of level i."""
+    """The state of the levelled runs: levels[i] is the list of runs of level i, each the path of a table (h1 long, h2
+    int, owner long) in `buckets` buckets. The last bucket count that all runs share is that of the first batch."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = buckets or shuffle_partitions(spark)
+        self.levels: list[list[str]] = []
+        self.names: dict[str, str] = {}
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
+    def read(self, run: str) -> DataFrame:
+        return self.spark.table(self.names[run])
+
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (h1, h2, ...) whose hash is in no run."""
         for run in self.runs():
-            keys = keys.join(run.hint("merge"), HASH, "left_anti")
+            keys = keys.join(self.read(run).select(*HASH).hint("merge"), HASH, "left_anti")
         return keys
 
-    def add(self, keys: DataFrame) -> None:
-        """keys: distinct hashes that are in no run. They become a run of level 0; full levels are compacted."""
-        run, level = self._sorted(keys.select(*HASH)), 0
+    def write(self, keys: DataFrame) -> str:
+        """keys (h1, h2, owner) as a run, not yet one of the state."""
+        path, name = new_path(self.spark, "line-run"), f"line_run_{uuid.uuid4().hex}"
+        # A bucket comes from one task, so it is one file.
+        dealt = keys.select(*HASH, "owner").repartition(self.buckets, *HASH)
+        dealt.write.format("parquet").option("path", path).bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
+        self.names[path] = name
+        return path
+
+    def add(self, run: str) -> None:
+        """A written run whose hashes are in no other run joins level 0; full levels are compacted."""
+        level = 0
         while True:
             if len(self.levels) <= level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(other)
-            run, merged_away, self.levels[level] = self._sorted(merged), self.levels[level], []
+            merged_away, self.levels[level] = self.levels[level], []
+            run = self.write(self._merged(merged_away))
             for old in merged_away:
-                discard(old)
+                self.drop(old)
             level += 1
 
-    def _sorted(self, keys: DataFrame) -> DataFrame:
-        return written(keys.repartition(*HASH).sortWithinPartitions(*HASH), "line-run")
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """A merge of sorted runs that have no hash in common."""
+        out = self.read(runs[0])
+        for run in runs[1:]:
+            other = self.read(run).withColumnRenamed("owner", "_owner")
+            out = out.join(other.hint("merge"), HASH, "full_outer").select(*HASH, F.coalesce("owner", "_owner").alias("owner"))
+        return out
+
+    def drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {self.names.pop(run)}")
+        delete(self.spark, run)
+
+    def save(self, path: str) -> None:
+        """What open() needs, as one line of JSON at path. The runs stay where they are."""
+        told = json.dumps({"fanout": self.fanout, "buckets": self.buckets, "levels": self.levels})
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineRuns:
+        told = json.loads(spark.read.text(path).first()[0])
+        state = cls(spark, told["fanout"], told["buckets"])
+        state.levels = told["levels"]
+        for run in state.runs():
+            name = f"line_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 INT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {state.buckets} BUCKETS LOCATION '{run}'")
+            state.names[run] = name
+        return state
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
@@ -80,18 +138,18 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def batch_drops(docs: DataFrame, state: LineRuns) -> DataFrame:
+def batch_drops(docs: DataFrame, state: LineRuns, last: bool = False) -> DataFrame:
     """owner, text_hash, drops (sorted line numbers) for the documents of one batch that lose lines; state takes the
-    batch's new keys. Every doc_id of the batch must be above those of earlier batches (or the same batch)."""
+    batch's new keys, unless the batch is the last. Every doc_id of the batch must be above those of earlier batches (or
+    the same batch)."""
     lines = keyed_lines(docs)
-    # Pre-aggregated before its shuffle, so a line found in a third of all documents is one row from each task.
-    first = state.unseen(lines.groupBy(*HASH).agg(F.min("owner").alias("owner")))
-    fresh = written(first, "line-owners")
-    # The join key holds the owner, so a hot line's rows are spread over all tasks.
-    gone = lines.join(fresh, [*HASH, "owner"], "left_anti")
-    drops = written(gone.groupBy("owner", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "line-drops")
-    state.add(fresh)
-    discard(fresh)
+    with sorted_scans(state.spark):
+        # Pre-aggregated before its shuffle, so a line found in a third of all documents is one row from each task.
+        run = state.write(state.unseen(lines.groupBy(*HASH).agg(F.min("owner").alias("owner"))))
+        # The join key holds the owner, so a hot line's rows are spread over all tasks.
+        gone = lines.join(state.read(run), [*HASH, "owner"], "left_anti")
+        drops = written(gone.groupBy("owner", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "line-drops")
+        state.drop(run) if last else state.add(run)
     return drops
 
 
@@ -119,15 +177,15 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame
     edges = [None, *sorted(set(cuts or [])), None]
     state, drops = LineRuns(spark, fanout), None
     for low, high in zip(edges, edges[1:]):
-        part = source
+        part, last = source, high is None
         if low is not None:
             part = part.filter(F.col("doc_id").isNull() | (F.col("doc_id") > low) if high is None else F.col("doc_id") > low)
         if high is not None:
             part = part.filter(F.col("doc_id") <= high)
-        found = batch_drops(part, state)
+        found = batch_drops(part, state, last)
         drops = found if drops is None else drops.unionByName(found)
     for run in state.runs():
-        discard(run)
+        state.drop(run)
     taken = set(docs.columns)
     own, text_hash, gone = (next(n for n in (x, *(f"{x}_{i}" for i in range(99))) if n not in taken) for x in ("line_owner", "line_text_hash", "line_drops"))
     drops = drops.toDF(own, text_hash, gone)

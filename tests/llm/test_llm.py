@@ -15,6 +15,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from posemill.llm import bpe, chat, components, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding, tokens, wordhash
 from posemill.llm.queries import ORACLE, QUERIES
@@ -137,6 +138,18 @@ def test_ring_walk_equals_sequential_overflow():
     counts = [rng.randint(0, 30) for _ in points]
     room = sharding.capacities(sum(counts), 5, 0.0)
     runs = sharding.walk(points, counts, room)
+    # One row after another: in each turn a row asks the shard it has come to, and goes on if that is full.
+    free, at, home = list(room), {(arc, k): arc for arc, n in enumerate(counts) for k in range(n)}, {}
+    while len(home) < sum(counts):
+        for row in sorted(at):
+            if row not in home:
+                shard = points[at[row]][1]
+                if free[shard]:
+                    free[shard] -= 1
+                    home[row] = shard
+                else:
+                    at[row] = (at[row] + 1) % len(points)
+    assert home == {(arc, k): shard for arc, low, high, shard, _ in runs for k in range(low, high)}
     taken = Counter()
     for arc, low, high, shard, slot in runs:
         assert slot == taken[shard]
@@ -154,7 +167,10 @@ def test_shards(spark, odd, empty):
         assert sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
     a, b = (sharding.assign_shards(rows, "id", n, slack=0.1).toPandas().set_index("id")["shard"] for n in (8, 9))
     moved = (a != b.reindex(a.index)).mean()
-    assert a.value_counts().max() <= 1.1 * 5000 / 8 + 1 and moved < 0.5  # dealing by remainder would move eight ninths
+    assert a.value_counts().max() <= 1.1 * 5000 / 8 + 1 and moved < 0.3  # dealing by remainder would move eight ninths
+    for slack in (0.0, 0.1):  # the keys decide, not the files
+        x, y = (sharding.assign_shards(r, "id", 8, slack=slack).toPandas().set_index("id")["shard"].sort_index() for r in (rows, rows.repartition(13).orderBy(F.rand(1))))
+        assert (x == y).all()
     assert sharding.assign_shards(odd, "doc_id", 3).count() == len(ODD) and sharding.assign_shards(empty, "doc_id", 3).count() == 0
 
 
@@ -182,6 +198,26 @@ def test_kept_words_equal_the_library():
         assert got.tolist() == splits.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_equal_the_library():
+    """Splits at digits, other normalizers, a space before the text: the kept splits and the tree give way."""
+    def changed(path, **steps):
+        out = Tokenizer.from_file(path)
+        for name, step in steps.items():
+            setattr(out, name, step)
+        return out
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    byte = [changed(BYTE, pre_tokenizer=pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), level])), changed(BYTE, normalizer=normalizers.Lowercase()),
+            changed(BYTE, pre_tokenizer=pre_tokenizers.ByteLevel(add_prefix_space=True)), changed(BYTE, normalizer=normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents()]))]
+    text = "year 2024 and 123456 items É " + "Ab 12's  x\n" * 40
+    for tokenizer in byte:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert bpe.TreeEncoder(tokenizer, 16, 8).encode([text])[0] == want and tokens.SplitEncoder(tokenizer).encode([text])[0].tolist() == want
+    assert [tokens.splits_locally(t) for t in byte] == [True, False, False, False] and tokens.splits_locally(Tokenizer.from_file(BYTE))
+    for tokenizer in (changed(WORD, normalizer=normalizers.NFC()), changed(WORD, normalizer=normalizers.Lowercase())):
+        assert np.frombuffer(tokens.WordEncoder(tokenizer).encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.WordEncoder(WORD).known and tokens.SplitEncoder(tokens.load(BYTE)).known
+
+
 def test_bpe_of_odd_rows(odd, empty):
     out = bpe.encode_documents(odd, BYTE).collect()
     assert Counter(r["decoded"] for r in out) == Counter(t or "" for _, t in ODD)
@@ -307,8 +343,8 @@ def test_measures_equal_brute_force():
 
 def test_cascade(spark, odd, empty):
     ticks = iter(range(10_000))
-    found = quality.estimate(spark.read.parquet(f"{SF}/documents.parquet"), sample_rows=50, clock=lambda: next(ticks))
-    assert {e.seconds for e in found} == {1 / 50} or found[0].seconds > 0
+    found = quality.estimate(spark.read.parquet(f"{SF}/documents.parquet").coalesce(1), sample_rows=10_000, clock=lambda: next(ticks))
+    assert {e.seconds for e in found} == {1.0} and found[0].rejected > 0 and quality.estimate(empty)[0].rejected == 0
     assert quality.cascade_order([quality.RuleEstimate("a", 1.0, 0.1), quality.RuleEstimate("b", 10.0, 0.9), quality.RuleEstimate("c", 0.1, 0.1)]) == ["c", "a", "b"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [r.name for r in quality.RULES]
@@ -391,12 +427,35 @@ def test_lines_with_odd_rows(odd, empty, spark):
         assert got == {1: (3, 0, texts[1]), 2: (3, 1, "short\n"), 3: (6, 3, "x\ny\nz"), 4: (2, 0, texts[4])}
 
 
-def test_runs_are_compacted(spark):
+def hashes(spark, low: int, high: int):
+    return spark.range(low, high).select(F.col("id").alias("h1"), F.hash("id").alias("h2"), F.col("id").alias("owner"))
+
+
+def test_runs_are_compacted_saved_and_opened(spark, tmp_path):
     state = line_dedup.LineRuns(spark, 2)
     for i in range(5):
-        state.add(spark.range(i * 10, i * 10 + 10).select(F.col("id").alias("h1"), F.lit(0).alias("h2")))
-    assert [len(level) for level in state.levels] == [1, 0, 1] and sum(r.count() for r in state.runs()) == 50
-    assert state.unseen(spark.range(45, 55).select(F.col("id").alias("h1"), F.lit(0).alias("h2"))).count() == 5
+        state.add(state.write(hashes(spark, i * 10, i * 10 + 10)))
+    assert [len(level) for level in state.levels] == [1, 0, 1]
+    state.save(str(tmp_path / "state"))
+    for own in (state, line_dedup.LineRuns.open(spark, str(tmp_path / "state"))):
+        assert sum(own.read(r).count() for r in own.runs()) == 50
+        assert own.unseen(hashes(spark, 45, 55)).count() == 5
+
+
+def test_runs_are_read_without_exchange_or_sort(spark):
+    """Only the batch's own keys are exchanged and sorted, in anti-joins and in merges."""
+    state = line_dedup.LineRuns(spark, 3)
+    state.add(state.write(hashes(spark, 0, 500)))
+    state.add(state.write(hashes(spark, 500, 900)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with line_dedup.sorted_scans(spark):
+            unseen = state.unseen(hashes(spark, 800, 1000))._jdf.queryExecution().executedPlan().toString()
+            merged = state._merged(state.runs())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert unseen.count("SortMergeJoin") == 2 and unseen.count("Exchange") == 1 and unseen.count("Sort [") == 1
+    assert merged.count("SortMergeJoin") == 1 and "Exchange" not in merged and "Sort [" not in merged
 
 
 def test_near_copies_keep_all_links_and_few_pairs(spark):

@@ -93,10 +93,11 @@ def flotation_label(index: Column) -> Column:
 
 
 def coaching_factors(angle: Column, angle_std: Column, drift: Column, arm: Column, leg: Column) -> dict[str, Column]:
-    """Flatness, steadiness, level and stillness, 0 to 100; NULL where an input is missing."""
+    """Flatness, steadiness, level and stillness, 0 to 100; NULL where an input is missing. Stillness goes by the busier
+    of arms and legs, or by the arms alone where legs are missing."""
     def score(value: Column, most: float) -> Column:
         return F.when(value.isNotNull(), clamp(100 * (1 - F.least(value, F.lit(most)) / most), 0.0, 100.0))
-    effort = F.when(arm.isNotNull() & leg.isNotNull(), F.greatest(arm, leg))
+    effort = F.when(arm.isNotNull(), F.greatest(arm, leg))
     return {"flatness": score(F.abs(angle), 90.0), "steadiness": score(angle_std, 15.0), "level": score(F.abs(drift), 0.1), "stillness": score(effort, 6.0)}
 
 

@@ -62,6 +62,35 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
                     F.avg(away.cast("double")).alias("mae"), F.corr(a, b).alias("pearson"))
 
 
+def double_rated(a: DataFrame, b: DataFrame, target: str, source: str = "source", segment: str = "seg_id", flag: str = "exclude") -> DataFrame:
+    """clip, a, b: the ratings of clips (source and segment) that both raters gave and neither excludes. Clips rated
+    twice by one rater meet in all combinations."""
+    def own(rows: DataFrame, name: str) -> DataFrame:
+        if flag in rows.columns:
+            rows = rows.filter(F.coalesce(F.col(flag).try_cast("int"), F.lit(0)) == 0)
+        clip = F.concat(F.col(source).cast("string"), F.lit("__"), F.col(segment).cast("string"))
+        return rows.filter(F.col(target).isNotNull()).select(clip.alias("clip"), F.col(target).cast("int").alias(name))
+    return own(a, "a").join(own(b, "b"), "clip")
+
+
+#: The criteria that experts rate, with their greatest rating.
+CRITERIA = {"floating_outcome": 3, "activity": 2, "trunk_position": 2, "head_position": 2, "airway": 4}
+
+
+def expert_pairs(expert: DataFrame, labeller: DataFrame, criteria: list[str], participant: str = "participant", flag: str = "exclude") -> DataFrame:
+    """participant, criterion, expert, labeller: the expert's rating beside the labeller's mean over clips, rounded half to
+    even. Ids are normalized; a rating that is missing or no number on either side gives no row."""
+    from posemill.functions.scalars import participant_id
+
+    own = labeller.withColumn(participant, participant_id(F.col(participant), "keep"))
+    if flag in own.columns:
+        own = own.filter(F.coalesce(F.col(flag).try_cast("int"), F.lit(0)) == 0)
+    rows = lambda df, name: df.select(participant, F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).try_cast("int").alias(name)) for c in criteria])).alias("r")).select(participant, "r.*")
+    said = rows(expert.withColumn(participant, participant_id(F.col(participant), "keep")), "expert").filter("expert IS NOT NULL")
+    means = rows(mean_rating(own, [participant], criteria), "labeller").filter("labeller IS NOT NULL")
+    return said.join(means, [participant, "criterion"])
+
+
 def mean_rating(df: DataFrame, keys: list[str], criteria: list[str]) -> DataFrame:
     """The mean rating of each criterion, rounded half to even; what is no number counts as missing."""
     return df.groupBy(*keys).agg(*[F.bround(F.avg(F.col(c).try_cast("double")), 0).cast("int").alias(c) for c in criteria])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posemill.functions.geometry import flotation_index
+from posemill.functions.nulls import holds
 from posemill.functions.scalars import quadrant
 from posemill.operators.stats import exact_medians
 
@@ -26,9 +27,8 @@ def best_k(df: DataFrame, columns: list[str], most: int, vector: Column) -> int:
     """The k from 2 to most with the greatest mean silhouette of all rows; the first of equals."""
     scores = []
     rows = df.withColumns({"_i": F.monotonically_increasing_id(), "_p": vector}).cache()
-    block = max(64, -(-rows.count() // 1000))  # about a thousand rows in a block at any size
     for k in range(2, most + 1):
-        mean = silhouette(kmeans(rows, columns, k), "_i", "cluster", "_p", block).agg(F.avg("silhouette")).first()[0]
+        mean = silhouette(kmeans(rows, columns, k), "_i", "cluster", "_p").agg(F.avg("silhouette")).first()[0]
         scores.append((-1.0 if mean is None else mean, -k))
     rows.unpersist()
     return -max(scores)[1]
@@ -47,11 +47,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int = 64) -> DataFrame:
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int | None = None) -> DataFrame:
     """key, cluster, silhouette with Euclidean distance; 0 for a cluster of one.
 
     Quadratic by definition: each row against all others, in blocks of rows, so that a pair never is a row by itself.
+    block: how many; None: about a thousand rows in each, at any size.
     """
+    block = block or max(1, -(-df.count() // 1000))
     points = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
     blocks = points.groupBy(F.pmod(F.xxhash64("i"), F.lit(block)).alias("b"), F.col("c").alias("oc")).agg(F.collect_list(F.struct("i", "v")).alias("others"))
     own = points.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
@@ -99,14 +101,22 @@ def cluster_profile(df: DataFrame, cluster: str, features: list[str]) -> DataFra
     return spread.join(F.broadcast(medians), cluster)  # a row for each cluster
 
 
-def best_floating(profile: DataFrame, cluster: str, angle: str, hip: str, head: str) -> DataFrame:
-    """The cluster with the highest flotation index (ties: the smallest): one row."""
+def well_profile(df: DataFrame, cluster: str, features: list[str], angle: str, hip: str, head: str) -> dict:
+    """well_cluster: the one with the highest median flotation index (rounded to two decimals; ties: the smallest);
+    well_profile: its medians, rounded likewise; std: each feature's sample deviation over all rows. Clusters and
+    features are few."""
     index = flotation_index(F.col(angle), F.col(hip), F.col(head))
-    return profile.agg(F.min_by(cluster, F.struct(-index, cluster)).alias("well_cluster"), F.max(index).alias("flotation_index"))
-
-
-def named_clusters(df: DataFrame, cluster: str, view: str, angle: str, effort: str) -> DataFrame:
-    """cluster, view, name: posture against the view's median angle, effort against its median effort."""
-    views = exact_medians(df, [view], [angle, effort]).toDF(view, "_va", "_ve")
-    own = exact_medians(df, [view, cluster], [angle, effort]).toDF(view, cluster, "_a", "_e")
-    return own.join(F.broadcast(views), view).select(view, cluster, quadrant(F.col("_a") < F.col("_va"), F.col("_e") > F.col("_ve")).alias("name"))
+    medians = exact_medians(df.withColumn("_index", index), [cluster], [*features, "_index"])
+    best = medians.filter("_index IS NOT NULL").orderBy(F.bround("_index", 2).desc(), cluster).select(cluster, *[F.bround(f, 2).alias(f) for f in features]).first()
+    spread = df.agg(*[F.stddev_samp(f).alias(f) for f in features]).first()
+    return {"well_cluster": best[0] if best else None, "well_profile": {f: best[f] for f in features} if best else {}, "std": {f: spread[f] for f in features}}
+
+
+def named_clusters(df: DataFrame, cluster: str, view: str, angle: str, arm: str, leg: str) -> DataFrame:
+    """cluster, view, name: the cluster's median angle against the view's; the sum of its median arm and leg speeds against
+    the view's median of arm and leg speed together. A cluster's medians are rounded to two decimals."""
+    both = df.withColumn("_both", F.col(arm) + F.col(leg))
+    views = exact_medians(both, [view], [angle, "_both"]).toDF(view, "_va", "_ve")
+    own = exact_medians(df, [view, cluster], [angle, arm, leg]).toDF(view, cluster, "_a", "_arm", "_leg")
+    flatter, high = F.bround("_a", 2) < F.col("_va"), F.bround("_arm", 2) + F.bround("_leg", 2) > F.col("_ve")
+    return own.join(F.broadcast(views), view).select(view, cluster, quadrant(holds(flatter), holds(high)).alias("name"))

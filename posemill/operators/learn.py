@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 import json
+import platform
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import (
+    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posemill.operators.agreement import class_scores, pair_counts, summary, weighted_kappa
+from posemill.operators.joins import inside_or_all, overlapping
 from posemill.operators.stats import exact_percentiles
 
 
 def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
-    """df with _w: n / (classes * rows of the class), times the sample weight. Classes are few."""
+    """df with _s, the sample weight (1 where missing), and _w: n / (classes * rows of the class), times it. Classes are
+    few."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    balanced = df.join(F.broadcast(counts.join(totals)), label)
-    return balanced.withColumn("_w", F.col("_n") / (F.col("_k") * F.col("_c")) * (F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0))).drop("_c", "_n", "_k")
+    sample = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
+    balanced = df.join(F.broadcast(counts.join(totals)), label).withColumn("_s", sample.cast("double"))
+    return balanced.withColumn("_w", F.col("_n") / (F.col("_k") * F.col("_c")) * F.col("_s")).drop("_c", "_n", "_k")
 
 
 def fold_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
@@ -28,24 +38,50 @@ def fold_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
     return {f: found[f][0] or 0.0 for f in features}
 
 
-def assembled(df: DataFrame, features: list[str], medians: dict[str, float]) -> DataFrame:
-    """df with _x: the features as a vector, medians for missing ones. One expression, so that plans over many folds stay small."""
+def fold_scales(train: DataFrame, features: list[str], medians: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Centre and width (interquartile range, 1 where that is 0) of each feature of the training rows after filling."""
+    found = exact_percentiles(train, {f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f]))) for f in features}, [0.25, 0.5, 0.75])
+    return {f: (q[1] or 0.0, q[2] - q[0] if q[1] is not None and q[2] > q[0] else 1.0) for f, q in found.items()}
+
+
+def assembled(df: DataFrame, features: list[str], medians: dict[str, float], scales: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """df with _x: the features as a vector, medians for missing ones, then scaled. One expression, so that plans over
+    many folds stay small."""
     values, middles = F.array(*[F.col(f).cast("double") for f in features]), F.lit([float(medians[f]) for f in features])
-    return df.withColumn("_x", array_to_vector(F.zip_with(values, middles, lambda v, m: F.coalesce(v, m))))
+    filled = F.zip_with(values, middles, lambda v, m: F.coalesce(v, m))
+    if scales:
+        filled = F.zip_with(filled, F.lit([float(scales[f][0]) for f in features]), lambda v, c: v - c)
+        filled = F.zip_with(filled, F.lit([float(scales[f][1]) for f in features]), lambda v, w: v / w)
+    return df.withColumn("_x", array_to_vector(filled))
+
+
+def _strength(rows: DataFrame, weight: str, reg: float | None) -> float:
+    """The penalty for a mean loss that stands for C = 1 on a sum of losses."""
+    return reg if reg is not None else 1.0 / max(rows.agg(F.sum(weight)).first()[0] or 1.0, 1e-9)
 
 
 class OrdinalLogistic:
-    """K - 1 weighted logistic models of P(label > k); class shares are their differences, at least 1e-9, normalized."""
+    """K - 1 weighted logistic models of P(label > k); class shares are their differences, at least 1e-9, normalized.
+    Each model balances its own two sides: n / (2 * rows of the side), times the sample weight."""
+
+    scaled = True
 
-    def __init__(self, reg: float = 0.01, iterations: int = 3000):
+    def __init__(self, reg: float | None = None, iterations: int = 3000):
         self.reg, self.iterations = reg, iterations
         self.classes: list[int] = []
         self.models: list = []
 
     def fit(self, rows: DataFrame, label: str, weight: str) -> OrdinalLogistic:
-        self.classes = sorted(r[0] for r in rows.select(label).distinct().collect())  # the classes of a label
-        make = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol=weight, regParam=self.reg, maxIter=self.iterations, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_q")
-        self.models = [make.fit(rows.withColumn("_y", (F.col(label) > k).cast("double"))) for k in self.classes[:-1]]
+        """weight: the weight balanced over all classes; the sample weight _s, if it is there, is balanced anew."""
+        counts = dict(rows.groupBy(label).count().collect())  # the classes of a label
+        self.classes, n, self.models = sorted(counts), sum(counts.values()), []
+        sample = F.col("_s") if "_s" in rows.columns else F.lit(1.0)
+        for k in self.classes[:-1]:
+            above = sum(c for label_, c in counts.items() if label_ > k)
+            sides = rows.withColumn("_y", (F.col(label) > k).cast("double")).withColumn("_b", sample * F.when(F.col("_y") == 1, n / (2 * above)).otherwise(n / (2 * (n - above))))
+            make = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_b", regParam=_strength(sides, "_b", self.reg), standardization=False, maxIter=self.iterations,
+                                      probabilityCol="_p", rawPredictionCol="_r", predictionCol="_q")
+            self.models.append(make.fit(sides))
         return self
 
     def shares(self, rows: DataFrame) -> DataFrame:
@@ -59,16 +95,18 @@ class OrdinalLogistic:
 
 
 class Standard:
-    """A classifier of pyspark.ml under the same two methods."""
+    """A classifier of pyspark.ml under the same two methods. make: from the label's column, the weight's, and the
+    penalty for C = 1."""
 
-    def __init__(self, make: Callable[[str, str], object]):
-        self.make = make
+    def __init__(self, make: Callable[[str, str, float], object], scaled: bool = False):
+        self.make, self.scaled = make, scaled
         self.classes: list[int] = []
 
     def fit(self, rows: DataFrame, label: str, weight: str) -> Standard:
         self.classes = sorted(r[0] for r in rows.select(label).distinct().collect())
         place = F.array_position(F.array(*map(F.lit, self.classes)), F.col(label)) - 1
-        self.model = self.make("_y", weight).fit(rows.withColumn("_y", place.cast("double")))
+        reg = _strength(rows, weight, None) if self.scaled else 0.0
+        self.model = self.make("_y", weight, reg).fit(rows.withColumn("_y", place.cast("double")))
         return self
 
     def shares(self, rows: DataFrame) -> DataFrame:
@@ -78,6 +116,8 @@ class Standard:
 class Boosted:
     """Gradient-boosted trees, one model for each class against the rest; class shares are their normalized shares."""
 
+    scaled = False
+
     def __init__(self, depth: int = 3, rounds: int = 20):
         self.depth, self.rounds = depth, rounds
         self.classes: list[int] = []
@@ -101,13 +141,13 @@ _OUT = {"featuresCol": "_x", "probabilityCol": "_p", "rawPredictionCol": "_r", "
 
 
 def challengers() -> dict[str, Callable[[], object]]:
-    """The models that compete."""
+    """The models that compete. Linear ones take features scaled on their training rows; trees need no scale."""
     return {
         "ordinal": OrdinalLogistic,
-        "softmax": lambda: Standard(lambda y, w: LogisticRegression(labelCol=y, weightCol=w, family="multinomial", regParam=0.01, maxIter=3000, **_OUT)),
-        "tree": lambda: Standard(lambda y, w: DecisionTreeClassifier(labelCol=y, weightCol=w, maxDepth=4, minInstancesPerNode=15, seed=0, **_OUT)),
+        "softmax": lambda: Standard(lambda y, w, reg: LogisticRegression(labelCol=y, weightCol=w, family="multinomial", regParam=reg, standardization=False, maxIter=3000, **_OUT), True),
+        "tree": lambda: Standard(lambda y, w, _: DecisionTreeClassifier(labelCol=y, weightCol=w, maxDepth=4, minInstancesPerNode=15, seed=0, **_OUT)),
         "boosted": Boosted,
-        "forest": lambda: Standard(lambda y, w: RandomForestClassifier(labelCol=y, weightCol=w, numTrees=400, minInstancesPerNode=2, seed=0, **_OUT)),
+        "forest": lambda: Standard(lambda y, w, _: RandomForestClassifier(labelCol=y, weightCol=w, numTrees=400, minInstancesPerNode=2, seed=0, **_OUT)),
     }
 
 
@@ -136,8 +176,9 @@ def leave_group_out(df: DataFrame, group: str) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, features: list[str], make: Callable[[], object], weight: str | None = None) -> DataFrame:
-    """df with proba, pred and confidence from models that saw no row of the row's group. Medians and class weights come
-    from the training rows of each fold; a fold whose training rows have one class is left out."""
+    """df with fold, proba, pred and confidence from models that saw no row of the row's group. Medians, scales and class
+    weights come from the training rows of each fold; a fold whose training rows have one class is left out, and if all
+    are, there are no rows."""
     dealt = df.join(F.broadcast(folds), group).cache()
     out = None
     for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
@@ -145,51 +186,107 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, feature
         if train.select(label).distinct().limit(2).count() < 2:
             continue
         medians = fold_medians(train, features)
-        ready = class_weights(assembled(train, features, medians), label, weight).select(label, "_w", "_x").cache()
-        model = make().fit(ready, label, "_w")
+        model = make()
+        scales = fold_scales(train, features, medians) if model.scaled else None
+        ready = class_weights(assembled(train, features, medians, scales), label, weight).select(label, "_s", "_w", "_x").cache()
+        model.fit(ready, label, "_w")
         ready.unpersist()
-        part = predicted(model.shares(assembled(test, features, medians)), model.classes).drop("_x")
+        part = predicted(model.shares(assembled(test, features, medians, scales)), model.classes).drop("_x")
         out = part if out is None else out.unionByName(part)
+    dealt.unpersist()
+    if out is None:
+        kind = df.schema[label].dataType.simpleString()
+        out = dealt.limit(0).withColumns({"proba": F.lit(None).cast("array<double>"), "pred": F.lit(None).cast(kind), "confidence": F.lit(None).cast("double")})
     return out
 
 
 def scored(predictions: DataFrame, label: str) -> dict[str, float]:
+    """n, accuracy, the F1 means and the weighted kappa; None where nothing was predicted."""
     counts = pair_counts(predictions, label, "pred").cache()
     row = summary(class_scores(counts)).first()
-    return {**row.asDict(), "weighted_kappa": weighted_kappa(counts).first()[0]}
+    kappa = weighted_kappa(counts).first()
+    counts.unpersist()
+    return {**(row.asDict() if row else {}), "weighted_kappa": kappa[0] if kappa else None}
 
 
 def winner(scores: dict[str, dict[str, float]]) -> str:
     """The model with the greatest macro F1 plus weighted kappa; the first of equals."""
-    return max(scores, key=lambda m: scores[m]["macro_f1"] + (scores[m]["weighted_kappa"] or 0.0))
+    return max(scores, key=lambda m: (scores[m].get("macro_f1") or 0.0) + (scores[m]["weighted_kappa"] or 0.0))
+
+
+class Fitted:
+    """A model with what fills and scales its features."""
+
+    def __init__(self, model: object, features: list[str], medians: dict[str, float], scales: dict[str, tuple[float, float]] | None):
+        self.model, self.features, self.medians, self.scales = model, features, medians, scales
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """df with proba, pred and confidence; a feature that is no column counts as missing."""
+        for f in self.features:
+            if f not in df.columns:
+                df = df.withColumn(f, F.lit(None).cast("double"))
+        return predicted(self.model.shares(assembled(df, self.features, self.medians, self.scales)), self.model.classes).drop("_x")
 
 
-def champion(df: DataFrame, group: str, label: str, features: list[str], weight: str | None = None, folds: int = 5, names: list[str] | None = None) -> tuple[str, object, dict[str, float], dict]:
-    """The winner of the challengers by out-of-fold scores, fitted on all rows: its name, the model, the medians that fill
-    missing values, and all scores."""
+def fitted(df: DataFrame, label: str, features: list[str], make: Callable[[], object], weight: str | None = None) -> Fitted:
+    """A model of all rows."""
+    model, medians = make(), fold_medians(df, features)
+    scales = fold_scales(df, features, medians) if model.scaled else None
+    model.fit(class_weights(assembled(df, features, medians, scales), label, weight), label, "_w")
+    return Fitted(model, features, medians, scales)
+
+
+def champion(df: DataFrame, group: str, label: str, features: list[str], weight: str | None = None, folds: int | None = None, names: list[str] | None = None) -> tuple[str, Fitted, dict]:
+    """The winner of the challengers by out-of-fold scores, fitted on all rows: its name, the fitted model and all scores.
+    Each group is left out in turn, or with `folds` that many at once."""
     makes = {n: m for n, m in challengers().items() if names is None or n in names}
-    dealt = grouped_folds(df, group, folds)
+    dealt = grouped_folds(df, group, folds) if folds else leave_group_out(df, group)
     scores = {n: scored(out_of_fold(df, dealt, group, label, features, make, weight), label) for n, make in makes.items()}
     best = winner(scores)
-    medians = fold_medians(df, features)
-    model = makes[best]().fit(class_weights(assembled(df, features, medians), label, weight), label, "_w")
-    return best, model, medians, scores
+    return best, fitted(df, label, features, makes[best], weight), scores
 
 
-def sealed_report(model: object, medians: dict[str, float], df: DataFrame, features: list[str], video: str, label: str) -> dict[str, float]:
+def sealed_report(frozen: Fitted, df: DataFrame, video: str, label: str) -> dict[str, float]:
     """Scores of a frozen model on rows that it has not seen: by window, and by video after a vote."""
-    rows = predicted(model.shares(assembled(df, features, medians)), model.classes)
+    rows = frozen.predict(df)
     votes = video_vote(rows, video, label)
     return {**scored(rows, label), "video_accuracy": votes.agg(F.avg((F.col("voted") == F.col("true_class")).cast("double"))).first()[0]}
 
 
 def importances(df: DataFrame, label: str, features: list[str]) -> list[tuple[str, float]]:
     """A forest's importance of each feature, greatest first."""
-    rows = class_weights(assembled(df, features, fold_medians(df, features)), label)
-    model = challengers()["forest"]().fit(rows, label, "_w").model
+    model = fitted(df, label, features, challengers()["forest"]).model.model
     return sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
 
+def grouped_accuracy(df: DataFrame, group: str, label: str, features: list[str], least: int = 30, make: Callable[[], object] | None = None) -> tuple[float, float] | None:
+    """Mean and deviation over five folds (or as many as groups) of a forest's accuracy on groups that it has not seen;
+    None below `least` labelled rows."""
+    known = df.filter(F.col(label).isNotNull())
+    if known.limit(least).count() < least:
+        return None
+    out = out_of_fold(known, grouped_folds(known, group, 5), group, label, features, make or challengers()["forest"])
+    by_fold = out.groupBy("fold").agg(F.avg((F.col("pred") == F.col(label)).cast("double")).alias("a"))
+    return tuple(by_fold.agg(F.avg("a"), F.stddev_pop("a")).first())
+
+
+def expert_table(expert: DataFrame, predictions: DataFrame, first: float = 30.0, last: float = 60.0) -> DataFrame:
+    """participant, criterion, model, expert, voted, error: what experts rated beside each model's most frequent class (of
+    equals the smallest) over the participant's windows that overlap the rated stretch, or over all if none does.
+    expert: participant, criterion, rating. predictions: participant, start_s, end_s, criterion, model, pred."""
+    rated = expert.filter(F.col("rating").isNotNull()).select("participant", "criterion", F.col("rating").cast("int").alias("expert"))
+    joined = predictions.join(rated, ["participant", "criterion"])
+    inside = overlapping(F.col("start_s"), F.col("end_s"), first, last)
+    chosen = inside_or_all(joined, ["participant"], inside)
+    out = chosen.groupBy("participant", "criterion", "model", "expert").agg(F.mode("pred", True).alias("voted"))
+    return out.withColumn("error", F.abs(F.col("voted") - F.col("expert")))
+
+
+def expert_summary(table: DataFrame) -> DataFrame:
+    """criterion, model, exact (how many agree), n and mae."""
+    return table.groupBy("criterion", "model").agg(F.sum((F.col("error") == 0).cast("long")).alias("exact"), F.count(F.lit(1)).alias("n"), F.avg("error").alias("mae"))
+
+
 def video_vote(predictions: DataFrame, video: str, label: str) -> DataFrame:
     """video, voted and true class by the most frequent window (ties: the smallest), and the share that agrees."""
     votes = predictions.groupBy(video).agg(F.mode("pred", True).alias("voted"), F.mode(label, True).alias("true_class"), F.count(F.lit(1)).alias("n"))
@@ -210,26 +307,34 @@ def fused_views(side: Column, top: Column) -> Column:
     return F.coalesce(F.when(side.isNotNull() & top.isNotNull(), both), side, top)
 
 
-def freeze(spark: SparkSession, path: str, model: object, features: list[str], medians: dict[str, float], target: str, sealed: list[str]) -> None:
-    """Writes the models and, beside them, one JSON row with what is needed to apply them."""
-    parts = model.models if isinstance(model, OrdinalLogistic) else [model.model]
+def freeze(spark: SparkSession, path: str, frozen: Fitted, target: str, sealed: list[str]) -> None:
+    """Writes the models and, beside them, one JSON row with what is needed to apply them, and the versions used."""
+    model = frozen.model
+    parts = [model.model] if isinstance(model, Standard) else model.models
     for i, part in enumerate(parts):
         part.write().overwrite().save(f"{path}/model-{i}")
-    meta = {"kind": type(model).__name__, "classes": model.classes, "features": features, "medians": medians, "target": target, "sealed": sealed, "parts": len(parts)}
+    meta = {"kind": type(model).__name__, "classes": model.classes, "features": frozen.features, "medians": frozen.medians, "scales": frozen.scales, "target": target, "sealed": sealed, "parts": len(parts),
+            "versions": {"python": platform.python_version(), "spark": spark.version, "numpy": np.__version__, "pandas": pd.__version__}}
     spark.createDataFrame([(json.dumps(meta),)], ["value"]).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def thaw(spark: SparkSession, path: str) -> tuple[object, dict]:
-    from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+def thaw(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
+    """The fitted model at path and what was written beside it. A path without one is an error that names it."""
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no frozen model at {path}: run freeze first") from missing
+    kinds = (DecisionTreeClassificationModel, LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel)
+
+    def load(i: int) -> object:
+        told = json.loads(spark.read.text(f"{path}/model-{i}/metadata").first()[0])
+        return next(k for k in kinds if told["class"].endswith(f".{k.__name__}")).load(f"{path}/model-{i}")
 
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if meta["kind"] == "OrdinalLogistic":
-        model: object = OrdinalLogistic()
-        model.models = [LogisticRegressionModel.load(f"{path}/model-{i}") for i in range(meta["parts"])]
+    model: object = {"OrdinalLogistic": OrdinalLogistic, "Boosted": Boosted}.get(meta["kind"], lambda: Standard(lambda y, w, reg: None, bool(meta["scales"])))()
+    if isinstance(model, Standard):
+        model.model = load(0)
     else:
-        model = Standard(lambda y, w: None)
-        name = spark.read.text(f"{path}/model-0/metadata").first()[0]
-        kinds = (DecisionTreeClassificationModel, LogisticRegressionModel, RandomForestClassificationModel)
-        model.model = next(k for k in kinds if k.__name__ in name).load(f"{path}/model-0")
+        model.models = [load(i) for i in range(meta["parts"])]
     model.classes = meta["classes"]
-    return model, meta
+    scales = {f: tuple(s) for f, s in meta["scales"].items()} if meta["scales"] else None
+    return Fitted(model, meta["features"], meta["medians"], scales), meta

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 def stratified_split(df: DataFrame, unit: str, stratum: str, order: Column, train: float = 0.6, val: float = 0.2) -> DataFrame:
     """Each unit (one row each) with split: in its stratum, by order, the first max(1, round(n * train)) train, the next
-    round(n * val) val, the rest test; a stratum of three or more has at least one test unit. A stratum's counts come
-    first, ranks after, both by stratum."""
-    strata = W.partitionBy(stratum)
-    rows = df.select(unit, stratum, order.alias("_o")).withColumns({"_n": F.count(F.lit(1)).over(strata), "_i": F.row_number().over(strata.orderBy("_o", unit))})
-    n_train = F.greatest(F.lit(1.0), F.bround(F.col("_n") * train, 0))
-    n_val = F.greatest(F.lit(0.0), F.bround(F.col("_n") * val, 0))
-    full = (F.col("_n") >= 3) & (n_train + n_val >= F.col("_n"))
-    n_val = F.when(full, F.greatest(F.lit(0.0), n_val - 1)).otherwise(n_val)
-    n_train = F.when(full & (n_train >= F.col("_n")), F.col("_n") - 1).otherwise(n_train)
-    split = F.when(F.col("_i") <= n_train, "train").when(F.col("_i") <= n_train + n_val, "val").otherwise("test")
+    round(n * val) val, the rest test. If no stratum has a test unit and there are three units or more, the last unit by
+    stratum and order is test. Strata are few; their counts are one small table."""
+    sized = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    sized = sized.withColumns({"_train": F.greatest(F.lit(1.0), F.bround(F.col("_n") * train, 0)), "_val": F.greatest(F.lit(0.0), F.bround(F.col("_n") * val, 0))})
+    tested = F.max((F.col("_n") > F.col("_train") + F.col("_val")).cast("int")) == 0
+    whole = sized.agg((tested & (F.sum("_n") >= 3)).alias("_none"), F.max(F.struct(F.col(stratum).isNotNull(), F.col(stratum).alias("s")))["s"].alias("_last"))
+    counts = F.broadcast(sized.join(F.broadcast(whole)).withColumnRenamed(stratum, "_stratum"))
+    rows = df.select(unit, stratum, order.alias("_o")).join(counts, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy(stratum).orderBy("_o", unit)))
+    moved = F.col("_none") & F.col(stratum).eqNullSafe(F.col("_last")) & (F.col("_i") == F.col("_n"))
+    split = F.when(moved, "test").when(F.col("_i") <= F.col("_train"), "train").when(F.col("_i") <= F.col("_train") + F.col("_val"), "val").otherwise("test")
     return rows.select(unit, stratum, split.alias("split"))
 
 
@@ -108,20 +109,32 @@ def weighted_score(parts: dict[str, float]) -> Column:
     return out
 
 
-def second_round(scored: DataFrame, reviewed: DataFrame, group: str, at: str, score: str, minority: int, unlabelled: int, per_group: int, spacing: float, each: int = 3) -> DataFrame:
-    """The clips of a second round with reason: first the greedy choice by score ("minority"), cut to its number; then,
-    for groups without reviewed rows in natural order, `each` clips at even distances that keep away from those chosen
-    ("unlabeled"), cut to their number; then all reviewed rows again ("rereview"). A clip keeps its first reason."""
+def second_round(scored: DataFrame, reviewed: DataFrame, group: str, at: str, score: str, minority: int, unlabelled: int, per_group: int, spacing: float, each: int | None = None,
+                 labelled: DataFrame | None = None) -> DataFrame:
+    """The clips of a second round with seg_id (the whole part of their place) and reason. First the greedy choice by
+    score ("minority"), cut to its number; then, for groups without labels in natural order, up to `each` (per_group)
+    clips at even distances, one after another, that keep away from those chosen before in their group ("unlabeled"),
+    cut to their number; then all reviewed rows again ("rereview"). Of clips with equal group, seg_id and reason the
+    first stays. labelled: the groups with labels (those of reviewed)."""
     from posemill.functions.scalars import natural_key
     from posemill.operators.windows import even_spread
 
     first = spaced_picks(scored, group, at, score, minority, per_group, spacing).withColumn("reason", F.lit("minority"))
-    fresh = scored.join(reviewed.select(group).distinct(), group, "left_anti")
-    spread = even_spread(fresh, [group], [at], each)
-    near = first.groupBy(group).agg(F.collect_list(at).alias("_taken"))  # at most per_group places
-    free = spread.join(near, group, "left").filter(F.coalesce(~F.exists("_taken", lambda p: F.abs(p - F.col(at)) < spacing), F.lit(True))).drop("_taken")
+    fresh = scored.join((reviewed if labelled is None else labelled).select(group).distinct(), group, "left_anti")
+    spread = even_spread(fresh, [group], [at], each or per_group)
+    near = first.groupBy(group).agg(F.collect_list(F.col(at).cast("double")).alias("_taken"))  # at most per_group places
+    row = F.struct(F.col(at).cast("double").alias("_at"), F.struct(*[F.col(c) for c in scored.columns]).alias("row"))
+    own = spread.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows")).join(near, group, "left")  # `each` rows
+    taken = F.coalesce("_taken", F.array().cast("array<double>"))
+
+    def add(state: Column, r: Column) -> Column:
+        close = F.exists(state["taken"], lambda p: F.abs(p - r["_at"]) < spacing)
+        grown = F.struct(F.concat(state["taken"], F.array(r["_at"])).alias("taken"), F.concat(state["kept"], F.array(r["row"])).alias("kept"))
+        return F.when(close, state).otherwise(grown)
+
+    none = F.filter(F.transform("_rows", lambda r: r["row"]), lambda r: F.lit(False))
+    free = own.select(F.explode(F.aggregate("_rows", F.struct(taken.alias("taken"), none.alias("kept")), add)["kept"]).alias("r")).select("r.*")
     second = free.orderBy(natural_key(F.col(group).cast("string")), group, at).limit(unlabelled).withColumn("reason", F.lit("unlabeled"))
-    third = reviewed.withColumn("reason", F.lit("rereview"))
-    order = F.when(F.col("reason") == "minority", 0).when(F.col("reason") == "unlabeled", 1).otherwise(2)
-    every = first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
-    return every.withColumn("_i", F.row_number().over(W.partitionBy(group, at).orderBy(order))).filter("_i = 1").drop("_i")
+    every = first.unionByName(second).unionByName(reviewed.withColumn("reason", F.lit("rereview")), allowMissingColumns=True)
+    every = every.withColumn("seg_id", F.col(at).cast("int"))
+    return every.withColumn("_i", F.row_number().over(W.partitionBy(group, "seg_id", "reason").orderBy(F.desc(score), at))).filter("_i = 1").drop("_i")

@@ -48,8 +48,7 @@ def cadence_per_minute(values: np.ndarray, fps: float, seconds: float = 8.0) ->
     power = np.abs(np.fft.rfft(x)) ** 2
     hertz = np.fft.rfftfreq(len(x), 1.0 / fps)
     inside = (hertz >= BAND[0]) & (hertz <= BAND[1])
-    rest = power[1:].sum()
-    if not inside.any() or rest <= 0 or power[inside].max() / rest < GATE:
+    if not inside.any() or power[inside].max() / (power[1:].sum() + FLOOR) < GATE:
         return 0.0
     n = 1 << math.ceil(math.log2(8 * len(x)))
     fine = np.abs(np.fft.rfft(x, n)) ** 2
@@ -58,17 +57,20 @@ def cadence_per_minute(values: np.ndarray, fps: float, seconds: float = 8.0) ->
     return float(hertz[inside][np.argmax(fine[inside])] * 60)
 
 
-def cadence(df: DataFrame, keys: list[str], time: str, values: list[str], fps: float, seconds: float = 8.0) -> DataFrame:
-    """keys and <value>_freq for every group of frames (a centred window). Filters go before this call: none crosses it.
-    A group is a window's frames, so it is bounded by seconds times fps."""
+def cadence(df: DataFrame, keys: list[str], time: str, values: list[str], fps: float | str, seconds: float = 8.0) -> DataFrame:
+    """keys and <value>_freq for every group of frames (a centred window). fps: frames a second, or a column that holds
+    them, alike in a group. Filters go before this call: none crosses it. A group is a window's frames, so it is bounded
+    by seconds times fps."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{v}_freq` double" for v in values])
 
     def one(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values(time)
-        return pd.DataFrame([[*key, *[cadence_per_minute(frames[v].to_numpy(float), fps, seconds) for v in values]]], columns=[*keys, *[f"{v}_freq" for v in values]])
+        rate = float(frames["_fps"].iloc[0])
+        return pd.DataFrame([[*key, *[cadence_per_minute(frames[v].to_numpy(float), rate, seconds) for v in values]]], columns=[*keys, *[f"{v}_freq" for v in values]])
 
-    return df.select(*keys, time, *values).groupBy(*keys).applyInPandas(one, schema)
+    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
+    return df.select(*keys, time, *values, rate.cast("double").alias("_fps")).groupBy(*keys).applyInPandas(one, schema)
 
 
 def dft_power(df: DataFrame, keys: list[str], position: str, value: str, size: int, bins: int) -> DataFrame:

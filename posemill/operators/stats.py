@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,15 +53,16 @@ def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[fl
         return F.when(inside, columns[n])
 
     while wide := {k: s for k, s in spots.items() if s[4] and s[3] > held and (s[0] is None or s[0] < s[1])}:
-        asks = []
-        for i, ((n, p), s) in enumerate(wide.items()):
-            rank = p * (counts[n] - 1) - s[2]
+        asks = {}
+        for key, s in wide.items():  # one sketch for all percentiles between the same bounds
+            rank = key[1] * (counts[key[0]] - 1) - s[2]
             ends = [min(1.0, max(0.0, (rank + d) / s[3])) for d in (-s[3] / 1000 - 2, s[3] / 1000 + 2)]
-            asks.append(F.percentile_approx(between(n, s), ends, 10_000).alias(f"b{i}"))
-        bounds = df.agg(*asks).first()
+            asks.setdefault((key[0], s[0], s[1]), []).append((key, ends))
+        told = df.agg(*[F.percentile_approx(between(own[0][0][0], spots[own[0][0]]), [e for _, ends in own for e in ends], 10_000).alias(f"b{i}") for i, own in enumerate(asks.values())]).first()
+        bounds = {key: told[i][2 * j:2 * j + 2] for i, own in enumerate(asks.values()) for j, (key, _) in enumerate(own)}
         tells = []
-        for i, (n, _) in enumerate(wide):
-            low, high = bounds[i]
+        for i, (n, p) in enumerate(wide):
+            low, high = bounds[n, p]
             tells += [F.count(F.when(columns[n] < low, 1)).alias(f"l{i}"), F.count(F.when((columns[n] >= low) & (columns[n] <= high), 1)).alias(f"m{i}")]
         told = df.agg(*tells).first()
         for i, (key, s) in enumerate(wide.items()):
@@ -69,20 +71,27 @@ def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[fl
             if not held_between or told[2 * i + 1] >= s[3]:  # the sketch can do no better: the exact function takes over
                 s[4] = False
             else:
-                s[:] = [*bounds[i], told[2 * i], told[2 * i + 1], True]
-    last = []
-    for (n, p), s in spots.items():
-        rank = p * (counts[n] - 1) - s[2]
-        last.append(F.percentile(between(n, s), min(1.0, max(0.0, rank / (s[3] - 1))) if s[3] > 1 else 0.5))
-    found = df.agg(*last).first()
-    values = dict(zip(spots, found))
+                s[:] = [*bounds[key], told[2 * i], told[2 * i + 1], True]
+    last: dict[tuple, list[tuple]] = {}
+    for key, s in spots.items():  # one table of values for all percentiles between the same bounds
+        rank = key[1] * (counts[key[0]] - 1) - s[2]
+        last.setdefault((key[0], s[0], s[1]), []).append((key, min(1.0, max(0.0, rank / (s[3] - 1))) if s[3] > 1 else 0.5))
+    found = df.agg(*[F.percentile(between(own[0][0][0], spots[own[0][0]]), F.lit([share for _, share in own])).alias(f"p{i}") for i, own in enumerate(last.values())]).first()
+    values = {key: found[i][j] if found[i] is not None else None for i, own in enumerate(last.values()) for j, (key, _) in enumerate(own)}
     return {n: [values[n, p] for p in shares] for n in columns}
 
 
+#: So many groups at most are asked for by name in one plan.
+FEW_GROUPS = 200
+
+
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys and the exact median of each column, for few groups of any size (clusters, views): a group's values are never
-    gathered in one task."""
-    groups = [tuple(row) for row in df.select(*keys).distinct().collect()]
+    """keys and the exact median of each column, for groups of any size: a group's values are never gathered in one row.
+    Few groups (clusters, views) are counted down to their medians; more are sorted by key and value, which spills."""
+    groups = [tuple(row) for row in df.select(*keys).distinct().limit(FEW_GROUPS + 1).collect()]
+    if len(groups) > FEW_GROUPS:
+        return _sorted_medians(df, keys, columns)
+
     def of(group: tuple) -> Column:
         out = F.lit(True)
         for key, value in zip(keys, group):
@@ -94,6 +103,58 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _sorted_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    values = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("_r")).select(*keys, "_r.c", "_r.v")
+    group = W.partitionBy(*keys, "c")
+    # NULLs come last, so the ranks of values are those below their count.
+    ranked = values.withColumn("_i", F.row_number().over(group.orderBy(F.col("v").asc_nulls_last())))
+    counts = values.groupBy(*keys, "c").agg(F.count("v").alias("_n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "c"]]
+    middle = ranked.alias("a").join(counts.alias("b"), same).filter((F.col("_i") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_i") == F.floor(F.col("_n") / 2) + 1) | (F.col("_i") == 1))
+    near = F.when((2 * F.col("_i") >= F.col("_n")) & (2 * F.col("_i") <= F.col("_n") + 2), F.col("v"))
+    wide = middle.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys])
+    return wide.agg(*[F.avg(F.when(F.col("a.c") == i, near)).alias(c) for i, c in enumerate(columns)])
+
+
+def prepared(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """columns clipped to their global percentiles, NULLs replaced by the median, centred on it and divided by the
+    interquartile range, as winsorized, imputed and robust_scaled after each other, from one search.
+
+    Clipping keeps the order, and so the percentiles between the bounds; the medians put in move the others' ranks by a
+    known number. Each quartile after it is then between two values of the column whose ranks follow from its counts.
+    """
+    told = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in columns]).first()
+    ranks = {c: _filled_ranks(told[c], told["rows"] - told[c]) for c in columns}
+    shares = sorted({low, 0.5, high, *[rank / (told[c] - 1) for c in columns if told[c] > 1 for place in ranks[c] for rank in place[0] if rank is not None]})
+    found = exact_percentiles(df, {c: F.col(c) for c in columns}, shares)
+    out = {}
+    for c in columns:
+        at = dict(zip(shares, found[c]))
+        if not told[c]:
+            out[c] = F.lit(0.0)
+            continue
+        clip = lambda v, at=at: max(min(v, at[high]), at[low])
+        middle = clip(at[0.5])
+        value = lambda rank, c=c, at=at, middle=middle, clip=clip: middle if rank is None or told[c] == 1 else clip(at[rank / (told[c] - 1)])
+        q = [value(a) + part * (value(b) - value(a)) for (a, b), part in ranks[c]]
+        filled = F.coalesce(F.greatest(F.least(F.col(c), F.lit(at[high])), F.lit(at[low])) if at[low] is not None else F.col(c), F.lit(middle))
+        filled = F.when(F.col(c).isNull(), F.lit(middle)).otherwise(filled)
+        out[c] = (filled - F.lit(q[1])) / F.lit(q[2] - q[0] if q[2] > q[0] else 1.0)
+    return df.withColumns(out)
+
+
+def _filled_ranks(present: int, missing: int) -> list[tuple]:
+    """For the quartiles of a column with its missing values at the median: the ranks among the present values on either
+    side (None: the median) and the share of the way between."""
+    half = -(-present // 2)
+    rank = lambda i: i if i < half else None if i < half + missing else i - missing
+    out = []
+    for share in (0.25, 0.5, 0.75):
+        place = share * (present + missing - 1) if present else 0.0
+        out.append(((rank(int(place)), rank(min(int(place) + 1, max(0, present + missing - 1)))), place - int(place)))
+    return out
+
+
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """columns clipped to their global percentiles; NULLs stay."""
     bounds = exact_percentiles(df, {c: F.col(c) for c in columns}, [low, high])
@@ -131,6 +192,11 @@ def class_mix(value: str, classes: tuple[int, ...] = (0, 1, 2)) -> list[Column]:
     return [F.avg(F.when(F.col(value) == k, 1.0).otherwise(0.0)).alias(f"share_{k}") for k in classes]
 
 
+def present_enough(df: DataFrame, columns: list[str], most: float = 0.5) -> DataFrame:
+    """Rows with less than the given share of the columns missing."""
+    return df.filter(missing_share(columns) < most)
+
+
 def missing_share(columns: list[str]) -> Column:
     out = F.lit(0)
     for c in columns:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from posemill.functions import geometry as G
 from posemill.functions import scalars as X
 from posemill.operators import features as feature_ops
-from posemill.operators import joins, signal, stats, windows
+from posemill.operators import cluster, feedback, joins, signal, stats, windows
 from posemill.plans.base import FEATURES, FRAMES, HOPPED, features, frames, hopped, mean_of, query, r, read
 
 
@@ -50,18 +50,6 @@ def global_norm_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     r(F.when(F.first("torso") > 0, F.avg(F.when(good, F.col("dv") / F.col("dt"))) / F.first("torso"))).alias("speed"))
 
 
-@query(f"""WITH {FRAMES}, d AS (
-  SELECT user_id, floor((t - min(t) OVER (PARTITION BY user_id)) / 24)::BIGINT AS bin, t - lag(t) OVER w AS dt, value - lag(value) OVER w AS dx, k - lag(k) OVER w AS dy,
-         event_type <> 'error' AND lag(event_type) OVER w <> 'error' AS seen, abs(k - lag(k) OVER w) AS dk
-  FROM frames WINDOW w AS (PARTITION BY user_id ORDER BY t)
-), m AS (SELECT user_id, bin, CASE WHEN seen AND dt > 0 AND dt <= 24 THEN sqrt(dx * dx + dy * dy) / dt END AS a, CASE WHEN dt > 0 AND dt <= 24 THEN sqrt(2.0 * dk * dk) / dt END AS b FROM d)
-SELECT user_id, bin, round_even(avg(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END), 6) AS movement FROM m GROUP BY user_id, bin""")
-def movement_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir).select("user_id", "t", "value", F.col("k").cast("double").alias("k"), F.when(F.col("event_type") == "error", 0.0).otherwise(0.9).alias("seen"), F.lit(1.0).alias("always"))
-    out = feature_ops.body_movement(rows, ["user_id"], "t", {"a": ("value", "k", "seen"), "b": ("k", "k", "always")}, fps=2 / 24, bin_seconds=24.0)
-    return out.withColumn("movement", r("movement"))
-
-
 @query(f"""WITH {FRAMES}, o AS (SELECT user_id, t, sig, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM frames
 ), g AS (
   SELECT user_id, t, sig, n, last_value(sig IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN sig IS NOT NULL THEN n END IGNORE NULLS) OVER b AS n0,
@@ -88,21 +76,45 @@ def cadence_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.cadence(rows, ["user_id"], "t", ["sig", "wave"], fps=4.0, seconds=8.0)
 
 
+#: Where the synthetic body's points are, and how far they move.
+PLACES = {"left_shoulder": (0.40, 0.50), "right_shoulder": (0.41, 0.52), "left_hip": (0.55, 0.53), "right_hip": (0.56, 0.55), "left_elbow": (0.35, 0.52), "right_elbow": (0.36, 0.54),
+          "left_wrist": (0.30, 0.55), "right_wrist": (0.31, 0.57), "left_knee": (0.65, 0.56), "right_knee": (0.66, 0.58), "left_ankle": (0.75, 0.58), "right_ankle": (0.76, 0.60), "nose": (0.35, 0.48)}
+MOVES = {p: 0.03 if p.endswith(("wrist", "ankle")) else 0.002 for p in PLACES}
+#: user_id, t (25 frames a second), seen, and the y of each point.
+LANDMARKS = FRAMES + f""", landmarks AS (
+  SELECT user_id, i / 25 AS t, seen, {', '.join(f"{y} + {MOVES[p]} * sin(i / 25 * 9 + {j}) + value / 1e5 AS {p}" for j, (p, (_, y)) in enumerate(PLACES.items()))}
+  FROM (SELECT user_id, value, event_type <> 'error' AS seen, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM frames))"""
+
+
 def synthetic_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as frames at 25 a second of a floating body whose limbs move with the values."""
     rows = frames(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("t")) - 1)
     phase, seen = F.col("i") / 25 * 9, F.when(F.col("event_type") == "error", 0.2).otherwise(0.9)
-    place = {"left_shoulder": (0.40, 0.50), "right_shoulder": (0.41, 0.52), "left_hip": (0.55, 0.53), "right_hip": (0.56, 0.55), "left_elbow": (0.35, 0.52), "right_elbow": (0.36, 0.54),
-             "left_wrist": (0.30, 0.55), "right_wrist": (0.31, 0.57), "left_knee": (0.65, 0.56), "right_knee": (0.66, 0.58), "left_ankle": (0.75, 0.58), "right_ankle": (0.76, 0.60), "nose": (0.35, 0.48)}
     columns = []
-    for j, (name, (x, y)) in enumerate(place.items()):
-        moves = 0.03 if name.endswith(("wrist", "ankle")) else 0.002
-        columns += [F.lit(x).alias(f"{name}_x"), (F.lit(y) + moves * F.sin(phase + j) + F.col("value") / 1e5).alias(f"{name}_y"), seen.alias(f"{name}_visibility")]
-    return rows.select(F.format_string("u%05d", "user_id").alias("video_id"), F.format_string("P%02d", "user_id").alias("participant_id"), F.lit("side_front").alias("camera_view"), (F.col("i") / 25).alias("time_sec"), *columns)
+    for j, (name, (x, y)) in enumerate(PLACES.items()):
+        columns += [F.lit(x).alias(f"{name}_x"), (F.lit(y) + MOVES[name] * F.sin(phase + j) + F.col("value") / 1e5).alias(f"{name}_y"), seen.alias(f"{name}_visibility")]
+    return rows.select("user_id", F.format_string("u%05d", "user_id").alias("video_id"), F.format_string("P%02d", "user_id").alias("participant_id"), F.lit("side_front").alias("camera_view"), (F.col("i") / 25).alias("time_sec"), *columns)
+
+
+_MID = {c: [f"({PLACES[f'left_{p}'][0]} + {PLACES[f'right_{p}'][0]}) / 2 * 16 / 9" if c == "x" else f"(left_{p} + right_{p}) / 2" for p in ("shoulder", "hip")] for c in "xy"}
+_POINTS = [p for p in PLACES if p != "nose"]
+
+
+@query(f"""WITH {LANDMARKS}, l AS (
+  SELECT user_id, t, t - lag(t) OVER w AS dt, seen AND lag(seen) OVER w AS seen_twice, ({' + '.join(f'abs({p} - lag({p}) OVER w)' for p in _POINTS)}) / {len(_POINTS)} AS moved,
+         sqrt(({_MID['x'][0]} - {_MID['x'][1]}) ** 2 + ({_MID['y'][0]} - {_MID['y'][1]}) ** 2) AS torso FROM landmarks WINDOW w AS (PARTITION BY user_id ORDER BY t)
+), m AS (SELECT *, median(torso) FILTER (WHERE torso > 0) OVER (PARTITION BY user_id) AS size FROM l
+), p AS (SELECT user_id, t, moved / size / dt AS m, floor(t - min(t) OVER (PARTITION BY user_id)) AS bin FROM m WHERE seen_twice AND dt > 0 AND dt <= 2.0 / 25)
+SELECT user_id, bin::BIGINT AS bin, round_even(avg(t), 6) AS at, round_even(avg(m), 6) AS movement, round_even(any_value(average), 6) AS average
+FROM p JOIN (SELECT user_id, avg(m) AS average FROM p GROUP BY user_id) USING (user_id) GROUP BY user_id, bin""")
+def movement_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = feature_ops.body_movement(synthetic_landmarks(spark, sf_dir), ["user_id"], "time_sec", fps=25.0)
+    return out.select("user_id", "bin", *[r(c).alias(c) for c in ("at", "movement", "average")])
 
 
 @query()
 def landmark_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of windows; the tests hold it against a plain loop over frames."""
     return feature_ops.window_features(synthetic_landmarks(spark, sf_dir))
 
 
@@ -116,15 +128,15 @@ def centred_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules in SQL; the effort threshold is the median over users outside the sealed ones.
-RULES = FEATURES + """, e AS (
+RULES = FEATURES + f""", e AS (
   SELECT *, CASE WHEN arm IS NULL THEN leg WHEN leg IS NULL THEN arm ELSE (arm + leg) / 2 END AS effort FROM features
-), thr AS (SELECT coalesce(median(effort), 4.0) AS thr FROM e WHERE user_id % 5 <> 0
+), thr AS (SELECT coalesce(median(effort), 4.0) AS thr FROM e WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 ), f AS (
   SELECT e.*, thr, coalesce(slope > 0.05, false) AS sinks, coalesce(angle_std > 12, false) AS unstable, coalesce(effort > thr, false) AS works FROM e, thr
 ), ruled AS (
   SELECT *, CASE WHEN sinks OR (unstable AND works) THEN 0 WHEN NOT sinks AND NOT unstable AND NOT works THEN 2 ELSE 1 END AS float_pred,
-         CASE WHEN sinks THEN 'body is sinking' WHEN unstable AND works THEN 'unstable and working hard'
-              WHEN NOT sinks AND NOT unstable AND NOT works THEN 'stable with low effort' ELSE 'maintaining with effort or mild instability' END AS reason,
+         CASE WHEN sinks THEN '{X.SINKING}' WHEN unstable AND works THEN '{X.STRUGGLING}'
+              WHEN NOT sinks AND NOT unstable AND NOT works THEN '{X.STABLE}' ELSE '{X.MAINTAINING}' END AS reason,
          CASE WHEN angle < 20 THEN 'horizontal' WHEN angle < 45 THEN 'angled' ELSE 'vertical' END AS alignment,
          CASE WHEN effort < 0.6 * thr THEN 'low' WHEN effort < thr THEN 'moderate' ELSE 'high' END AS effort_level
   FROM f)"""
@@ -132,7 +144,7 @@ RULES = FEATURES + """, e AS (
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).withColumn("effort", X.effort(F.col("arm"), F.col("leg")))
-    sealed = read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("user_id"))
+    sealed = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     pooled = stats.exact_percentiles(joins.non_members(rows, sealed, "user_id"), {"effort": F.col("effort")}, [0.5])["effort"][0]
     rows = rows.withColumn("thr", F.lit(4.0 if pooled is None else pooled))
     found = X.rule_class(F.col("angle_std"), F.col("slope"), F.col("effort"), F.col("thr"))
@@ -192,7 +204,7 @@ def flotation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, start_s, round_even(CASE WHEN angle IS NOT NULL THEN 100 * (1 - least(abs(angle), 90) / 90) END, 6) AS flatness,
        round_even(CASE WHEN angle_std IS NOT NULL THEN 100 * (1 - least(angle_std, 15) / 15) END, 6) AS steadiness,
        round_even(CASE WHEN slope IS NOT NULL THEN 100 * (1 - least(abs(slope), 0.1) / 0.1) END, 6) AS level,
-       round_even(CASE WHEN arm IS NOT NULL AND leg IS NOT NULL THEN 100 * (1 - least(greatest(arm, leg), 6) / 6) END, 6) AS stillness,
+       round_even(CASE WHEN arm IS NOT NULL THEN greatest(100 * (1 - least(greatest(arm, coalesce(leg, arm)), 6) / 6), 0) END, 6) AS stillness,
        round_even(CASE WHEN arm IS NOT NULL AND leg IS NOT NULL AND greatest(arm, leg) > 0 THEN 100 * least(arm, leg) / greatest(arm, leg) END, 6) AS balance,
        round_even(arm * 72 / 60, 6) AS cycles
 FROM features""")
@@ -217,6 +229,28 @@ def zscore_topk_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("user_id", "start_s", "rank", "feature", r("z", 5).alias("z"), X.feature_message(F.col("feature"), F.col("z"), FEEDBACK).alias("message"))
 
 
+_NAMED = {"trunk_angle_med": "angle", "trunk_angle_std": "angle_std", "hip_depth_med": "hip", "head_sub_frac": "head", "arm_speed": "arm", "leg_speed": "leg"}
+#: Takes values off the ties of two decimals, where formatters differ.
+_OFF = 0.00012345
+_SAID = " ".join(f"WHEN '{f}' THEN '" + X.MESSAGES[f].replace("%v", f"' || printf('{d.replace('%%', '%%')}', {'100 * ' if f == 'head_sub_frac' else ''}v) || '").replace("%r", f"' || printf('{d}', ideal) || '") + "'"
+                 for f in _NAMED for d in [{"trunk_angle_med": "%.0f", "trunk_angle_std": "%.0f", "head_sub_frac": "%.0f%%"}.get(f, "%.2f")])
+
+
+@query(f"""WITH {FEATURES}, n0 AS (SELECT user_id, start_s, user_id % 8 AS cluster, {', '.join(f'{c} + {_OFF} AS {f}' for f, c in _NAMED.items())} FROM features
+), n AS (SELECT *, CASE WHEN trunk_angle_med IS NOT NULL THEN greatest(least(0.45 * cos(radians(trunk_angle_med)) + 0.35 * (1 - least(greatest(hip_depth_med, 0), 1.5) / 1.5) + 0.2 * (1 - least(greatest(head_sub_frac, 0), 1)), 1), 0) END AS index FROM n0
+), best AS (SELECT {', '.join(f'round_even(median({f}), 2) AS {f}' for f in _NAMED)} FROM n GROUP BY cluster HAVING median(index) IS NOT NULL ORDER BY round_even(median(index), 2) DESC, cluster LIMIT 1
+), l AS (SELECT user_id, start_s, unnest([{', '.join(f"'{f}'" for f in _NAMED)}]) AS feature, unnest([{', '.join(f'n.{f}' for f in _NAMED)}]) AS v, unnest([{', '.join(f'best.{f}' for f in _NAMED)}]) AS ideal,
+  unnest([{', '.join(f's.{f}' for f in _NAMED)}]) AS sd FROM n, best, (SELECT {', '.join(f'stddev_samp({f}) AS {f}' for f in _NAMED)} FROM n) s
+), k AS (SELECT *, abs((v - ideal) / sd) AS away FROM l WHERE sd > 1e-6 AND abs((v - ideal) / sd) >= 1.5)
+SELECT user_id, start_s, row_number() OVER (PARTITION BY user_id, start_s ORDER BY away DESC, feature DESC)::INT AS rank, feature, round_even(away, 1) AS z, CASE feature {_SAID} END AS message
+FROM k QUALIFY row_number() OVER (PARTITION BY user_id, start_s ORDER BY away DESC, feature DESC) <= 3""")
+def profile_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows against the medians of the cluster that floats best."""
+    rows = features(spark, sf_dir).select("user_id", "start_s", (F.col("user_id") % 8).alias("cluster"), *[(F.col(c) + F.lit(_OFF)).alias(f) for f, c in _NAMED.items()])
+    profile = cluster.well_profile(rows, "cluster", list(_NAMED), "trunk_angle_med", "hip_depth_med", "head_sub_frac")
+    return feedback.profile_feedback(rows, profile, ["user_id", "start_s"])
+
+
 @query(f"""WITH {FEATURES}, z AS (SELECT user_id, start_s, {_Z} FROM features)
 SELECT user_id, start_s, round_even(1.0 * angle_z + 0.7 * angle_std_z + 1.0 * slope_z + 0.5 * arm_z + 0.5 * leg_z, 5) AS score FROM z""")
 def minority_score(spark: SparkSession, sf_dir: str) -> DataFrame:

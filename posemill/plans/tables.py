@@ -45,11 +45,11 @@ def interval_label_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FEATURES}, j AS (
   SELECT f.user_id, f.start_s, c.c_nationkey AS rating, f.start_s + 36 >= 120 + c_custkey % 600 AND f.start_s + 36 < 240 + c_custkey % 600 AS hit
-  FROM features f JOIN customer c ON c.c_custkey = f.user_id AND c.c_custkey % 3 = 0
+  FROM features f JOIN customer c ON c.c_custkey = f.user_id
 )
 SELECT user_id, start_s, rating FROM (SELECT *, bool_or(hit) OVER (PARTITION BY user_id) AS any_hit FROM j) WHERE hit OR NOT any_hit""")
 def interval_expand_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("rating"), (F.col("c_custkey") % 600).alias("d"))
+    rated = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("rating"), (F.col("c_custkey") % 600).alias("d"))
     joined = features(spark, sf_dir).join(rated, "user_id")
     centre = F.col("start_s") + 36
     return joins.inside_or_all(joined, ["user_id"], (centre >= 120 + F.col("d")) & (centre < 240 + F.col("d"))).select("user_id", "start_s", "rating")
@@ -77,22 +77,34 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(read(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", (F.col("c_custkey") * 7919) % 10007)
 
 
-@query(f"""WITH {_SPLIT} SELECT o_orderkey, coalesce(split, 'train') AS split FROM orders LEFT JOIN (SELECT * FROM split WHERE c_custkey % 10 <> 0) ON c_custkey = o_custkey""")
+@query(f"""WITH {_SPLIT} SELECT o_orderkey, coalesce(split, 'train') AS split FROM orders LEFT JOIN (SELECT * FROM split WHERE c_mktsegment <> 'BUILDING') ON c_custkey = o_custkey""")
 def split_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = split_assign(spark, sf_dir).filter("c_custkey % 10 <> 0").withColumnRenamed("c_custkey", "o_custkey")
+    split = split_assign(spark, sf_dir).filter("c_mktsegment <> 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey")
     return joins.with_default(read(spark, sf_dir, "orders"), split, "o_custkey", "split", "train").select("o_orderkey", "split")
 
 
-@query(r"""WITH p AS (SELECT url, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, CAST(regexp_extract(url, '/[a-z]{2}/(\d+)', 1) AS BIGINT) AS num FROM pages WHERE regexp_matches(url, '/[a-z]{2}/\d+')),
-m AS (SELECT doc_id, url, CASE WHEN num = doc_id % 1000 THEN 1 WHEN url LIKE '%//m.%' THEN 2 ELSE 3 END AS tier FROM documents d JOIN p ON p.lang = d.lang AND p.num % 100 = d.doc_id % 100)
-SELECT doc_id, tier::INT AS tier, url FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier, url) = 1""")
+@query(r"""WITH named AS (SELECT n_nationkey, upper(repeat(chr(97 + n_nationkey), 3)) || 'o' AS n_name FROM nation), m AS (SELECT s_suppkey, 'P' || s_suppkey AS participant, 'P0' || s_suppkey || '_' || n_name || '_raw_features.csv' AS stem, lower(n_name) AS nm, s_acctbal FROM supplier JOIN named ON n_nationkey = s_nationkey),
+v AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '/v/' || n_name || ' ' || c_custkey || ' side front.mp4' WHEN 'BUILDING' THEN '/v/x_P00' || c_custkey || ' Side.mp4' WHEN 'FURNITURE' THEN '/w/' || c_custkey || ' side front.mp4'
+  WHEN 'HOUSEHOLD' THEN '/v/P' || c_custkey || ' side top.mp4' ELSE '/v/' || n_name || ' rear side.mp4' END AS path FROM customer JOIN named ON n_nationkey = c_nationkey),
+f AS (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS base FROM v WHERE lower(path) LIKE '%side%' AND lower(path) NOT LIKE '%rear%' AND lower(path) NOT LIKE '%top%'),
+c AS (
+  SELECT s_suppkey, 0 AS tier, '/m/' || s_suppkey AS path FROM m WHERE s_acctbal < 0
+  UNION ALL SELECT s_suppkey, 1, path FROM m, f WHERE nm NOT IN ('side', 'front', 'top') AND regexp_matches(nm, '^[a-z]{3,}$') AND contains(base, nm)
+  UNION ALL SELECT s_suppkey, 2, path FROM m, f WHERE regexp_matches(base, 'p0*0' || s_suppkey || '([^a-z0-9_]|$)')
+  UNION ALL SELECT s_suppkey, 3, path FROM m, f WHERE regexp_matches(base, '^0*' || s_suppkey || '([^a-z0-9_]|$)')
+), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY tier, path) = 1)
+SELECT participant, stem AS raw_stem, b.path AS video, tier::INT AS tier FROM m LEFT JOIN b USING (s_suppkey)""")
 def priority_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").filter(F.col("url").rlike(r"/[a-z]{2}/\d+")).select(
-        "url", F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("p_lang"), F.regexp_extract("url", r"/[a-z]{2}/(\d+)", 1).cast("long").alias("num"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    on = (F.col("lang") == F.col("p_lang")) & (F.col("num") % 100 == F.col("doc_id") % 100)
-    tier = F.when(F.col("num") == F.col("doc_id") % 1000, 1).when(F.col("url").contains("//m."), 2).otherwise(3)
-    return joins.priority_match(docs, pages, on, tier, ["doc_id"], ["url"])
+    """Participants with names and numbers against video files, by the cascade of the manual map, name and number."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.upper(F.repeat(F.char(97 + F.col("n_nationkey")), F.lit(3))), F.lit("o")).alias("n_name"))
+    people = read(spark, sf_dir, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = people.select(F.concat(F.lit("P"), "s_suppkey").alias("participant"), F.concat(F.lit("P0"), "s_suppkey", F.lit("_"), "n_name", F.lit("_raw_features.csv")).alias("raw_stem"))
+    k, c = F.col("c_custkey"), F.col("c_mktsegment")
+    name = (F.when(c == "AUTOMOBILE", F.concat(F.lit("/v/"), "n_name", F.lit(" "), k, F.lit(" side front.mp4"))).when(c == "BUILDING", F.concat(F.lit("/v/x_P00"), k, F.lit(" Side.mp4")))
+            .when(c == "FURNITURE", F.concat(F.lit("/w/"), k, F.lit(" side front.mp4"))).when(c == "HOUSEHOLD", F.concat(F.lit("/v/P"), k, F.lit(" side top.mp4"))).otherwise(F.concat(F.lit("/v/"), "n_name", F.lit(" rear side.mp4"))))
+    videos = read(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(name.alias("path"))
+    manual = people.filter("s_acctbal < 0").select(F.concat(F.lit("P"), "s_suppkey").alias("participant"), F.concat(F.lit("/m/"), "s_suppkey").alias("video_path"))
+    return joins.match_videos(rows, videos, manual)
 
 
 @query("""SELECT c_custkey, coalesce(o.price, s.price) AS price, CASE WHEN o.price IS NOT NULL THEN 'orders' ELSE 'balance' END AS origin
@@ -137,8 +149,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even((price - p[2])
        round_even((disc - d[2]) / CASE WHEN d[3] > d[1] THEN d[3] - d[1] ELSE 1 END, 6) AS disc FROM i, q""")
 def winsorize_impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), F.when(F.col("l_quantity") <= 45, F.col("l_discount")).alias("disc"))
-    scaled = stats.robust_scaled(stats.imputed(stats.winsorized(rows, ["price", "disc"]), ["price", "disc"]), ["price", "disc"])
-    return scaled.withColumns({c: r(c) for c in ("price", "disc")})
+    return stats.prepared(rows, ["price", "disc"]).withColumns({c: r(c) for c in ("price", "disc")})
 
 
 RATED = """rated AS (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS a, CAST(least(floor(o_totalprice / 100000) + 1, 5) AS INT) AS b, o_custkey FROM orders)"""
@@ -232,7 +243,7 @@ def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUSE = """mine AS (SELECT source, doc_id AS seg_id, n_chars::DOUBLE AS start_s, n_chars + 8.0 AS end_s, CASE WHEN quality + toxic < 2 THEN quality + toxic ELSE CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END END AS floating_outcome,
-  'mine' AS label_source, CASE doc_id % 4 WHEN 2 THEN 1.0 WHEN 1 THEN 0.6 WHEN 0 THEN 0.25 ELSE 0.8 END AS sample_weight FROM labels JOIN documents USING (doc_id) WHERE doc_id % 11 <> 0),
+  'mine' AS label_source, CASE doc_id % 4 WHEN 2 THEN 1.0 WHEN 1 THEN 0.6 WHEN 0 THEN 0.25 ELSE 0.8 END AS sample_weight FROM labels JOIN documents USING (doc_id) WHERE n_chars >= 200),
 rate AS (SELECT DISTINCT source AS participant, CAST(substr(source, 4) AS INT) % 4 AS y FROM documents WHERE CAST(substr(source, 4) AS INT) % 5 = 0),
 win AS (SELECT source, start_s, y, hit, bool_or(hit) OVER (PARTITION BY source) AS any_hit FROM (
   SELECT source, (doc_id % 100)::DOUBLE AS start_s, y, doc_id % 100 + 1.5 >= 30 AND doc_id % 100 + 1.5 < 60 AS hit FROM documents JOIN rate ON participant = source)),
@@ -245,7 +256,7 @@ def label_fuse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     mine = read(spark, sf_dir, "labels").join(docs, "doc_id").select(
         "source", F.col("source").alias("participant"), F.col("doc_id").alias("seg_id"), F.col("n_chars").cast("double").alias("start_s"), (F.col("n_chars") + 8.0).alias("end_s"), (F.col("quality") + F.col("toxic")).alias("float_label"),
-        F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("passive_active"), (F.col("doc_id") % 4).alias("label_confidence"), F.when(F.col("doc_id") % 11 == 0, "1").when(F.col("doc_id") % 2 == 0, "0").alias("exclude"))
+        F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("passive_active"), (F.col("doc_id") % 4).alias("label_confidence"), F.when(F.col("n_chars") < 200, "1").when(F.col("doc_id") % 2 == 0, "0").alias("exclude"))
     number = F.substring("source", 4, 9).cast("int")
     expert = docs.filter(number % 5 == 0).select(F.col("source").alias("participant"), (number % 4).alias("floating_outcome")).distinct().withColumns({c: F.lit(None).cast("double") for c in ("window_start", "window_end")})
     start = (F.col("doc_id") % 100).cast("double")
@@ -280,12 +291,12 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cluster_profile(rows, "label", ["x", "y"])
 
 
-@query(f"""WITH {FEATURES}, f AS (SELECT *, user_id % 2 AS view, user_id % 8 AS cluster, arm + leg AS effort FROM features),
-v AS (SELECT view, median(angle) AS va, median(effort) AS ve FROM f GROUP BY view), c AS (SELECT view, cluster, median(angle) AS a, median(effort) AS e FROM f GROUP BY ALL)
-SELECT c.view, cluster, CASE WHEN a < va AND NOT e > ve THEN 'efficient float' WHEN a < va AND e > ve THEN 'movement-assisted' WHEN NOT a < va AND e > ve THEN 'struggling' ELSE 'sinking/inactive' END AS name FROM c JOIN v ON v.view = c.view""")
+@query(f"""WITH {FEATURES}, f AS (SELECT *, user_id % 2 AS view, user_id % 8 AS cluster FROM features),
+v AS (SELECT view, median(angle) AS va, median(arm + leg) AS ve FROM f GROUP BY view), c AS (SELECT view, cluster, round_even(median(angle), 2) AS a, round_even(median(arm), 2) + round_even(median(leg), 2) AS e FROM f GROUP BY ALL)
+SELECT c.view, cluster, CASE WHEN a < va AND NOT e > ve THEN '{X.EFFICIENT}' WHEN a < va AND e > ve THEN '{X.ASSISTED}' WHEN NOT a < va AND e > ve THEN '{X.RECOVERING}' ELSE '{X.INACTIVE}' END AS name FROM c JOIN v ON v.view = c.view""")
 def named_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(spark, sf_dir).withColumns({"view": F.col("user_id") % 2, "cluster": F.col("user_id") % 8, "effort": F.col("arm") + F.col("leg")})
-    return C.named_clusters(rows, "cluster", "view", "angle", "effort")
+    rows = features(spark, sf_dir).withColumns({"view": F.col("user_id") % 2, "cluster": F.col("user_id") % 8})
+    return C.named_clusters(rows, "cluster", "view", "angle", "arm", "leg")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -331,13 +342,27 @@ def calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.calinski_harabasz(read(spark, sf_dir, "embeddings"), "label", "embedding").select(r("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, '/data/' || source || '/P' || doc_id || '_T' || doc_id % 7 || CASE doc_id % 3 WHEN 0 THEN '_side_front' WHEN 1 THEN '_top' ELSE '_rear' END || '.mp4' AS path, text FROM documents)
-SELECT printf('P%02d_T%02d_%s', doc_id, doc_id % 7, CASE doc_id % 3 WHEN 0 THEN 'side_front' WHEN 1 THEN 'top' ELSE 'rear' END) AS video_id, printf('P%02d', doc_id) AS participant_id, printf('T%02d', doc_id % 7) AS trial_id,
-       CASE doc_id % 3 WHEN 0 THEN 'side_front' WHEN 1 THEN 'top' ELSE 'rear' END AS view, regexp_extract(path, '[^/]*$') AS filename, sha256(text) AS sha256 FROM f""")
+@query(r"""WITH f AS (SELECT '/data/' || source || '/' || CASE doc_id % 4 WHEN 0 THEN 'P' || doc_id || '_T' || doc_id % 7 || '_side_front' WHEN 1 THEN doc_id || ' Side top' WHEN 2 THEN 'p0' || doc_id || ' rear T' || doc_id % 13 ELSE 'x side front' END || '.mp4' AS path, *,
+  CASE WHEN lang <> 'en' THEN 25 + doc_id % 10 / 7 ELSE 0 END AS rate, CASE WHEN lang IS NOT NULL THEN n_chars ELSE 0 END AS frame_count FROM documents),
+s AS (SELECT *, regexp_replace(regexp_extract(path, '[^/]*$'), '\.mp4$', '') AS stem FROM f),
+p AS (SELECT *, CASE WHEN regexp_matches(stem, '[Pp]\d') THEN printf('P%02d', CAST(regexp_extract(stem, '[Pp](\d+)', 1) AS BIGINT)) WHEN regexp_matches(stem, '^\s*\d') THEN printf('V%02d', CAST(regexp_extract(stem, '^\s*(\d+)', 1) AS BIGINT)) ELSE 'P??' END AS pid,
+  CASE WHEN regexp_matches(stem, '[Tt]\d{1,2}([^A-Za-z0-9]|$)') THEN printf('T%02d', CAST(regexp_extract(stem, '[Tt](\d{1,2})([^A-Za-z0-9]|$)', 1) AS BIGINT)) ELSE 'T01' END AS trial,
+  CASE WHEN contains(lower(stem), 'top') THEN 'top' WHEN contains(lower(stem), 'side') AND contains(lower(stem), 'rear') THEN 'side_rear' WHEN contains(lower(stem), 'side') AND contains(lower(stem), 'front') THEN 'side_front'
+    WHEN contains(lower(stem), 'front') THEN 'front' WHEN contains(lower(stem), 'rear') THEN 'side_rear' ELSE 'unknown' END AS view,
+  CASE WHEN rate > 0 THEN round_even(frame_count / rate, 1) ELSE 0 END AS secs FROM s)
+SELECT pid || '_' || trial || '_' || view AS video_id, pid AS participant_id, trial AS trial_id, view, regexp_extract(path, '[^/]*$') AS filename, round_even(coalesce(rate, 0), 2) AS fps, coalesce(secs, 0)::DOUBLE AS duration_s,
+  640 AS width, 480 AS height, coalesce(frame_count, 0)::INT AS frames, 'back_float' AS exercise, coalesce(frame_count > 0 AND secs > 0, false) AS readable, sha256(text) AS sha256 FROM p""")
 def manifest_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    path = F.concat(F.lit("/data/"), "source", F.lit("/P"), k, F.lit("_T"), k % 7, F.when(k % 3 == 0, "_side_front").when(k % 3 == 1, "_top").otherwise("_rear"), F.lit(".mp4"))
-    return readers.manifest(read(spark, sf_dir, "documents").select(path.alias("path"), "text"), "path", "text")
+    name = (F.when(k % 4 == 0, F.concat(F.lit("P"), k, F.lit("_T"), k % 7, F.lit("_side_front"))).when(k % 4 == 1, F.concat(k, F.lit(" Side top")))
+            .when(k % 4 == 2, F.concat(F.lit("p0"), k, F.lit(" rear T"), k % 13)).otherwise("x side front"))
+    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/data/"), "source", F.lit("/"), name, F.lit(".mp4")))
+    # A probe for each row; names may repeat, so rows keep their number.
+    rows = docs.withColumn("key", F.concat_ws("#", "path", k))
+    probes = rows.select(F.col("key").alias("path"), F.when(F.col("lang") != "en", 25 + k % 10 / 7).otherwise(0.0).alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+                         F.when(F.col("lang").isNotNull(), F.col("n_chars")).otherwise(0).alias("frames"))
+    return readers.manifest(rows.select(F.col("key").alias("path"), "text"), "path", "text", probes).withColumns(
+        {c: F.regexp_replace(c, r"#\d+$", "") for c in ("filename",)})
 
 
 @query("""SELECT sha256(text) AS sha256, count(*) AS n, string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id) AS names FROM documents GROUP BY 1 HAVING count(*) > 1""")
@@ -346,13 +371,15 @@ def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.duplicate_ids(docs, "sha256", "name")
 
 
-@query(r"""SELECT c_name, CASE WHEN c_custkey % 4 = 0 THEN printf('P%02d', c_custkey) WHEN c_custkey % 4 = 1 THEN printf('V%02d', c_custkey) ELSE substr('Cust' || chr((97 + c_custkey % 26)::INT) || 'xyzw', 1, 8) END AS pid,
-CASE WHEN c_custkey % 4 = 0 THEN 'P' || c_custkey WHEN c_custkey % 4 = 1 THEN substr(c_custkey || ' side', 1, 8) ELSE substr('Cust' || chr((97 + c_custkey % 26)::INT) || 'xyzw', 1, 8) END AS short FROM customer WHERE chr((97 + c_custkey % 26)::INT) <> 'p'""")
+@query(r"""WITH p AS (SELECT c_name, CASE c_custkey % 4 WHEN 0 THEN 'a/b/P' || c_custkey || '_x.csv' WHEN 1 THEN c_custkey || ' side.csv' WHEN 2 THEN 'P2024010112345' || c_custkey || '_y.csv' ELSE 'Cust' || chr((97 + c_custkey % 26)::INT) || 'xyzw.v1.csv' END AS path FROM customer),
+s AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem FROM p)
+SELECT c_name, CASE WHEN regexp_matches(stem, '[Pp]\d') THEN printf('P%02d', CAST(regexp_extract(stem, '[Pp](\d+)', 1) AS HUGEINT)) WHEN regexp_matches(stem, '^\s*\d') THEN printf('V%02d', CAST(regexp_extract(stem, '^\s*(\d+)', 1) AS HUGEINT)) ELSE left(stem, 8) END AS pid,
+CASE WHEN regexp_matches(base, '^[Pp]\d') THEN 'P' || CAST(regexp_extract(base, '^[Pp](\d+)', 1) AS HUGEINT) ELSE base END AS short FROM s""")
 def participant_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    letter = F.char(97 + k % 26)
-    name = F.when(k % 4 == 0, F.concat(F.lit("a/b/P"), k, F.lit("_x.csv"))).when(k % 4 == 1, F.concat(k, F.lit(" side.csv"))).otherwise(F.concat(F.lit("Cust"), letter, F.lit("xyzw.v1.csv")))
-    rows = read(spark, sf_dir, "customer").filter(letter != "p").withColumn("path", name)
+    name = (F.when(k % 4 == 0, F.concat(F.lit("a/b/P"), k, F.lit("_x.csv"))).when(k % 4 == 1, F.concat(k, F.lit(" side.csv"))).when(k % 4 == 2, F.concat(F.lit("P2024010112345"), k, F.lit("_y.csv")))
+            .otherwise(F.concat(F.lit("Cust"), F.char(97 + k % 26), F.lit("xyzw.v1.csv"))))
+    rows = read(spark, sf_dir, "customer").withColumn("path", name)
     return rows.select("c_name", X.participant_id(F.col("path")).alias("pid"), X.participant_id(F.col("path"), "short").alias("short"))
 
 
@@ -389,11 +416,11 @@ def histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.histogram(read(spark, sf_dir, "events"), "value", 0.0, 500.0)
 
 
-@query(f"""WITH {FEATURES} SELECT printf('P%02d__%04d.mp4', user_id, greatest(0, start_s + 1.5 - 4)::INT) AS clip, round_even(greatest(0, start_s + 1.5 - 4), 1) AS clip_start, round_even(greatest(0, start_s + 1.5 - 4), 1) + 8 AS clip_end FROM features""")
+@query(f"""WITH {FEATURES} SELECT printf('P%02d__%04d.mp4', user_id, trunc(round_even(greatest(0, start_s + 1.5 - 4), 1))::INT) AS clip, round_even(greatest(0, start_s + 1.5 - 4), 1) AS clip_start, round_even(greatest(0, start_s + 1.5 - 4), 1) + 8 AS clip_end FROM features""")
 def clip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = X.clip_window(F.col("start_s"))
     rows = features(spark, sf_dir).withColumns(bounds)
-    return rows.select(X.clip_file(F.format_string("P%02d", "user_id"), F.bround("clip_start", 0)).alias("clip"), "clip_start", "clip_end")
+    return rows.select(X.clip_file(F.format_string("P%02d", "user_id"), F.col("clip_start")).alias("clip"), "clip_start", "clip_end")
 
 
 @query("""SELECT o_orderkey, CASE WHEN a IN (0, 1) THEN a WHEN a = 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 2 END END AS outcome, CASE WHEN a IN (0, 1) THEN a WHEN a IN (2, 3) THEN 2 END AS cumulative,
@@ -426,10 +453,10 @@ def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "fold", "y", "pred", r("confidence").alias("confidence"))
 
 
-@query("""SELECT c_name, min(p_name || '/' || p_brand || '.mp4') AS path FROM (SELECT DISTINCT left(p_name, 5 + (p_partkey % 6)::INT) AS c_name FROM part) s JOIN part ON starts_with(p_name, c_name) WHERE length(c_name) >= 4 GROUP BY c_name""")
+@query("""SELECT c_name, min(p_name || '/' || p_brand || '.mp4') AS path FROM (SELECT DISTINCT left(p_name, 1 + (p_partkey % 10)::INT) AS c_name FROM part) s JOIN part ON starts_with(p_name, c_name) GROUP BY c_name""")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    stems = part.select(F.expr("left(p_name, 5 + int(p_partkey % 6))").alias("c_name")).distinct()
+    stems = part.select(F.expr("left(p_name, 1 + int(p_partkey % 10))").alias("c_name")).distinct()
     paths = part.select(F.concat("p_name", F.lit("/"), "p_brand", F.lit(".mp4")).alias("path")).distinct()
     return joins.prefix_match(stems, paths, "c_name", "path")
 
@@ -457,8 +484,67 @@ def expert_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", F.inline(joins.thirds(start, start + 30 + F.col("c_nationkey"))))
 
 
-@query()
+_EVEN = "list_transform(range(least(3, n)), lambda j: CASE WHEN least(3, n) > 1 THEN round_even(j * (n - 1)::DOUBLE / (least(3, n) - 1), 0)::BIGINT ELSE 0 END)"
+
+
+@query(f"""WITH {FEATURES}, r AS (SELECT user_id, start_s, slope AS score FROM features), reviewed AS (SELECT r.* FROM r WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')),
+a AS (SELECT * FROM r WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, start_s) = 1),
+b AS (SELECT r.* FROM r JOIN a USING (user_id) WHERE r.score IS NOT NULL AND abs(r.start_s - a.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
+c AS (SELECT r.* FROM r JOIN a USING (user_id) JOIN b USING (user_id) WHERE r.score IS NOT NULL AND abs(r.start_s - a.start_s) >= 72 AND abs(r.start_s - b.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
+minority AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY score DESC, user_id, start_s LIMIT 40),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_s) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE user_id NOT IN (SELECT user_id FROM reviewed)),
+placed AS (SELECT user_id, list([start_s] ORDER BY start_s) AS s FROM o WHERE list_contains({_EVEN}, i) GROUP BY user_id),
+near AS (SELECT s.user_id, s.s, coalesce(list(m.start_s) FILTER (WHERE m.start_s IS NOT NULL), []) AS taken FROM placed s LEFT JOIN minority m ON m.user_id = s.user_id GROUP BY s.user_id, s.s),
+grown AS (SELECT user_id, len(taken) AS k, list_reduce(list_concat([taken], s), lambda acc, v: CASE WHEN len(list_filter(acc, lambda p: abs(p - v[1]) < 72)) > 0 THEN acc ELSE list_concat(acc, v) END) AS all_places FROM near),
+fresh AS (SELECT user_id, unnest(all_places[k + 1:]) AS start_s FROM grown),
+unlabeled AS (SELECT r.* FROM fresh JOIN r USING (user_id, start_s) ORDER BY user_id, start_s LIMIT 30),
+every AS (SELECT *, 'minority' AS reason FROM minority UNION ALL SELECT *, 'unlabeled' FROM unlabeled UNION ALL SELECT *, 'rereview' FROM reviewed)
+SELECT user_id, start_s, score, reason, start_s::INT AS seg_id FROM every""")
 def second_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows scored by slope; users divisible by 4 are reviewed already."""
+    """Windows scored by slope; users of one segment are reviewed already."""
     rows = features(spark, sf_dir).select("user_id", "start_s", F.col("slope").alias("score"))
-    return sampling.second_round(rows, rows.filter("user_id % 4 = 0"), "user_id", "start_s", "score", 40, 30, 3, 72.0)
+    known = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return sampling.second_round(rows, joins.members(rows, known, "user_id"), "user_id", "start_s", "score", 40, 30, 3, 72.0)
+
+
+@query("""WITH a AS (SELECT o_custkey || '__' || o_orderkey % 7 AS clip, substr(o_orderpriority, 1, 1)::INT AS a FROM orders WHERE o_orderstatus <> 'F'),
+b AS (SELECT o_custkey || '__' || o_orderkey % 7 AS clip, least(floor(o_totalprice / 100000) + 1, 5)::INT AS b FROM orders WHERE o_totalprice > 20000)
+SELECT a, b, count(*) AS n, count(DISTINCT clip) AS clips FROM a JOIN b USING (clip) GROUP BY a, b""")
+def double_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two raters of the clips of customers; one excludes some, the other leaves some without a rating."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 7).alias("seg_id"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+    first = rows.withColumns({"y": F.substring("o_orderpriority", 1, 1).cast("int"), "exclude": F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "0")})
+    second = rows.withColumn("y", F.when(F.col("o_totalprice") > 20000, F.least(F.floor(F.col("o_totalprice") / 100000) + 1, F.lit(5))))
+    return A.double_rated(first, second, "y").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("clip").alias("clips"))
+
+
+@query("""WITH e AS (SELECT printf('P%02d', c_custkey) AS participant, unnest(['activity', 'airway']) AS criterion, unnest([c_nationkey % 3, CASE WHEN c_acctbal > 0 THEN c_nationkey % 5 END])::INT AS expert FROM customer),
+l AS (SELECT printf('P%02d', o_custkey) AS participant, round_even(avg(substr(o_orderpriority, 1, 1)::INT - 1), 0)::INT AS activity, round_even(avg(CASE WHEN o_totalprice < 300000 THEN o_orderkey % 5 END), 0)::INT AS airway FROM orders GROUP BY o_custkey),
+m AS (SELECT participant, unnest(['activity', 'airway']) AS criterion, unnest([activity, airway]) AS labeller FROM l)
+SELECT participant, criterion, expert, labeller FROM e JOIN m USING (participant, criterion) WHERE expert IS NOT NULL AND labeller IS NOT NULL""")
+def expert_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expert's ratings of customers beside the mean of a labeller's clips, whose ids are written otherwise."""
+    expert = read(spark, sf_dir, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("participant"), (F.col("c_nationkey") % 3).alias("activity"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey") % 5).alias("airway"))
+    clips = read(spark, sf_dir, "orders").select(F.concat(F.lit("clip of p00"), "o_custkey").alias("participant"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("activity"),
+                                                 F.when(F.col("o_totalprice") < 300000, (F.col("o_orderkey") % 5).cast("string")).otherwise("U").alias("airway"))
+    return A.expert_pairs(expert, clips, ["activity", "airway"])
+
+
+@query(f"""WITH {RULES}, given AS (SELECT c_custkey AS user_id, unnest(['outcome', 'trunk']) AS criterion, unnest([c_nationkey % 3, CASE WHEN c_acctbal > 0 THEN c_nationkey % 3 END])::INT AS expert FROM customer),
+told AS (SELECT user_id, start_s, unnest(['outcome', 'trunk', 'outcome', 'trunk']) AS criterion, unnest(['rules', 'rules', 'bands', 'bands']) AS model,
+  unnest([float_pred, CASE alignment WHEN 'horizontal' THEN 2 WHEN 'angled' THEN 1 ELSE 0 END, CASE effort_level WHEN 'low' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END, CASE WHEN angle < 40 THEN 2 ELSE 0 END])::INT AS pred FROM ruled),
+j AS (SELECT told.*, expert, start_s < 240 AND start_s + 72 > 120 AS hit FROM told JOIN given USING (user_id, criterion) WHERE expert IS NOT NULL),
+c AS (SELECT * FROM (SELECT *, bool_or(hit) OVER (PARTITION BY user_id) AS any_hit FROM j) WHERE hit OR NOT any_hit),
+v AS (SELECT user_id, criterion, model, expert, pred FROM c GROUP BY user_id, criterion, model, expert, pred QUALIFY row_number() OVER (PARTITION BY user_id, criterion, model ORDER BY count(*) DESC, pred) = 1)
+SELECT criterion, model, count(*) FILTER (WHERE pred = expert) AS exact, count(*) AS n, round_even(avg(abs(pred - expert)), 6) AS mae FROM v GROUP BY criterion, model""")
+def expert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' votes over the rated stretch beside an expert's ratings, by criterion."""
+    rows = ruled(spark, sf_dir)
+    grade = lambda c, two, one: F.when(F.col(c) == two, 2).when(F.col(c) == one, 1).otherwise(0)
+    said = F.array(*[F.struct(F.lit(c).alias("criterion"), F.lit(m).alias("model"), p.cast("int").alias("pred")) for c, m, p in (
+        ("outcome", "rules", F.col("float_pred")), ("trunk", "rules", grade("alignment", "horizontal", "angled")), ("outcome", "bands", grade("effort_level", "low", "moderate")),
+        ("trunk", "bands", F.when(F.col("angle") < 40, 2).otherwise(0)))])
+    predictions = rows.select(F.col("user_id").alias("participant"), "start_s", (F.col("start_s") + 72).alias("end_s"), F.inline(said))
+    ratings = F.array(F.struct(F.lit("outcome").alias("criterion"), (F.col("c_nationkey") % 3).alias("rating")), F.struct(F.lit("trunk").alias("criterion"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey") % 3).alias("rating")))
+    expert = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("participant"), F.inline(ratings))
+    return learn.expert_summary(learn.expert_table(expert, predictions, 120.0, 240.0)).withColumn("mae", r("mae"))

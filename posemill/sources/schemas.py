@@ -17,6 +17,8 @@ WINDOWS = ", ".join([
     *[f"{c} double" for c in ("trunk_angle_med", "trunk_angle_std", "trunk_angle_slope", "hip_y_med", "hip_y_std", "hip_y_slope", "ankle_y_med", "knee_angle_med_deg", *_SPEEDS,
                               "torso_valid_pct", "valid_pct", "left_arm_valid_pct", "right_arm_valid_pct", "left_leg_valid_pct", "right_leg_valid_pct",
                               "mean_torso_conf", "mean_arm_conf", "mean_leg_conf", "nose_low_vis_frac")]])
+#: Columns of the earlier generation of windows that the current one has not.
+LEGACY = "hip_depth_med double, hip_depth_std double, ankle_depth double, hip_depth_slope double, head_sub_frac double, mean_pose_conf double"
 LABELS = ("source string, participant string, seg_id int, start_s double, end_s double, float_label int, passive_active int, posture int, stability int, "
           "label_confidence int, exclude int, annotator_id string, annotation_round int, notes string, reason string")
 EXPERT = ("participant string, floating_outcome int, activity int, trunk_position int, head_position int, airway string, overall_score int, window_start double, window_end double")

@@ -11,6 +11,8 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 _LOADED: dict[str, Tokenizer] = {}
+#: What steps() found of loaded tokenizers, by their id; these are kept for good.
+_STEPS: dict[int, dict | None] = {}
 #: Text encoded in one library call; its result holds strings and offsets for every token.
 CALL_CHARS = 400_000
 
@@ -22,7 +24,7 @@ def load(path: str) -> Tokenizer:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        _LOADED[path] = tokenizer
+        _LOADED[path], _STEPS[id(tokenizer)] = tokenizer, steps(tokenizer)
     return _LOADED[path]
 
 
@@ -65,6 +67,8 @@ LOCAL_STEPS = ("ByteLevel", "Digits", "Punctuation", "Split")
 
 def steps(tokenizer: Tokenizer) -> dict | None:
     """normalizer, pre_tokenizer and suffix (of word ends) of a tokenizer; None where its merging is other than plain BPE."""
+    if id(tokenizer) in _STEPS:
+        return _STEPS[id(tokenizer)]
     told = json.loads(tokenizer.to_str())
     model = told["model"]
     if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):

@@ -1,4 +1,5 @@
-"""Document fingerprints from closed syncmers over words (DataFrame functions only).
+"""Document fingerprints from closed syncmers over words, and over characters where there are few words (DataFrame
+functions only).
 
 A window of k words is an anchor if the smallest hash among its inner s-word runs is that of its first or its last run.
 Whether it is depends on the window's words alone, so an edit changes only the anchors whose windows it touches, and
@@ -14,16 +15,22 @@ from pyspark.sql import functions as F
 from posemill.llm.common import LAST_ID, let, written
 
 WORDS, INNER = 5, 2
-#: Bits of an anchor's code, and its hexadecimal digits in the fingerprint.
-CODE_BITS, CODE_DIGITS = 24, 6
+#: Hexadecimal digits of an anchor's code of 32 bits in the fingerprint.
+CODE_DIGITS = 8
+#: Texts of at most so many code points, and words of more, are taken apart into characters.
+SHORT_TEXT, LONG_WORD = 100, 40
 _UNSPACED = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF]"
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def words(text: Column) -> Column:
-    """Runs without blanks; a letter of a script that is written without spaces is a word of its own."""
-    parts = F.when(text.rlike(_UNSPACED), F.split(text, f"{_BLANKS}|(?<={_UNSPACED})|(?={_UNSPACED})")).otherwise(F.split(text, _BLANKS))
-    return F.filter(parts, lambda w: w != "")
+    """Runs without blanks. A letter of a script that is written without spaces is a word of its own, and so is each
+    character of a run of more than LONG_WORD and of a text of at most SHORT_TEXT."""
+    parts = F.when(F.char_length(text) <= SHORT_TEXT, F.split(F.regexp_replace(text, _BLANKS, ""), ""))
+    parts = parts.when(text.rlike(_UNSPACED), F.split(text, f"{_BLANKS}|(?<={_UNSPACED})|(?={_UNSPACED})")).otherwise(F.split(text, _BLANKS))
+    whole = F.filter(parts, lambda w: w != "")
+    apart = lambda all_words: F.flatten(F.transform(all_words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    return let(whole, lambda found: F.when(F.exists(found, lambda w: F.octet_length(w) > LONG_WORD), apart(found)).otherwise(found))
 
 
 def anchors(text: Column, k: int = WORDS, s: int = INNER) -> Column:
@@ -48,13 +55,13 @@ def anchors(text: Column, k: int = WORDS, s: int = INNER) -> Column:
 
 
 def code(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CODE_BITS).cast("int")
+    return F.shiftright(h, 32).cast("int")
 
 
 def shown(codes: Column) -> Column:
     """The fingerprint: CODE_DIGITS lower-case hexadecimal digits for each anchor."""
-    wide = F.lit(1 << CODE_BITS)
-    return F.lower(F.array_join(F.transform(codes, lambda c: F.substring(F.hex(c + wide), 2, CODE_DIGITS)), ""))
+    wide = F.lit(1 << 32)
+    return F.lower(F.array_join(F.transform(codes, lambda c: F.substring(F.hex(F.pmod(c.cast("long"), wide) + wide), 2, CODE_DIGITS)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:

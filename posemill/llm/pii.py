@@ -38,19 +38,19 @@ _CREDENTIAL = re.compile(r"[ \t]{0,2}[:=][ \t]{0,2}([\"']?)([A-Za-z0-9_./+-]{8,}
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 _AUTOMATON: list[ahocorasick.Automaton] = []
+_FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
     if not _AUTOMATON:
         made = ahocorasick.Automaton()
         for word in ("@", "+", "://", "www.", "AKIA"):
-            made.add_word(word, (word, len(word)))
+            made.add_word(word.lower(), (word, len(word)))
         for digit in "0123456789":
             made.add_word(digit, ("0", 1))
         for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
             for cue in cues:
-                for form in {cue, cue.upper(), cue.capitalize()}:
-                    made.add_word(form, (kind, len(form)))
+                made.add_word(cue, (kind, len(cue)))
         made.make_automaton()
         _AUTOMATON.append(made)
     return _AUTOMATON[0]
@@ -92,7 +92,9 @@ def find(text: str | None) -> list[Span]:
         found[kind].append((kind, start, end))
         free[kind] = end
 
-    for last, (anchor, size) in _automaton().iter(text):
+    # Anchors are found in any case; in lower case each code point must keep its place.
+    folded = text.lower()
+    for last, (anchor, size) in _automaton().iter(folded if len(folded) == len(text) else text.translate(_FOLD)):
         at = last - size + 1
         if anchor == "0":
             if at < run_end:

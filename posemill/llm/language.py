@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROFILE_SIZE = 400
-#: N-grams are counted in this many hashed places; far more than a profile holds.
+#: N-grams are counted in this many hashed places. A profile holds 400 of them; texts of scripts with thousands of letters
+#: have more n-grams than places, of which the frequent ones may then share a place.
 PLACES = 1 << 16
 UNDECIDED = "und"
 _LETTER: list[np.ndarray] = []
@@ -85,17 +86,19 @@ class Profiles:
 
 
 def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 3000) -> Profiles:
-    """Profiles from labelled rows. At most about rows_per_language rows of each language are used: those whose text
-    hashes below a bound set from the language's row count. Rows with a null text or lang are not used, nor are texts
-    without letters. The number of languages is taken to be small (they are the values of a label). Each task sends one
-    row for each language and place, so a language with most rows weighs no more on the merge than another."""
+    """Profiles from labelled rows. About rows_per_language distinct texts of each language are used, one at least: those
+    whose hashes lie below a bound set from the language's number of distinct texts, so copies weigh nothing. Rows with
+    a null text or lang are not used, nor are texts without letters. The number of languages is taken to be small (they
+    are the values of a label). Each task sends one row for each language and place, so a language with most rows weighs
+    no more on the merge than another."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("text", F.lit("profile")), 1))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n"), F.min("place").alias("least")).collect()
     if not sizes:
         return Profiles((), np.zeros((0, PLACES), np.int32))
-    full = 1 << 20
-    bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(full, -(-full * rows_per_language // n)))])
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit("profile")), F.lit(full)) < F.element_at(bound, F.col("lang")))
+    top = (1 << 63) - 1
+    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(r["least"], min(top, top // max(1, r["n"]) * rows_per_language)))])
+    sample = rows.filter(F.col("place") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "place"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -1,5 +1,9 @@
 """From raw documents to packed training sequences: five stages, each a call of one operator on all that the stage
-before it kept. Between stages the documents are written as Parquet and read again."""
+before it kept. Between stages the documents are written as Parquet and read again.
+
+All stages but the last return the columns of documents and no others: a table may have more columns, of any names, and
+they end here. Rows with a null doc_id pass like others. An empty table gives an empty table. Very long texts are values
+of a row as any text."""
 
 from __future__ import annotations
 
@@ -21,7 +25,9 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those far from all languages; the predicted language replaces a null one."""
+    """Drops documents without letters (null and empty texts too) and those far from all languages; the predicted language
+    replaces a null one. Repeated rows are kept or dropped alike; of equally near languages the first by name counts.
+    Without labelled rows to learn from, nothing is near a language and all is dropped."""
     known = docs.select("doc_id", "text", "lang").filter(~language.held_out(F.col("doc_id")))
     said = language.identify(docs.select(*COLUMNS), language.fit_profiles(known))
     kept = said.filter((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
@@ -29,12 +35,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes from every document the lines that a smaller doc_id holds."""
+    """Takes from every document the lines that a smaller doc_id holds. A null text becomes an empty one. Rows that repeat a
+    doc_id are one document and keep their lines; a null doc_id comes after all others."""
     return _with_text(line_dedup.dedup_lines(docs.select(*COLUMNS)), "kept_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near duplicates."""
+    """Keeps the smallest doc_id of each component of near duplicates, with all its rows. Documents without words, and rows
+    without a doc_id, are near nothing and stay."""
     linked = jaccard.link_components(docs)
     gone = written(linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
     small = gone.count() <= jaccard.BROADCAST_ROWS
@@ -42,12 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in angle brackets where personal data or a secret stood."""
+    """Puts the kind in angle brackets where personal data or a secret stood. Null and empty texts stay as they are."""
     return _with_text(pii.find_spans(docs.select(*COLUMNS)), "redacted_text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences: the rows of op8, one for each piece. A null or empty text is its
+    separator; repeated rows give repeated pieces."""
     pieces = packing.tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY)
     return packing.pack(pieces, capacity=CAPACITY)
 

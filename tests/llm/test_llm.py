@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -14,6 +15,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -30,7 +32,11 @@ ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "one"), (5, "same text of a few wo
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = spark.createDataFrame([(i, t, None, "s", None) for i, t in ODD], DOCS)
-    return rows.withColumn("shard", F.lit("x")).withColumn("spans", F.lit(1)).withColumn("score", F.lit("y"))
+    # Names that operators add or use inside.
+    for name in ("shard", "spans", "score", "ids", "decoded", "n_tokens", "kept", "n_words", "failed_rule", "sequence_id", "offset", "n_lines", "n_dropped", "kept_text", "lang_pred", "redacted_text", "codes",
+                 "component_id", "n_shingles", "line_owner", "row", "number", "arc", "bucket", "part", "place", "chunk", "block", "tokens", "h1", "owner", "hash", "next_start"):
+        rows = rows.withColumn(name, F.lit("x"))
+    return rows
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +91,13 @@ def test_chat_long_and_empty(spark):
     assert chat.format_trees(chat.chains(turns.filter("turn < 0"))).count() == 0
 
 
+def test_chat_very_long_text(spark):
+    text = "<|im_end|>x " * 200_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (out,) = chat.format_trees(chat.chains(turns.withColumn("formatted", F.lit("x")))).withColumn("read", chat.read_back(F.col("formatted"))).collect()
+    assert [x["text"] for x in out["read"]] == [text, text] and out["loss_spans"][0]["end"] - out["loss_spans"][0]["start"] == len(text) + 200_000
+
+
 # --- 2 fingerprints
 
 
@@ -106,7 +119,56 @@ def test_syncmers_by_hand(spark):
     places = [i for i in range(len(words) - 4) if min(runs[i:i + 4]) in (runs[i], runs[i + 3])]
     got = spark.createDataFrame([(text,)], "t string").select(fingerprint.anchors(F.col("t")).alias("a")).first()["a"]
     assert [x["pos"] for x in got] == places
-    assert [x["code"] for x in got] == [(h(*[F.lit(w) for w in words[i:i + 5]]) & (2**64 - 1)) >> 40 for i in places]
+    assert [x["code"] for x in got] == [h(*[F.lit(w) for w in words[i:i + 5]]) >> 32 for i in places]
+
+
+def xx(*values) -> int:
+    """Spark's xxhash64 of strings or longs, each seeded with the hash before it."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed % 2**64)
+        seed -= (seed >> 63) << 64
+    return seed
+
+
+def plain_fingerprint(text: str) -> list[int]:
+    if len(text) <= 100:
+        words = list(re.sub(r"[\x20\x09-\x0D]+", "", text))
+    else:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        words = [x for w in words for x in (w if len(w) > 40 else [w])]
+    h = [xx(w) for w in words]
+    runs = [xx(*h[i:i + 2]) for i in range(len(h) - 1)]
+    codes = [xx(*h[i:i + 5]) >> 32 for i in range(len(h) - 4) if min(runs[i], runs[i + 3]) <= min(runs[i + 1], runs[i + 2])]
+    return codes or ([xx(*h) >> 32] if h else [])
+
+
+def test_fingerprint_query_equals_plain_python(spark):
+    docs = documents().sort_values("doc_id", ascending=False, ignore_index=True)
+    got = QUERIES["op2_syncmer_fingerprint"](spark, SF).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    like = lambda a, b: 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))) if a or b else 1.0
+    shown = lambda codes: "".join(f"{c % 2**32:08x}" for c in codes)
+    codes = [plain_fingerprint(t) for t in docs.text]
+    for i, row in docs.iterrows():
+        follows, half, mine = (i + 1) % len(docs), len(row.text) // 2, got.loc[row.doc_id]
+        edited = row.text[:len(row.text) - half] + docs.text[follows][:half]
+        after = plain_fingerprint(edited)
+        assert (mine.n_chars, mine.edited_sha256, mine.fingerprint, mine.edited_fingerprint) == (len(row.text), sha(edited), shown(codes[i]), shown(after))
+        assert mine.near_edited == pytest.approx(like(codes[i], after)) and mine.near_next == pytest.approx(like(codes[i], codes[follows]))
+    assert all(len(docs.set_index("doc_id").text[i]) < 40 for i in got.index[got.near_edited == 0])  # too short to share an anchor
+
+
+def test_few_words_and_long_words(spark):
+    """A short text and a text of one word keep half their anchors when half of them changes."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz𝒳é"
+    for n in (30, 90, 5000):
+        text, other = ("".join(rng.choice(letters) for _ in range(n)) for _ in range(2))
+        rows = spark.createDataFrame([(text, text[:n // 2] + other[:n - n // 2])], "a string, b string")
+        a, b = (fingerprint.anchors(F.col(c)).getField("code") for c in "ab")
+        row = rows.select(a.alias("a"), b.alias("b"), fingerprint.likeness(a, b).alias("near")).first()
+        assert row["a"] == plain_fingerprint(text) and row["b"] == plain_fingerprint(text[:n // 2] + other[:n - n // 2]) and row["near"] > 0.2
 
 
 def test_fingerprint_query(spark):
@@ -174,9 +236,30 @@ def test_shards(spark, odd, empty):
     assert sharding.assign_shards(odd, "doc_id", 3).count() == len(ODD) and sharding.assign_shards(empty, "doc_id", 3).count() == 0
 
 
+def test_sharding_query(spark):
+    docs = documents().set_index("doc_id")
+    got = QUERIES["op3_sharding"](spark, SF).toPandas()
+    assert sorted(got.doc_id) == sorted(docs.index) and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    for row in got.itertuples():
+        data = (docs.text[row.doc_id] or "").encode()
+        assert (row.size, row.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    sizes = got.groupby("shard").size()
+    assert sorted(sizes.index) == list(range(8)) and sizes.max() - sizes.min() <= 1
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in got.groupby("shard"))
+
+
 # --- 4 BPE
 
 
+def test_bpe_query(spark):
+    docs, tokenizer = documents().set_index("doc_id"), tokens.load(BYTE)
+    got = QUERIES["op4_bpe_tree"](spark, SF).toPandas()
+    assert len(got) == len(docs) and docs.text.str.len().max() > bpe.LEAF_CHARS
+    for row in got.itertuples():
+        ids = tokenizer.encode(docs.text[row.doc_id], add_special_tokens=False).ids
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+
+
 @pytest.mark.parametrize("leaf", [7, 32, 200])
 def test_tree_equals_the_library(leaf):
     rng = random.Random(leaf)
@@ -311,6 +394,22 @@ def test_pii_base_equals_the_patterns():
         assert [s for s in pii.find(text) if s[0] in BASE] == brute_pii(text)
 
 
+def test_pii_query(spark):
+    docs = documents().set_index("doc_id")
+    got = QUERIES["op6_pii"](spark, SF).toPandas()
+    assert len(got) == len(docs)
+    for row in got.itertuples():
+        spans = brute_pii(docs.text[row.doc_id])
+        assert [getattr(row, f"n_{k}") for k in BASE] == [sum(s[0] == k for s in spans) for k in BASE]
+        shown = [":".join(map(str, s)) for s in spans]
+        assert row.base_sha256 == sha(",".join(shown)) and [s for s in row.spans.split(",") if s.split(":")[0] in BASE] == shown
+
+
+def test_pii_cues_in_any_case():
+    for cue in ("PassWord", "pAsSwOrD", "password"):
+        assert [s[0] for s in pii.find(f"İ {cue}: abcdef123456")] == ["secret"] == [s[0] for s in pii.find(f"{cue}: abcdef123456")]
+
+
 def test_pii_added_spans_and_redaction():
     text = 'see https://u@ex.org:80/a?b=1). www.foo.com, IBAN DE89 3704 0044 0532 0130 00 account no: 12345678 token = "abcdef123456" accountant 12345678'
     assert [(k, text[a:b]) for k, a, b in pii.find(text) if k not in BASE] == [
@@ -377,6 +476,25 @@ def test_packing_of_tokens(spark, odd, empty):
     assert packing.pack(packing.tokenized_pieces(empty, WORD, 4096), 4096).count() == 0
 
 
+def test_packing_query(spark):
+    docs, tokenizer = documents().set_index("doc_id"), tokens.load(WORD)
+    got = QUERIES["op8_best_fit_packing"](spark, SF).toPandas()
+    assert set(got.doc_id) == set(docs.index)
+    for doc_id, own in got.sort_values("piece").groupby("doc_id"):
+        ids = np.array(tokenizer.encode(docs.text[doc_id], add_special_tokens=False).ids + [1], "<u4")
+        cut = [ids[i:i + 4096] for i in range(0, len(ids), 4096)]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own.itertuples()] == [(k, 4096 * k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(cut)]
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 4096
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 1
+
+
+def test_chunks_are_dealt_to_as_many_tasks(spark):
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), (F.col("id") % 90 + 1).alias("length"))
+    out = packing.pack(rows, 100, chunk_pieces=100, refill=0.0).withColumn("task", F.col("sequence_id").bitwiseAND(F.lit(0)) + F.spark_partition_id())
+    assert out.count() == 4000 and out.select(F.shiftright("sequence_id", 24)).distinct().count() == 40
+
+
 def test_local_search_empties_bins_and_raises_fill():
     rng = random.Random(5)
     saved = 0
@@ -399,7 +517,6 @@ def test_language_held_out_accuracy(spark, odd, empty):
     out = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"))
     tested = out[out.held_out]
     assert len(tested) > 200 and (tested.lang == tested.lang_pred).mean() > 0.99 and out.score.between(0, 1).all()
-    import zlib
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
     profiles = language.fit_profiles(spark.read.parquet(f"{SF}/documents.parquet"))
     said = {r["text"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, profiles).collect()}
@@ -409,6 +526,43 @@ def test_language_held_out_accuracy(spark, odd, empty):
     assert language.identify(odd, language.fit_profiles(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_grams(text: str) -> Counter:
+    """1- to 3-grams of letters with words padded by one blank."""
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    found = Counter(line[i:i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1))
+    return Counter({g: k for g, k in found.items() if g != " " and g[1:2] != " " or len(g) == 2 and g != "  "})
+
+
+def test_ranks_and_distances_equal_a_plain_count():
+    texts = [t for t in documents().text if t and any(c.isalpha() for c in t)][:60]
+    learned = {"x": texts[:30], "y": texts[30:]}
+    profile = {}
+    for name, own in learned.items():
+        total = sum((plain_grams(t) for t in own), Counter())
+        profile[name] = {g: i for i, (g, _) in enumerate(sorted(total.items(), key=lambda p: (-p[1], p[0]))[:language.PROFILE_SIZE])}
+        places = np.sort(sum(language.gram_counts(t) for t in own))[::-1]
+        assert places.sum() == sum(total.values()) and np.allclose(sorted(total.values(), reverse=True)[:300], places[:300], rtol=0.06)  # a few share a place
+    ranks = np.full((2, language.PLACES), language.PROFILE_SIZE, np.int32)
+    for i, own in enumerate(learned.values()):
+        top = language.ranked(sum(language.gram_counts(t) for t in own))
+        ranks[i, top] = np.arange(len(top))
+    model = language.Profiles(("x", "y"), ranks)
+    for t in texts:
+        top = [g for g, _ in sorted(plain_grams(t).items(), key=lambda p: (-p[1], p[0]))[:language.PROFILE_SIZE]]
+        away = {n: sum(abs(own[g] - i) if g in own else language.PROFILE_SIZE for i, g in enumerate(top)) / (language.PROFILE_SIZE * len(top)) for n, own in profile.items()}
+        said, score = model.predict(language.gram_counts(t))
+        assert 1 - score == pytest.approx(min(away.values()), abs=0.03)  # equal counts are ranked by place, not by letters
+        assert said == min(away, key=away.get) or abs(away["x"] - away["y"]) < 0.03
+
+
+def test_hot_text_and_rare_language_keep_their_profiles(spark):
+    rows = [("the same english words again and again", "en")] * 300 + [(f"le mot numéro {chr(97 + i % 26) * (1 + i // 26)} est là", "fr") for i in range(200)] + [("ein einziger deutscher Satz", "de")]
+    profiles = language.fit_profiles(spark.createDataFrame(rows, "text string, lang string"), rows_per_language=5)
+    assert profiles.languages == ("de", "en", "fr")
+    said = language.identify(spark.createDataFrame([("the words again",), ("le mot est là",), ("ein Satz",)], "text string"), profiles).collect()
+    assert [r["lang_pred"] for r in said] == ["en", "fr", "de"]
+
+
 def test_gram_counts_by_hand():
     got = language.gram_counts("Ab, c")
     one, two = language.gram_counts("ab"), language.gram_counts("C")

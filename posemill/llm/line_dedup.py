@@ -52,7 +52,7 @@ def sorted_scans(spark: SparkSession) -> Iterator[None]:
 
 class LineRuns:
     """The state of the levelled runs: levels[i] is the list of runs of level i, each the path of a table (h1 long, h2
-    int, owner long) in `buckets` buckets. The last bucket count that all runs share is that of the first batch."""
+    int, owner long) in `buckets` buckets, the session's shuffle partitions if not given."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
@@ -72,12 +72,15 @@ class LineRuns:
             keys = keys.join(self.read(run).select(*HASH).hint("merge"), HASH, "left_anti")
         return keys
 
-    def write(self, keys: DataFrame) -> str:
-        """keys (h1, h2, owner) as a run, not yet one of the state."""
+    def write(self, keys: DataFrame, dealt: bool = False) -> str:
+        """keys (h1, h2, owner) as a run, not yet one of the state. dealt: they come from an aggregate or a join by hash,
+        and so already lie in as many partitions as the session's shuffles make."""
         path, name = new_path(self.spark, "line-run"), f"line_run_{uuid.uuid4().hex}"
+        keys = keys.select(*HASH, "owner")
         # A bucket comes from one task, so it is one file.
-        dealt = keys.select(*HASH, "owner").repartition(self.buckets, *HASH)
-        dealt.write.format("parquet").option("path", path).bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
+        if not dealt or shuffle_partitions(self.spark) != self.buckets:
+            keys = keys.repartition(self.buckets, *HASH)
+        keys.write.format("parquet").option("path", path).bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         self.names[path] = name
         return path
 
@@ -91,7 +94,7 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             merged_away, self.levels[level] = self.levels[level], []
-            run = self.write(self._merged(merged_away))
+            run = self.write(self._merged(merged_away), dealt=True)
             for old in merged_away:
                 self.drop(old)
             level += 1
@@ -145,7 +148,7 @@ def batch_drops(docs: DataFrame, state: LineRuns, last: bool = False) -> DataFra
     lines = keyed_lines(docs)
     with sorted_scans(state.spark):
         # Pre-aggregated before its shuffle, so a line found in a third of all documents is one row from each task.
-        run = state.write(state.unseen(lines.groupBy(*HASH).agg(F.min("owner").alias("owner"))))
+        run = state.write(state.unseen(lines.groupBy(*HASH).agg(F.min("owner").alias("owner"))), dealt=True)
         # The join key holds the owner, so a hot line's rows are spread over all tasks.
         gone = lines.join(state.read(run), [*HASH, "owner"], "left_anti")
         drops = written(gone.groupBy("owner", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "line-drops")

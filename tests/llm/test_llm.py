@@ -596,6 +596,18 @@ def test_runs_are_compacted_saved_and_opened(spark, tmp_path):
         assert own.unseen(hashes(spark, 45, 55)).count() == 5
 
 
+def test_a_bucket_is_one_file(spark, tmp_path):
+    """In batches and merges, with every number of partitions that a stage may have."""
+    docs = spark.range(0, 3000, 1, 7).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line with the number "), F.col("id") % 1700).alias("text"))
+    state = line_dedup.LineRuns(spark, 2)
+    for low in range(0, 3000, 1000):
+        line_dedup.batch_drops(docs.filter(F.col("doc_id").between(low, low + 999)), state)
+    assert [len(level) for level in state.levels] == [1, 1] and sum(state.read(r).count() for r in state.runs()) == 1700
+    for run in state.runs():
+        files = [re.search(r"_(\d+)\.c000", f)[1] for f in state.read(run).inputFiles()]
+        assert len(files) == len(set(files)) <= state.buckets
+
+
 def test_runs_are_read_without_exchange_or_sort(spark):
     """Only the batch's own keys are exchanged and sorted, in anti-joins and in merges."""
     state = line_dedup.LineRuns(spark, 3)

@@ -4,7 +4,6 @@ counts by (true, predicted), so the rows are read once and only counts are shuff
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,19 +38,18 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def weighted_kappa(counts: DataFrame, power: int = 2, labels: list | None = None) -> DataFrame:
     """Cohen's kappa with weight |i - j| ** power over places in the sorted label list (or the given one); NULL if no
-    disagreement is expected. The marginals are as small as the label list."""
-    if labels is not None:
-        places = counts.sparkSession.createDataFrame([(k, i) for i, k in enumerate(labels)], ["label", "place"])
-    else:
-        seen = counts.select(F.explode(F.array("t", "p")).alias("label")).distinct()
-        places = seen.withColumn("place", F.row_number().over(W.orderBy("label")) - 1)  # one row a label
-    a, b = places.toDF("t", "i"), places.toDF("p", "j")
-    grid = counts.join(a, "t").join(b, "p")
-    rows, columns = grid.groupBy("i").agg(F.sum("n").alias("r")), grid.groupBy("j").agg(F.sum("n").alias("c"))
-    weight = F.pow(F.abs(F.col("i") - F.col("j")).cast("double"), F.lit(float(power)))
-    observed = grid.agg(F.sum(weight * F.col("n")).alias("o"), F.sum("n").alias("total"))
-    expected = rows.join(columns).agg(F.sum(weight * F.col("r") * F.col("c")).alias("e"))  # labels squared
-    return observed.join(expected).select(F.when(F.col("e") > 0, 1 - F.col("o") * F.col("total") / F.col("e")).alias("kappa"))
+    disagreement is expected. The counts, as many as pairs of labels at most, are worked on in one row."""
+    row = counts.agg(F.collect_list(F.struct("t", "p", "n")).alias("c"))
+    seen = F.array(*map(F.lit, labels)) if labels is not None else F.array_sort(F.array_distinct(F.concat("c.t", "c.p")))
+    row = row.withColumn("l", seen).withColumn("c", F.filter("c", lambda x: F.array_contains(F.col("l"), x["t"]) & F.array_contains(F.col("l"), x["p"])))
+    add = lambda values, of: F.aggregate(values, F.lit(0.0), lambda s, x: s + of(x))
+    weight = lambda i, j: F.pow(F.abs(i - j).cast("double"), F.lit(float(power)))
+    place = lambda x: F.array_position(F.col("l"), x)
+    margin = lambda side: F.transform("l", lambda k: add(F.filter("c", lambda x: x[side] == k), lambda x: x["n"].cast("double")))
+    row = row.select("c", "l", margin("t").alias("r"), margin("p").alias("k"))
+    observed, total = add(F.col("c"), lambda x: weight(place(x["t"]), place(x["p"])) * x["n"]), add(F.col("c"), lambda x: x["n"].cast("double"))
+    expected = F.aggregate(F.transform("r", lambda n, i: add(F.transform("k", lambda m, j: weight(i, j) * n * m), lambda x: x)), F.lit(0.0), lambda s, x: s + x)
+    return row.select(observed.alias("o"), total.alias("n"), expected.alias("e")).select(F.when(F.col("e") > 0, 1 - F.col("o") * F.col("n") / F.col("e")).alias("kappa"))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -29,22 +29,19 @@ def stratified_split(df: DataFrame, unit: str, stratum: str, order: Column, trai
 def spaced_picks(df: DataFrame, group: str, at: str, score: str, most: int | None, per_group: int, spacing: float) -> DataFrame:
     """The greedy choice by descending score: at most per_group rows of a group, none closer than spacing to a chosen
     one, at most `most` rows in all. A group's choice depends on its rows alone, and the overall limit only cuts the
-    order by score, so groups are chosen apart. Ties: the smaller group, then the smaller place."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, at], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        places: list[float] = []
-        for i, (place, value) in enumerate(zip(rows[at].to_numpy(), rows[score].to_numpy())):
-            if len(kept) == per_group:
-                break
-            if value == value and all(abs(place - p) >= spacing for p in places):
-                kept.append(i)
-                places.append(place)
-        return rows.iloc[kept]
-
-    picked = df.groupBy(group).applyInPandas(choose, schema)
+    order by score, so groups are chosen apart, each in the row of its array (a group is one participant's windows). Ties:
+    the smaller group, then the smaller place."""
+    value = F.col(score)
+    known = value.isNotNull() & ~F.isnan(value.cast("double"))
+    row = F.struct((-value).alias("s"), F.col(at).alias("a"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    rows = df.filter(known).groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    none = F.filter("_rows", lambda r: F.lit(False))
+
+    def add(kept: Column, r: Column) -> Column:
+        close = F.exists(kept, lambda k: F.abs(k["a"] - r["a"]) < spacing)
+        return F.when((F.size(kept) >= per_group) | close, kept).otherwise(F.concat(kept, F.array(r)))
+
+    picked = rows.select(F.explode(F.aggregate("_rows", none, add)).alias("_r")).select("_r.row.*")
     if most is None:
         return picked
     return picked.orderBy(F.desc(score), group, at).limit(most)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +64,21 @@ def cadence(df: DataFrame, keys: list[str], time: str, values: list[str], fps: f
     by seconds times fps."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{v}_freq` double" for v in values])
+    names = [*keys, *[f"{v}_freq" for v in values]]
+    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
+    # A window is one row of arrays, so that Python gets many windows at once.
+    frames = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])))
+    rows = df.groupBy(*keys).agg(frames.alias("_f"), F.first(rate.cast("double")).alias("_fps")).select(*keys, "_fps", *[F.col(f"_f.v{i}").alias(f"_v{i}") for i in range(len(values))])
 
-    def one(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(time)
-        rate = float(frames["_fps"].iloc[0])
-        return pd.DataFrame([[*key, *[cadence_per_minute(frames[v].to_numpy(float), rate, seconds) for v in values]]], columns=[*keys, *[f"{v}_freq" for v in values]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates, told = batch.column("_fps").to_pylist(), []
+            for i in range(len(values)):
+                own = batch.column(f"_v{i}")
+                told.append(pa.array([cadence_per_minute(x.values.to_numpy(zero_copy_only=False), r, seconds) if r is not None else None for x, r in zip(own, rates)], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *told], names)
 
-    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
-    return df.select(*keys, time, *values, rate.cast("double").alias("_fps")).groupBy(*keys).applyInPandas(one, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def dft_power(df: DataFrame, keys: list[str], position: str, value: str, size: int, bins: int) -> DataFrame:

@@ -3,7 +3,7 @@ counts by (true, predicted), so the rows are read once and only counts are shuff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,13 @@ def expert_pairs(expert: DataFrame, labeller: DataFrame, criteria: list[str], pa
     return said.join(means, [participant, "criterion"])
 
 
+def calibration(df: DataFrame, confidence: str, correct: Column, bins: int = 10) -> DataFrame:
+    """bin (1 to bins, of equal width from 0 to 1), n, mean confidence and accuracy."""
+    place = F.least(F.floor(F.col(confidence) * bins) + 1, F.lit(bins)).cast("int")
+    rows = df.filter(F.col(confidence).isNotNull() & correct.isNotNull())
+    return rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(correct.cast("double")).alias("accuracy"))
+
+
 def mean_rating(df: DataFrame, keys: list[str], criteria: list[str]) -> DataFrame:
     """The mean rating of each criterion, rounded half to even; what is no number counts as missing."""
     return df.groupBy(*keys).agg(*[F.bround(F.avg(F.col(c).try_cast("double")), 0).cast("int").alias(c) for c in criteria])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from posemill.functions import geometry as G
 from posemill.functions import scalars as X
 from posemill.operators import features as feature_ops
-from posemill.operators import cluster, feedback, joins, signal, stats, windows
+from posemill.operators import cluster, feedback, joins, report, signal, stats, windows
 from posemill.plans.base import FEATURES, FRAMES, HOPPED, features, frames, hopped, mean_of, query, r, read
 
 
@@ -266,3 +266,32 @@ p AS (SELECT *, list_transform(range(least(5, n)), lambda j: CASE WHEN least(5,
 SELECT user_id, round_even(t, 6) AS t, value FROM p WHERE list_contains(places, i)""")
 def even_spread_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.even_spread(frames(spark, sf_dir), ["user_id"], ["t"], 5).select("user_id", r("t").alias("t"), "value")
+
+
+@query(f"""WITH {RULES}, w AS (
+  SELECT user_id, start_s, valid_pct, float_pred, CASE WHEN n > 3 THEN least(angle / 60, 1) END AS conf, angle, angle_std AS sd, slope, arm AS al, arm * 2 AS ar, leg AS ll, leg / 3 AS lr, valid_pct >= 75 AS ok FROM ruled
+), i AS (SELECT *, row_number() OVER (PARTITION BY user_id, ok ORDER BY start_s) - 1 AS i, count(*) OVER (PARTITION BY user_id, ok) AS c FROM w
+), m AS (SELECT *, ok AND (c < 10 OR (i >= floor(c * 0.1) AND i < floor(c * 0.9))) AS mid FROM i
+), v AS (SELECT user_id, float_pred AS verdict FROM m WHERE mid GROUP BY user_id, float_pred QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, float_pred) = 1
+), a AS (
+  SELECT user_id, count(*) AS total, count(*) FILTER (WHERE ok) AS n, round_even(avg(valid_pct) FILTER (WHERE ok), 1) AS pose, avg(conf) FILTER (WHERE mid) AS conf,
+         avg(CASE WHEN float_pred = 2 THEN 1.0 ELSE 0 END) FILTER (WHERE mid) AS f2, avg(CASE WHEN float_pred = 1 THEN 1.0 ELSE 0 END) FILTER (WHERE mid) AS f1, avg(CASE WHEN float_pred = 0 THEN 1.0 ELSE 0 END) FILTER (WHERE mid) AS f0,
+         {', '.join(f'median({c}) FILTER (WHERE ok) AS {c}' for c in ('angle', 'sd', 'slope', 'al', 'ar', 'll', 'lr'))} FROM m GROUP BY user_id
+), b AS (SELECT *, n = 0 OR n / total < 0.4 AS poor, list_avg(list_filter([al, ar], lambda x: x IS NOT NULL)) AS arm, list_avg(list_filter([ll, lr], lambda x: x IS NOT NULL)) AS leg,
+         CASE verdict WHEN 0 THEN 'NOT FLOATING' WHEN 1 THEN 'ALMOST FLOATING' ELSE 'FLOATING' END AS name, CASE verdict WHEN 0 THEN 'Not Floating' WHEN 1 THEN 'Almost Floating' ELSE 'Floating' END AS title FROM a LEFT JOIN v USING (user_id))
+SELECT user_id::VARCHAR AS video, CASE WHEN poor THEN 'UNABLE TO ASSESS' WHEN conf < 0.55 THEN 'UNCERTAIN (' || title || ')' ELSE name END AS classification,
+  CASE WHEN poor THEN 'pose visibility too low (' || round_even(100 * n / total, 0)::INT || '% of windows reliable)' END AS reason, CASE WHEN NOT poor THEN round_even(100 * conf, 0) END AS confidence_pct,
+  CASE WHEN NOT poor THEN round_even(f2, 3) END AS fraction_floating, CASE WHEN NOT poor THEN round_even(f1, 3) END AS fraction_almost, CASE WHEN NOT poor THEN round_even(f0, 3) END AS fraction_not, pose AS pose_quality_pct,
+  CASE WHEN NOT poor THEN CASE WHEN angle IS NULL THEN 'unknown' WHEN angle < 20 THEN 'horizontal' WHEN angle < 45 THEN 'inclined' ELSE 'near-vertical' END END AS posture,
+  CASE WHEN NOT poor THEN CASE WHEN sd IS NULL THEN 'unknown' WHEN sd < 8 THEN 'high' WHEN sd < 14 THEN 'moderate' ELSE 'low' END END AS stability,
+  CASE WHEN NOT poor THEN CASE WHEN slope < -0.05 THEN 'rising' WHEN slope > 0.05 THEN 'sinking' ELSE 'stable' END END AS vertical_movement,
+  CASE WHEN NOT poor THEN CASE WHEN arm IS NULL THEN 'unknown' WHEN arm < 2.5 THEN 'low' WHEN arm < 5 THEN 'moderate' ELSE 'high' END END AS arm_activity,
+  CASE WHEN NOT poor THEN CASE WHEN leg IS NULL THEN 'unknown' WHEN leg < 2.5 THEN 'low' WHEN leg < 5 THEN 'moderate' ELSE 'high' END END AS leg_activity,
+  CASE WHEN NOT poor THEN CASE WHEN ll + lr > 0 THEN CASE WHEN abs(ll - lr) / (ll + lr) < 0.3 THEN 'balanced' ELSE 'asymmetric' END ELSE 'unknown' END END AS symmetry, total AS windows_total, n AS windows_reliable FROM b""")
+def video_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule-based report of each user's windows."""
+    c = F.col
+    rows = ruled(spark, sf_dir).select(
+        c("user_id").cast("string").alias("source"), "start_s", "valid_pct", "float_pred", F.when(c("n") > 3, F.least(c("angle") / 60, F.lit(1.0))).alias("confidence"), c("angle").alias("trunk_angle_med"),
+        c("angle_std").alias("trunk_angle_std"), c("slope").alias("hip_y_slope"), c("arm").alias("arm_speed_l"), (c("arm") * 2).alias("arm_speed_r"), c("leg").alias("leg_speed_l"), (c("leg") / 3).alias("leg_speed_r"))
+    return report.video_reports(rows, min_valid=75.0).drop("mode", "text", "trunk_angle_deg", "trunk_variation_deg", "body_drift")

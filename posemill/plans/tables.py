@@ -203,6 +203,13 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r(c) for c in ("exact", "within_1", "mae", "pearson")})
 
 
+@query(f"""WITH {RATED}, c AS (SELECT a = b AS hit, o_totalprice / 600000 AS conf FROM rated JOIN orders USING (o_orderkey))
+SELECT least(floor(conf * 10) + 1, 10)::INT AS bin, count(*) AS n, round_even(avg(conf), 6) AS confidence, round_even(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS accuracy FROM c GROUP BY 1""")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rated(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 600000).alias("conf")), "o_orderkey")
+    return A.calibration(rows, "conf", F.col("a") == F.col("b")).withColumns({c: r(c) for c in ("confidence", "accuracy")})
+
+
 @query(f"""WITH {RATED} SELECT o_custkey, round_even(avg(a), 0)::INT AS a, round_even(avg(CASE WHEN b < 5 THEN b END), 0)::INT AS b FROM rated GROUP BY o_custkey""")
 def mean_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings as text, the highest unknown ('U')."""

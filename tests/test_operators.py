@@ -16,7 +16,7 @@ from posemill.functions import geometry as G
 from posemill.functions import scalars as X
 from posemill.functions.nulls import ensure_columns, mean_present, nan_to_null
 from posemill.operators import agreement as A
-from posemill.operators import cluster, features, feedback, joins, labels, learn, sampling, signal, stats, windows
+from posemill.operators import cluster, features, feedback, joins, labels, learn, report, sampling, signal, stats, windows
 from posemill.plans.series import synthetic_landmarks
 from posemill.sources import readers, schemas, writers
 
@@ -539,6 +539,28 @@ def test_feedback_against_a_read_profile(spark, tmp_path):
     assert feedback.issue_counts(spark.createDataFrame([("x",), ("y",), ("x",)], "feature string"), 1).first()["n"] == 2
 
 
+def test_video_reports(spark):
+    kinds = "source string, start_s double, valid_pct double, float_pred int, confidence double, trunk_angle_med double, hip_y_slope double"
+    rows = [("good", 1.5 * i, 90.0, 2 if i not in (0, 9) else 0, 0.9, 10.0, 0.06) for i in range(10)] + [("poor", 1.5 * i, 90.0 if i < 3 else 10.0, 2, 0.9, 10.0, 0.0) for i in range(8)]
+    rows += [("even", 1.5 * i, 60.0, i, 0.5, None, None) for i in range(2)] + [("none", 0.0, None, 1, None, None, None)]
+    got = {r["video"]: r for r in report.video_reports(spark.createDataFrame(rows, kinds)).collect()}
+    assert {v: r["classification"] for v, r in got.items()} == {"good": "FLOATING", "poor": "UNABLE TO ASSESS", "even": "UNCERTAIN (Not Floating)", "none": "UNABLE TO ASSESS"}
+    assert got["poor"]["reason"] == "pose visibility too low (38% of windows reliable)" and got["none"]["windows_reliable"] == 0 and got["poor"]["fraction_not"] is None
+    assert (got["good"]["fraction_floating"], got["good"]["confidence_pct"], got["good"]["posture"], got["good"]["vertical_movement"], got["good"]["arm_activity"]) == (1.0, 90.0, "horizontal", "sinking", "unknown")
+    assert got["good"]["text"].split("\n")[:5] == ["Video: good [rule-based]", "Classification: FLOATING", "Confidence: 90%", "Mix: floating 100% / almost 0% / not 0%", "Posture: horizontal (trunk 10.0°)"]
+    assert got["even"]["posture"] == "unknown" and "trunk unknown" in got["even"]["text"]
+
+
+def test_assessments(spark):
+    rng = random.Random(1)
+    rows = [(f"P{i % 4}_f.csv", 100.0 if i % 7 else 10.0, i % 4 % 3, (i % 4) + rng.gauss(0, 0.1)) for i in range(160)]
+    df = spark.createDataFrame(rows, "source string, valid_pct double, y int, a double")
+    models = {"trunk": learn.fitted(df, "y", ["a"], learn.challengers()["tree"]), "other": learn.fitted(df, "y", ["a"], learn.challengers()["softmax"])}
+    got = {r["source"]: r for r in report.assessments(df, models).collect()}
+    assert {s: (r["trunk"], r["trunk_label"]) for s, r in got.items()} == {"P0_f.csv": (0, "vertical"), "P1_f.csv": (1, "diagonal"), "P2_f.csv": (2, "horizontal"), "P3_f.csv": (0, "vertical")}
+    assert sum(r["n_windows"] for r in got.values()) == sum(x[1] > 60 for x in rows) and all(0 < r["trunk_conf"] <= 1 and r["other_label"] == str(r["other"]) for r in got.values())
+
+
 def test_files_of_two_generations(spark, tmp_path):
     (tmp_path / "P01_features.csv").write_text("video_id,start_s,end_s,torso_valid_pct,hip_y_med\nv,0.0,3.0,80,0.5\n")
     (tmp_path / "P02_features.csv").write_text("end_s,start_s,valid_pct,hip_depth_med,video_id\n3.0,0.0,90,1.5,w\n")

@@ -24,6 +24,19 @@ def all_visible(*confidences: Column, least: float = MIN_VISIBILITY) -> Column:
     return out
 
 
+#: Fixed values of the earlier feature set: the joints whose visibility makes a frame valid, and their least confidence.
+BODY_JOINTS = ("left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle")
+LEGACY_VISIBILITY = 0.35
+
+
+def frame_validity(*confidences: Column, least: float = LEGACY_VISIBILITY) -> dict[str, Column]:
+    """valid: the share of joints that are visible; pose_conf: their mean confidence. Without a detection both are 0."""
+    seen, sure = F.lit(0.0), F.lit(0.0)
+    for c in confidences:
+        seen, sure = seen + visible(c, least).cast("double"), sure + F.coalesce(c, F.lit(0.0))
+    return {"valid": seen / len(confidences), "pose_conf": sure / len(confidences)}
+
+
 def corrected_x(x: Column, aspect: float = ASPECT) -> Column:
     """x in the units of y."""
     return x * F.lit(aspect)

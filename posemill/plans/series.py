@@ -11,6 +11,7 @@ from posemill.functions import scalars as X
 from posemill.operators import features as feature_ops
 from posemill.operators import cluster, feedback, joins, report, signal, stats, windows
 from posemill.plans.base import FEATURES, FRAMES, HOPPED, features, frames, hopped, mean_of, query, r, read
+from posemill.sources.writers import written_once
 
 
 @query(f"""WITH {HOPPED}
@@ -143,7 +144,8 @@ RULES = FEATURES + f""", e AS (
 
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(spark, sf_dir).withColumn("effort", X.effort(F.col("arm"), F.col("leg")))
+    # Read twice: for the threshold, and for the rows.
+    rows = written_once(features(spark, sf_dir), "features").withColumn("effort", X.effort(F.col("arm"), F.col("leg")))
     sealed = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     pooled = stats.exact_percentiles(joins.non_members(rows, sealed, "user_id"), {"effort": F.col("effort")}, [0.5])["effort"][0]
     rows = rows.withColumn("thr", F.lit(4.0 if pooled is None else pooled))

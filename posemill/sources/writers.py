@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def write_by_view(df: DataFrame, path: str, view: str = "view") -> None:
     df.write.mode("overwrite").partitionBy(view).parquet(path)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that the session names for checkpoints, for what several jobs read; df itself where it
+    names none."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder}/posemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clip_manifest_json(df: DataFrame, order: list[str]) -> DataFrame:
     """One row: the clips as a JSON array for an annotation page. The chosen clips are few by construction."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row")))), lambda r: r["row"])

@@ -73,6 +73,11 @@ def test_head(spark):
     assert one(spark, G.submerged(F.lit(2.0), F.lit(1.0)), G.submerged(F.lit(1.0), F.lit(1.0)), G.submerged(F.lit(None).cast("double"), F.lit(1.0))) == (1.0, 0.0, None)
 
 
+def test_frame_validity(spark):
+    given = G.frame_validity(*[F.lit(c).cast("double") for c in (0.36, 0.35, None, 1.0, 0.0, 0.5, 0.5, 0.09)])
+    assert len(G.BODY_JOINTS) == 8 and one(spark, given["valid"], given["pose_conf"]) == (0.5, pytest.approx(0.35))
+
+
 def test_stillness_without_legs(spark):
     none = F.lit(None).cast("double")
     still = lambda arm, leg: G.coaching_factors(none, none, none, arm, leg)["stillness"]

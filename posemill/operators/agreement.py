@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posemill.functions.nulls import to_number
+
 
 def pair_counts(df: DataFrame, true: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     rows = df.filter(F.col(true).isNotNull() & F.col(predicted).isNotNull())
@@ -98,4 +100,4 @@ def calibration(df: DataFrame, confidence: str, correct: Column, bins: int = 10)
 
 def mean_rating(df: DataFrame, keys: list[str], criteria: list[str]) -> DataFrame:
     """The mean rating of each criterion, rounded half to even; what is no number counts as missing."""
-    return df.groupBy(*keys).agg(*[F.bround(F.avg(F.col(c).try_cast("double")), 0).cast("int").alias(c) for c in criteria])
+    return df.groupBy(*keys).agg(*[F.bround(F.avg(to_number(F.col(c))), 0).cast("int").alias(c) for c in criteria])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posemill.functions.geometry import window_center
 from posemill.functions.scalars import confidence_weight, floating_outcome
 from posemill.operators.joins import inside_or_all
 
@@ -28,7 +29,7 @@ def expert_labels(expert: DataFrame, windows: DataFrame, first: float = 30.0, la
     windows if none does. expert: participant, floating_outcome, window_start, window_end (NULL: the usual stretch)."""
     rated = expert.filter(F.col("floating_outcome").isNotNull()).select("participant", "floating_outcome", F.coalesce("window_start", F.lit(first)).alias("_a"), F.coalesce("window_end", F.lit(last)).alias("_b"))
     joined = windows.join(rated, "participant")
-    centre = (F.col("start_s") + F.col("end_s")) / 2
+    centre = window_center(F.col("start_s"), F.col("end_s"))
     chosen = inside_or_all(joined, ["participant"], (centre >= F.col("_a")) & (centre < F.col("_b")))
     return chosen.select("source", "participant", F.col("start_s").cast("int").alias("seg_id"), "start_s", "end_s", "floating_outcome",
                          F.lit("expert").alias("label_source"), F.lit(EXPERT_WEIGHT).alias("sample_weight"), F.lit(0).alias("exclude"))

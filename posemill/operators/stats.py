@@ -35,7 +35,7 @@ def median_of(values: Column) -> Column:
     return F.transform(F.array(F.array_sort(values)), middle)[0]
 
 
-def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float], held: int = 1_000_000) -> dict[str, list[float | None]]:
+def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float], held: int = 100_000) -> dict[str, list[float | None]]:
     """Exact interpolated percentiles of whole columns, at any size: for each name those at shares (None without values).
 
     Spark's exact percentile keeps all distinct values in one task. Here, as long as more than `held` values lie between

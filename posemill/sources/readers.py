@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posemill.functions.geometry import window_center
 from posemill.functions.nulls import ensure_columns, nan_to_null
 from posemill.functions.scalars import file_name, manifest_participant, manifest_trial, manifest_view, participant_id
 from posemill.sources import schemas
@@ -61,7 +62,7 @@ def read_features(spark: SparkSession, paths: str | list[str], min_valid: float
     rows = ensure_columns(rows, {"valid_pct": "double"}, schemas.ALIASES)
     if "torso_valid_pct" in rows.columns:
         rows = rows.withColumn("valid_pct", F.coalesce("valid_pct", "torso_valid_pct"))
-    rows = rows.withColumns({"participant": participant_id(F.col("source")), "win_center": (F.col("start_s") + F.col("end_s")) / 2})
+    rows = rows.withColumns({"participant": participant_id(F.col("source")), "win_center": window_center(F.col("start_s"), F.col("end_s"))})
     return rows if min_valid is None else rows.filter(F.col("valid_pct") >= min_valid)
 
 
@@ -73,12 +74,17 @@ def read_profile(spark: SparkSession, path: str, schema: str = "well_cluster int
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def _listed(sealed: DataFrame) -> DataFrame:
+    """Participants under the ids that readers give, however the list writes them (P7, p007)."""
+    return sealed.select(participant_id(F.col("participant")).alias("participant"))
+
+
 def without_participants(df: DataFrame, sealed: DataFrame) -> DataFrame:
-    return df.join(sealed.select("participant"), "participant", "left_anti")
+    return df.join(_listed(sealed), "participant", "left_anti")
 
 
 def only_participants(df: DataFrame, sealed: DataFrame) -> DataFrame:
-    return df.join(sealed.select("participant"), "participant", "left_semi")
+    return df.join(_listed(sealed), "participant", "left_semi")
 
 
 def name_excludes(path: Column, *parts: str) -> Column:

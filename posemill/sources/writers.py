@@ -43,8 +43,3 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 20
     """bin (1 to bins; the last is closed) and n: the counts behind a histogram."""
     place = F.when(F.col(value) == high, F.lit(bins)).otherwise(F.floor((F.col(value) - low) / ((high - low) / bins)).cast("int") + 1)
     return df.filter((F.col(value) >= low) & (F.col(value) <= high)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def report_text(label: str, pattern: str, *columns: str):
-    """A line of a text report."""
-    return F.concat(F.lit(label), F.lit(": "), F.format_string(pattern, *[F.col(c) for c in columns]))

@@ -576,6 +576,19 @@ def test_files_of_two_generations(spark, tmp_path):
         readers.read_features(spark, str(tmp_path / "none*.csv"))
 
 
+def test_landmark_files_and_sealed_participants(spark, tmp_path):
+    frames = synthetic_landmarks(spark, "/root/testdata/sf0.001").filter("user_id IN (1, 2)").withColumnRenamed("user_id", "frame")
+    full = frames.select(*[c if c in frames.columns else F.lit(float("nan")).alias(c) for c in (x.split(" ")[0] for x in schemas.FRAMES.split(", "))])
+    writers.write_csv(full, str(tmp_path / "P01_raw.csv"))
+    read = readers.read_landmarks(spark, str(tmp_path / "P01_raw.csv"))
+    assert read.count() == full.count() and read.filter("left_ear_x IS NOT NULL").count() == 0
+    assert features.window_features(read, False).count() == features.window_features(full, False).count()
+    rows = spark.createDataFrame([("P07", "P7_Top_features.csv"), ("P08", "P8_side.csv")], "participant string, source string")
+    sealed = spark.createDataFrame([("p7",)], "participant string")
+    assert [r[0] for r in readers.without_participants(rows, sealed).collect()] == ["P08"] and [r[0] for r in readers.only_participants(rows, sealed).collect()] == ["P07"]
+    assert [r[0] for r in rows.filter(readers.name_excludes(F.col("source"), "top", "rear")).collect()] == ["P08"]
+
+
 def test_manifest_of_unreadable_files(spark):
     files = spark.createDataFrame([("/v/7 Side front.mp4",), ("/v/P3_T02_rear.mp4",)], "path string")
     probes = spark.createDataFrame([("/v/7 Side front.mp4", 29.97, 640, 360, 300)], "path string, fps double, width int, height int, frames int")

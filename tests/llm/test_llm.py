@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from posemill.llm import bpe, chat, components, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding, tokens, wordhash
+from posemill.llm import bpe, chat, common, components, fingerprint, jaccard, language, line_dedup, packing, pii, quality, sharding, tokens, wordhash
 from posemill.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -596,6 +596,17 @@ def test_runs_are_compacted_saved_and_opened(spark, tmp_path):
         assert own.unseen(hashes(spark, 45, 55)).count() == 5
 
 
+def test_written_tables_are_deleted(spark):
+    kept, gone = common.written(spark.range(3), "kept"), common.written(spark.range(3), "gone")
+    common.discard(gone)
+    assert kept.count() == 3 and not os.path.exists(gone.written_at.removeprefix("file:"))
+    jaccard.link_components(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
+    left = [n.rsplit("-", 1)[0] for n in os.listdir(f"{common.shared_dir(spark).removeprefix('file:')}/posemill")]
+    assert "packed-sets" not in left and "stars" not in left and "set-profiles" not in left
+    common.clear_written(spark)
+    assert not os.path.exists(kept.written_at.removeprefix("file:"))
+
+
 def test_a_bucket_is_one_file(spark, tmp_path):
     """In batches and merges, with every number of partitions that a stage may have."""
     docs = spark.range(0, 3000, 1, 7).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line with the number "), F.col("id") % 1700).alias("text"))

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import json
 import platform
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
-    RandomForestClassifier,
+    DecisionTreeClassificationModel, DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posemill.operators.agreement import class_scores, pair_counts, summary, weighted_kappa
+from posemill.operators.boost import Trees, boost
 from posemill.operators.joins import inside_or_all, overlapping
 from posemill.operators.stats import exact_percentiles
 
@@ -114,27 +114,45 @@ class Standard:
 
 
 class Boosted:
-    """Gradient-boosted trees, one model for each class against the rest; class shares are their normalized shares."""
+    """Gradient-boosted trees of all classes together, from the sample weights alone: classes aren't balanced.
+
+    The trees grow in one task, from at most about `most` rows: of a larger table from an even sample of that many. With
+    more than 10000 rows a held-out tenth ends the rounds early. Prediction is by batches of rows, over all rows.
+    """
 
     scaled = False
 
-    def __init__(self, depth: int = 3, rounds: int = 20):
-        self.depth, self.rounds = depth, rounds
+    def __init__(self, depth: int = 3, rounds: int = 400, rate: float = 0.08, l2: float = 1.0, most: int = 200_000):
+        self.depth, self.rounds, self.rate, self.l2, self.most = depth, rounds, rate, l2, most
         self.classes: list[int] = []
-        self.models: list = []
+        self.state = b""
 
     def fit(self, rows: DataFrame, label: str, weight: str) -> Boosted:
-        self.classes = sorted(r[0] for r in rows.select(label).distinct().collect())
-        make = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol=weight, maxDepth=self.depth, maxIter=self.rounds, seed=0, predictionCol="_q")
-        self.models = [make.fit(rows.withColumn("_y", (F.col(label) == k).cast("double"))) for k in self.classes]
+        """weight: the weight balanced over all classes; only the sample weight _s counts here, 1 without it."""
+        counts = dict(rows.groupBy(label).count().collect())  # the classes of a label
+        self.classes, n = sorted(counts), sum(counts.values())
+        place = (F.array_position(F.array(*map(F.lit, self.classes)), F.col(label)) - 1).alias("y")
+        given = rows.select(vector_to_array("_x").alias("x"), place, (F.col("_s") if "_s" in rows.columns else F.lit(1.0)).alias("w"))
+        given = given.sample(self.most / n, seed=0) if n > self.most else given
+        classes, depth, rounds, rate, l2 = len(self.classes), self.depth, self.rounds, self.rate, self.l2
+
+        def grown(part: pd.DataFrame) -> pd.DataFrame:
+            trees = boost(np.stack(part["x"].to_list()), part["y"].to_numpy(), part["w"].to_numpy(float), classes, depth, rounds, rate, l2)
+            return pd.DataFrame({"state": [trees.to_bytes()]})
+
+        self.state = bytes(given.groupBy().applyInPandas(grown, "state binary").first()[0])
         return self
 
     def shares(self, rows: DataFrame) -> DataFrame:
-        for i, model in enumerate(self.models):
-            rows = model.transform(rows).withColumn(f"_is{i}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "_q")
-        own = F.array(*[F.greatest(F.col(f"_is{i}"), F.lit(1e-9)) for i in range(len(self.models))])
-        total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
-        return rows.withColumn("proba", F.transform(own, lambda x: x / total)).drop(*[f"_is{i}" for i in range(len(self.models))])
+        state = self.state
+
+        @F.pandas_udf("array<double>")
+        def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            trees = Trees.from_bytes(state)
+            for batch in batches:
+                yield pd.Series(list(trees.shares(np.stack(batch.to_list()))) if len(batch) else [], dtype=object)
+
+        return rows.withColumn("proba", share(vector_to_array("_x")))
 
 
 _OUT = {"featuresCol": "_x", "probabilityCol": "_p", "rawPredictionCol": "_r", "predictionCol": "_q"}
@@ -310,7 +328,9 @@ def fused_views(side: Column, top: Column) -> Column:
 def freeze(spark: SparkSession, path: str, frozen: Fitted, target: str, sealed: list[str]) -> None:
     """Writes the models and, beside them, one JSON row with what is needed to apply them, and the versions used."""
     model = frozen.model
-    parts = [model.model] if isinstance(model, Standard) else model.models
+    parts = [model.model] if isinstance(model, Standard) else [] if isinstance(model, Boosted) else model.models
+    if isinstance(model, Boosted):
+        spark.createDataFrame([(bytearray(model.state),)], "state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
     for i, part in enumerate(parts):
         part.write().overwrite().save(f"{path}/model-{i}")
     meta = {"kind": type(model).__name__, "classes": model.classes, "features": frozen.features, "medians": frozen.medians, "scales": frozen.scales, "target": target, "sealed": sealed, "parts": len(parts),
@@ -324,7 +344,7 @@ def thaw(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     except AnalysisException as missing:
         raise FileNotFoundError(f"no frozen model at {path}: run freeze first") from missing
-    kinds = (DecisionTreeClassificationModel, LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel)
+    kinds = (DecisionTreeClassificationModel, LogisticRegressionModel, RandomForestClassificationModel)
 
     def load(i: int) -> object:
         told = json.loads(spark.read.text(f"{path}/model-{i}/metadata").first()[0])
@@ -333,6 +353,8 @@ def thaw(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
     model: object = {"OrdinalLogistic": OrdinalLogistic, "Boosted": Boosted}.get(meta["kind"], lambda: Standard(lambda y, w, reg: None, bool(meta["scales"])))()
     if isinstance(model, Standard):
         model.model = load(0)
+    elif isinstance(model, Boosted):
+        model.state = bytes(spark.read.parquet(f"{path}/trees").first()[0])
     else:
         model.models = [load(i) for i in range(meta["parts"])]
     model.classes = meta["classes"]

@@ -29,12 +29,11 @@ def stratified_split(df: DataFrame, unit: str, stratum: str, order: Column, trai
 def spaced_picks(df: DataFrame, group: str, at: str, score: str, most: int | None, per_group: int, spacing: float) -> DataFrame:
     """The greedy choice by descending score: at most per_group rows of a group, none closer than spacing to a chosen
     one, at most `most` rows in all. A group's choice depends on its rows alone, and the overall limit only cuts the
-    order by score, so groups are chosen apart, each in the row of its array (a group is one participant's windows). Ties:
-    the smaller group, then the smaller place."""
-    value = F.col(score)
-    known = value.isNotNull() & ~F.isnan(value.cast("double"))
-    row = F.struct((-value).alias("s"), F.col(at).alias("a"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    rows = df.filter(known).groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    order by score, so groups are chosen apart, each in the row of its array (a group is one participant's windows). Rows
+    without a score (NULL, NaN) come last. Ties: the smaller group, then the smaller place."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    row = F.struct(value.isNull().alias("m"), (-value).alias("s"), F.col(at).alias("a"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    rows = df.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     none = F.filter("_rows", lambda r: F.lit(False))
 
     def add(kept: Column, r: Column) -> Column:
@@ -44,7 +43,7 @@ def spaced_picks(df: DataFrame, group: str, at: str, score: str, most: int | Non
     picked = rows.select(F.explode(F.aggregate("_rows", none, add)).alias("_r")).select("_r.row.*")
     if most is None:
         return picked
-    return picked.orderBy(F.desc(score), group, at).limit(most)
+    return picked.orderBy(value.desc_nulls_last(), group, at).limit(most)
 
 
 def round_robin_picks(df: DataFrame, cluster: str, group: str, at: str, order: str, most: int, per_group: int, spacing: float) -> DataFrame:
@@ -108,7 +107,8 @@ def weighted_score(parts: dict[str, float]) -> Column:
 
 def second_round(scored: DataFrame, reviewed: DataFrame, group: str, at: str, score: str, minority: int, unlabelled: int, per_group: int, spacing: float, each: int | None = None,
                  labelled: DataFrame | None = None) -> DataFrame:
-    """The clips of a second round with seg_id (the whole part of their place) and reason. First the greedy choice by
+    """The clips of a second round with seg_id (the whole part of their place; of reviewed rows their own, if they have
+    one) and reason. First the greedy choice by
     score ("minority"), cut to its number; then, for groups without labels in natural order, up to `each` (per_group)
     clips at even distances, one after another, that keep away from those chosen before in their group ("unlabeled"),
     cut to their number; then all reviewed rows again ("rereview"). Of clips with equal group, seg_id and reason the
@@ -132,6 +132,7 @@ def second_round(scored: DataFrame, reviewed: DataFrame, group: str, at: str, sc
     none = F.filter(F.transform("_rows", lambda r: r["row"]), lambda r: F.lit(False))
     free = own.select(F.explode(F.aggregate("_rows", F.struct(taken.alias("taken"), none.alias("kept")), add)["kept"]).alias("r")).select("r.*")
     second = free.orderBy(natural_key(F.col(group).cast("string")), group, at).limit(unlabelled).withColumn("reason", F.lit("unlabeled"))
-    every = first.unionByName(second).unionByName(reviewed.withColumn("reason", F.lit("rereview")), allowMissingColumns=True)
-    every = every.withColumn("seg_id", F.col(at).cast("int"))
+    whole = F.col(at).cast("int")
+    again = reviewed.withColumns({"reason": F.lit("rereview"), "seg_id": F.coalesce(F.col("seg_id").cast("int"), whole) if "seg_id" in reviewed.columns else whole})
+    every = first.unionByName(second).withColumn("seg_id", whole).unionByName(again, allowMissingColumns=True)
     return every.withColumn("_i", F.row_number().over(W.partitionBy(group, "seg_id", "reason").orderBy(F.desc(score), at))).filter("_i = 1").drop("_i")

@@ -495,9 +495,9 @@ _EVEN = "list_transform(range(least(3, n)), lambda j: CASE WHEN least(3, n) > 1
 
 
 @query(f"""WITH {FEATURES}, r AS (SELECT user_id, start_s, slope AS score FROM features), reviewed AS (SELECT r.* FROM r WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')),
-a AS (SELECT * FROM r WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, start_s) = 1),
-b AS (SELECT r.* FROM r JOIN a USING (user_id) WHERE r.score IS NOT NULL AND abs(r.start_s - a.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
-c AS (SELECT r.* FROM r JOIN a USING (user_id) JOIN b USING (user_id) WHERE r.score IS NOT NULL AND abs(r.start_s - a.start_s) >= 72 AND abs(r.start_s - b.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, start_s) = 1),
+b AS (SELECT r.* FROM r JOIN a USING (user_id) WHERE abs(r.start_s - a.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
+c AS (SELECT r.* FROM r JOIN a USING (user_id) JOIN b USING (user_id) WHERE abs(r.start_s - a.start_s) >= 72 AND abs(r.start_s - b.start_s) >= 72 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.score DESC, r.start_s) = 1),
 minority AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY score DESC, user_id, start_s LIMIT 40),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_s) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE user_id NOT IN (SELECT user_id FROM reviewed)),
 placed AS (SELECT user_id, list([start_s] ORDER BY start_s) AS s FROM o WHERE list_contains({_EVEN}, i) GROUP BY user_id),

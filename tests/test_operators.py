@@ -17,6 +17,7 @@ from posemill.functions import scalars as X
 from posemill.functions.nulls import ensure_columns, mean_present, nan_to_null
 from posemill.operators import agreement as A
 from posemill.operators import cluster, features, feedback, joins, labels, learn, report, sampling, signal, stats, windows
+from posemill.operators.boost import Trees, boost, grow
 from posemill.plans.series import synthetic_landmarks
 from posemill.sources import readers, schemas, writers
 
@@ -238,14 +239,16 @@ def test_split_is_a_partition(spark):
 
 def test_spaced_picks_equal_the_greedy_loop(spark):
     rng = random.Random(3)
-    rows = [(f"p{rng.randint(0, 5)}", round(rng.uniform(0, 60), 1), rng.random()) for _ in range(80)] + [("p0", 0.0, None)]
-    got = sampling.spaced_picks(spark.createDataFrame(rows, "g string, at double, score double"), "g", "at", "score", 12, 3, 6.0).collect()
-    chosen: list[tuple] = []
-    for g, at, s in sorted((r for r in rows if r[2] is not None), key=lambda x: -x[2]):
-        own = [c for c in chosen if c[0] == g]
-        if len(chosen) < 12 and len(own) < 3 and all(abs(at - c[1]) >= 6 for c in own):
-            chosen.append((g, at, s))
-    assert sorted(map(tuple, got)) == sorted(chosen)
+    rows = [(f"p{rng.randint(0, 5)}", round(rng.uniform(0, 60), 1), rng.random()) for _ in range(80)] + [("p0", 0.0, None), ("p6", 50.0, float("nan")), ("p6", 9.0, None)]
+    for most in (12, 99):
+        got = sampling.spaced_picks(spark.createDataFrame(rows, "g string, at double, score double"), "g", "at", "score", most, 3, 6.0).collect()
+        chosen: list[tuple] = []
+        for g, at, s in sorted(rows, key=lambda x: (x[2] is None or x[2] != x[2], -x[2] if x[2] is not None and x[2] == x[2] else 0, x[1])):
+            own = [c for c in chosen if c[0] == g]
+            if len(chosen) < most and len(own) < 3 and all(abs(at - c[1]) >= 6 for c in own):
+                chosen.append((g, at, s))
+        assert sorted(r[:2] for r in map(tuple, got)) == sorted(c[:2] for c in chosen)
+        assert most == 12 or ("p6", 50.0) in [c[:2] for c in chosen]
 
 
 def test_round_robin(spark):
@@ -372,14 +375,14 @@ def test_learning_round_trip(spark, tmp_path):
     folds = learn.grouped_folds(df, "g", 3)
     assert folds.count() == 6 and folds.groupBy("g").count().filter("count > 1").count() == 0
     scores = {}
-    for name in ("ordinal", "softmax", "tree"):
+    for name in ("ordinal", "softmax", "tree", "boosted"):
         out = learn.out_of_fold(df, folds, "g", "y", ["a", "b"], learn.challengers()[name])
         assert out.count() == 180
         assert out.select(F.max(F.abs(F.aggregate("proba", F.lit(0.0), lambda s, x: s + x) - 1))).first()[0] < 1e-9
         scores[name] = learn.scored(out, "y")
     assert scores[learn.winner(scores)]["macro_f1"] > 0.8
     for name in ("ordinal", "softmax", "boosted", "forest"):
-        make = (lambda: learn.Boosted(rounds=3)) if name == "boosted" else learn.challengers()[name]
+        make = learn.challengers()[name]
         frozen = learn.fitted(df, "y", ["a", "b"], make)
         learn.freeze(spark, str(tmp_path / name), frozen, "y", ["p9"])
         again, meta = learn.thaw(spark, str(tmp_path / name))
@@ -390,6 +393,35 @@ def test_learning_round_trip(spark, tmp_path):
         learn.thaw(spark, str(tmp_path / "nowhere"))
 
 
+def test_trees_split_where_the_gain_is_greatest():
+    """Against every split tried one after another."""
+    rng = np.random.default_rng(1)
+    codes, slope, bend = rng.integers(0, 6, (90, 3)), rng.normal(size=90), rng.uniform(0.1, 1, 90)
+    feature, cut, step, at = grow(codes, slope, bend, 6, 1, 1.0, 20)
+
+    def worth(rows):
+        return slope[rows].sum() ** 2 / (bend[rows].sum() + 1.0)
+
+    tried = [(worth(codes[:, f] <= b) + worth(codes[:, f] > b), -f, -b) for f in range(3) for b in range(5) if 20 <= (codes[:, f] <= b).sum() <= 70]
+    assert (feature[0], cut[0]) == (-max(tried)[1], -max(tried)[2]) and set(at) == {1, 2}
+    left = codes[:, feature[0]] <= cut[0]
+    assert step[1] == pytest.approx(-slope[left].sum() / (bend[left].sum() + 1.0)) and step[2] == pytest.approx(-slope[~left].sum() / (bend[~left].sum() + 1.0))
+
+
+@pytest.mark.parametrize("n, classes", [(300, 2), (300, 3), (12_000, 3)])
+def test_boosting_learns_and_keeps(n, classes):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 3, n), np.ones(n)])
+    y = np.clip((x[:, 0] > 0).astype(int) + (x[:, 1] == 2), 0, classes - 1)
+    flipped = np.where(rng.random(n) < 0.1, rng.integers(0, classes, n), y)
+    trees = boost(x, flipped, np.ones(n), classes, 3, 120, 0.08, 1.0)
+    again = Trees.from_bytes(trees.to_bytes())
+    assert (again.shares(x).argmax(axis=1) == y).mean() > 0.9 and np.allclose(again.shares(x).sum(axis=1), 1) and np.array_equal(again.shares(x), trees.shares(x))
+    assert len(trees.feature) == 120 if n <= 10_000 else len(trees.feature) < 120
+    plain = boost(x, flipped, np.ones(n), classes, 3, 0, 0.08, 1.0)
+    assert plain.shares(x[:1])[0] == pytest.approx(np.bincount(flipped, minlength=classes) / n) or n > 10_000
+
+
 def test_each_ordinal_side_is_balanced(spark):
     """Nine rows of ten on one side: a balanced model's even share lies between the classes, not beyond them."""
     rng = random.Random(2)
@@ -464,6 +496,8 @@ def test_second_round_keeps_reasons_apart(spark):
     rows = spark.createDataFrame([("P1", 0.0, 9.0), ("P2", 3.0, 1.0), ("P2", 4.5, 2.0)], "g string, at double, score double")
     got = sampling.second_round(rows, rows.filter("g = 'P1'"), "g", "at", "score", 1, 5, 3, 6.0).collect()
     assert sorted((r["g"], r["at"], r["reason"], r["seg_id"]) for r in got) == [("P1", 0.0, "minority", 0), ("P1", 0.0, "rereview", 0), ("P2", 3.0, "unlabeled", 3)]
+    numbered = sampling.second_round(rows, rows.filter("g = 'P1'").withColumn("seg_id", F.lit(42)), "g", "at", "score", 1, 5, 3, 6.0)
+    assert [r["seg_id"] for r in numbered.filter("reason = 'rereview'").collect()] == [42]
 
 
 @pytest.mark.parametrize("key_length", [1, 4, 9])

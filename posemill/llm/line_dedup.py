@@ -26,9 +26,16 @@ MIN_KEY_CHARS = 10
 HASH = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    """The line with blanks stripped at both ends and A-Z (no other letters) in lower case."""
-    bare = F.btrim(line, F.lit(BLANKS))
+def bare_line(line: Column) -> Column:
+    """The line with blanks stripped at both ends. Most have none there, and two looks at bytes cost less than a strip."""
+    edge = F.lit(False)
+    for blank in BLANKS:
+        edge = edge | F.startswith(line, F.lit(blank)) | F.endswith(line, F.lit(blank))
+    return F.when(edge, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def folded(bare: Column) -> Column:
+    """A-Z (no other letters) in lower case."""
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
@@ -130,15 +137,13 @@ class LineRuns:
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
     """owner, text_hash, pos, h1, h2: the lines of docs whose key is long enough to count."""
-    key = line_key(F.col("line"))
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("owner"), F.xxhash64("text").alias("text_hash"),
-        F.posexplode(text_lines(F.col("text"))).alias("pos", "line"),
-    )
-    rows = rows.filter(F.octet_length("line") >= MIN_KEY_CHARS).select("owner", "text_hash", "pos", key.alias("key"))
-    return rows.filter(F.char_length("key") >= MIN_KEY_CHARS).select(
-        "owner", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")
-    )
+    # Hashed and split below the explode: beside it, the whole text would go along and be hashed for each of its lines. A
+    # text has at least one line, so the outer form adds no row; the inner one would split again to filter.
+    held = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("owner"), F.xxhash64("text").alias("text_hash"), text_lines(F.col("text")).alias("lines"))
+    rows = held.select("owner", "text_hash", F.posexplode_outer("lines").alias("pos", "line"))
+    rows = rows.filter(F.octet_length("line") >= MIN_KEY_CHARS).select("owner", "text_hash", "pos", bare_line(F.col("line")).alias("bare"))
+    key = folded(F.col("bare"))  # as many characters as the bare line
+    return rows.filter(F.char_length("bare") >= MIN_KEY_CHARS).select("owner", "text_hash", "pos", F.xxhash64(key).alias("h1"), F.hash(key).alias("h2"))
 
 
 def batch_drops(docs: DataFrame, state: LineRuns, last: bool = False) -> DataFrame:

@@ -572,6 +572,15 @@ def test_gram_counts_by_hand():
 # --- 10 lines
 
 
+def test_line_keys_equal_plain_python(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("aZ\u00c9\u0130 \t\x0b\x0c\r\u00a0\u2003") for _ in range(rng.randrange(9))) for _ in range(500)]
+    fold = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
+    bare = line_dedup.bare_line(F.col("l"))
+    for row in spark.createDataFrame([(x,) for x in lines], "l string").select("l", bare.alias("b"), line_dedup.folded(bare).alias("k")).collect():
+        assert (row["b"], row["k"]) == (row["l"].strip(line_dedup.BLANKS), row["l"].strip(line_dedup.BLANKS).translate(fold))
+
+
 def test_lines_with_odd_rows(odd, empty, spark):
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(empty).count() == 0
     texts = {1: "A long enough line\nshort\nunique line number one", 2: " a LONG enough line\t\nshort\n", 3: "x\na long enough line\na long enough line\ny\nunique line number one\nz", 4: "twice in one doc\ntwice in one doc"}

@@ -33,6 +33,11 @@ def r(column: Column | str, digits: int = 6) -> Column:
     return F.bround(column, digits)
 
 
+def scaled(column: Column, digits: int) -> Column:
+    """Rounded half to even after scaling, as the SQL's round_even does: 28.349999999999998 counts as 28.35."""
+    return F.rint(column * 10.0**digits) / 10.0**digits
+
+
 def mean_of(column: Column, digits: int = 6) -> Column:
     """A rounded mean. Means of short decimals can lie just between two results, where engines differ; a billionth more
     takes them off that place."""

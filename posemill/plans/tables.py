@@ -10,7 +10,7 @@ from posemill.functions.nulls import nan_to_null
 from posemill.operators import agreement as A
 from posemill.operators import cluster as C
 from posemill.operators import joins, labels, learn, sampling, stats, windows
-from posemill.plans.base import FEATURES, FRAMES, features, frames, mean_of, query, r, read
+from posemill.plans.base import FEATURES, FRAMES, features, frames, mean_of, query, r, read, scaled
 from posemill.plans.series import RULES, ruled
 from posemill.sources import readers, writers
 
@@ -368,7 +368,7 @@ def manifest_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("key", F.concat_ws("#", "path", k))
     probes = rows.select(F.col("key").alias("path"), F.when(F.col("lang") != "en", 25 + k % 10 / 7).otherwise(0.0).alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"),
                          F.when(F.col("lang").isNotNull(), F.col("n_chars")).otherwise(0).alias("frames"))
-    return readers.manifest(rows.select(F.col("key").alias("path"), "text"), "path", "text", probes).withColumns(
+    return readers.manifest(rows.select(F.col("key").alias("path"), "text"), "path", "text", probes, rounded=scaled).withColumns(
         {c: F.regexp_replace(c, r"#\d+$", "") for c in ("filename",)})
 
 

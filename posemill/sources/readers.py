@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,10 +102,12 @@ def video_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*VIDEO_SUFFIXES))
 
 
-def manifest(files: DataFrame, path: str = "path", content: str | None = None, probes: DataFrame | None = None, exercise: str = "back_float") -> DataFrame:
+def manifest(files: DataFrame, path: str = "path", content: str | None = None, probes: DataFrame | None = None, exercise: str = "back_float",
+             rounded: Callable[[Column, int], Column] = F.bround) -> DataFrame:
     """The manifest's row of each file: ids from its name, what a probe of the video says, readable (it has frames and a
     duration) and sha256 of the content column. probes: path, fps, width, height, frames, one row a file, as a codec
-    gives them; a file without one, or with NULLs, counts as 0."""
+    gives them; a file without one, or with NULLs, counts as 0. rounded: how fps and duration are rounded to so
+    many digits."""
     name = file_name(F.col(path))
     pid, trial, view = manifest_participant(name), manifest_trial(name), manifest_view(name)
     rows = files
@@ -114,10 +117,10 @@ def manifest(files: DataFrame, path: str = "path", content: str | None = None, p
         told = probes.select(F.col("path").alias(path), *[F.col(c).alias(f"_{c}") for c in ("fps", "width", "height", "frames")])
         rows = rows.join(told, path, "left")
     fps, frames = F.coalesce(F.col("_fps").cast("double"), F.lit(0.0)), F.coalesce(F.col("_frames").cast("int"), F.lit(0))
-    seconds = F.when(fps > 0, F.bround(frames / fps, 1)).otherwise(0.0)
+    seconds = F.when(fps > 0, rounded(frames / fps, 1)).otherwise(0.0)
     return rows.select(
         F.concat_ws("_", pid, trial, view).alias("video_id"), pid.alias("participant_id"), trial.alias("trial_id"), view.alias("view"), name.alias("filename"),
-        F.bround(fps, 2).alias("fps"), seconds.alias("duration_s"), *[F.coalesce(F.col(f"_{c}").cast("int"), F.lit(0)).alias(c) for c in ("width", "height")], frames.alias("frames"),
+        rounded(fps, 2).alias("fps"), seconds.alias("duration_s"), *[F.coalesce(F.col(f"_{c}").cast("int"), F.lit(0)).alias(c) for c in ("width", "height")], frames.alias("frames"),
         F.lit(exercise).alias("exercise"), ((frames > 0) & (seconds > 0)).alias("readable"), (F.sha2(F.col(content).cast("binary"), 256) if content else F.lit(None).cast("string")).alias("sha256"))
 
 

@@ -42,6 +42,18 @@ def test_gives_rows(name, spark):
     assert len(catalog.QUERIES[name](spark, SF).limit(5).toPandas())
 
 
+def test_manifest_rounds_as_its_sql(spark, tmp_path):
+    """729 frames at 25 + 5 / 7 a second last 28.349999999999998 seconds, which the SQL rounds to 28.4."""
+    docs = spark.range(5, 40005).selectExpr("id AS doc_id", "'t' AS text", "'de' AS lang", "'s' AS source", "724 + id AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = normal(con.sql(catalog.ORACLE["manifest_qc"]).df())
+    got = catalog.QUERIES["manifest_qc"](spark, str(tmp_path))
+    assert got.filter("video_id = 'V05_T01_top'").first()["duration_s"] == 28.4
+    pd.testing.assert_frame_equal(normal(got.toPandas()), want)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

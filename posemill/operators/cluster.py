@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,18 +50,83 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Distances that are held at once in a task, and rows of a block that meet those of another.
+_TILE, _BLOCK = 1 << 18, 8192
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean, of each row of x and of y: by dot products around the middle of y, and once more by differences where
+    these lose digits (vectors far closer to each other than to the middle, or not finite)."""
+    with np.errstate(all="ignore"):
+        middle = np.nan_to_num(y.mean(axis=0), posinf=0.0, neginf=0.0)
+        u, w = x - middle, y - middle
+        scale = np.einsum("ij,ij->i", u, u)[:, None] + np.einsum("ij,ij->i", w, w)
+        squares = scale - 2 * (u @ w.T)
+        rows, columns = np.nonzero(~((squares > 1e-3 * scale) & (squares < np.inf)))
+        step = max(1, _TILE // max(1, x.shape[1]))
+        for a in range(0, len(rows), step):
+            r, c = rows[a : a + step], columns[a : a + step]
+            gaps = x[r] - y[c]
+            squares[r, c] = np.einsum("ij,ij->i", gaps, gaps)
+        return np.sqrt(squares)
+
+
+def _met(cell: pa.Table) -> pa.Table:
+    """i, c, oc, d, m: each row of a cell's two blocks with the sum of its distances to the other block's rows of cluster
+    oc, and their number. Where both are the same block, rows of one key don't meet."""
+    cell = cell.combine_chunks()
+    vectors = cell["v"].chunk(0)
+    lengths = np.unique(pc.list_value_length(vectors).to_numpy())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
+    points = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cell), lengths[0])
+    codes, keys = (cell[name].chunk(0).dictionary_encode().indices.to_numpy() for name in ("c", "i"))
+    low, alone = cell["low"].to_numpy(), cell["lo"][0] == cell["hi"][0]
+    first, second = (np.flatnonzero(side)[np.argsort(codes[side], kind="stable")] for side in (low, low if alone else ~low))
+    kinds, starts, sizes = np.unique(codes[second], return_index=True, return_counts=True)
+    mine, at, own = np.unique(codes[first], return_index=True, return_counts=True)
+    there, back = np.zeros((len(first), len(kinds))), np.zeros((len(mine), len(second)))
+    met = np.tile(sizes, (len(first), 1))
+    step = max(1, _TILE // max(1, len(second)))
+    for a in range(0, len(first) if len(second) else 0, step):
+        rows = first[a : a + step]
+        far = distances(points[rows], points[second])
+        if alone:
+            same = keys[rows][:, None] == keys[second]
+            far[same] = 0.0
+            met[a : a + step] -= np.add.reduceat(same, starts, axis=1, dtype=int)
+        else:
+            held, begins = np.unique(codes[rows], return_index=True)
+            back[np.searchsorted(mine, held)] += np.add.reduceat(far, begins, axis=0)
+        there[a : a + step] = np.add.reduceat(far, starts, axis=1)
+    parts = [(first, second[starts], there, met)]
+    if not alone:
+        parts.append((second, first[at], back.T, np.tile(own, (len(second), 1))))
+    found = []
+    for rows, others, sums, counts in parts:
+        taken = cell.select(["i", "c"]).take(np.repeat(rows, len(others)))
+        oc = cell["c"].take(np.tile(others, len(rows)))
+        found.append(pa.table([*taken.columns, oc, sums.ravel(), counts.ravel()], ["i", "c", "oc", "d", "m"]))
+    return pa.concat_tables(found)
+
+
 def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int | None = None) -> DataFrame:
-    """key, cluster, silhouette with Euclidean distance; 0 for a cluster of one.
+    """key, cluster, silhouette with Euclidean distance; 0 for a cluster of one, and without key, cluster or vector.
 
-    Quadratic by definition: each row against all others, in blocks of rows, so that a pair never is a row by itself.
-    block: how many; None: about a thousand rows in each, at any size.
+    Quadratic by definition: each row against all others. Rows are dealt into blocks, and each two blocks meet once, in a
+    task that returns sums by row and cluster, so that a pair never is a row by itself. Vectors are sent to as many places
+    as there are blocks. block: how many; None: of 8192 rows, but up to eight for fewer rows.
     """
-    block = block or max(1, -(-df.count() // 1000))
-    points = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = points.groupBy(F.pmod(F.xxhash64("i"), F.lit(block)).alias("b"), F.col("c").alias("oc")).agg(F.collect_list(F.struct("i", "v")).alias("others"))
-    own = points.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
-    away = F.aggregate("others", F.lit(0.0), lambda s, o: s + F.when(o["i"] == F.col("i"), 0.0).otherwise(distance(F.col("v"), o["v"])))
-    met = own.join(blocks, "b").select("i", "c", "oc", away.alias("d"), F.size(F.filter("others", lambda o: o["i"] != F.col("i"))).alias("m"))
+    if block is None:
+        rows = df.count()
+        block = max(-(-rows // _BLOCK), min(8, -(-rows // 256)), 1)
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    points = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.col(vector).cast(kind).alias("v"))
+    dealt = points.dropna().withColumn("b", F.pmod(F.xxhash64("i"), F.lit(block)).cast("int"))
+    sent = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    sent = sent.select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") <= F.col("o")).alias("low"), "i", "c", "v")
+    kept = points.select("i", "c", F.col("c").alias("oc"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("m"))  # also those that meet none
+    met = sent.groupBy("lo", "hi").applyInArrow(_met, kept.schema).unionByName(kept)
     means = met.groupBy("i", "c", "oc").agg(F.try_divide(F.sum("d"), F.sum("m")).alias("m"))
     sides = means.groupBy("i", "c").agg(F.max(F.when(F.col("oc") == F.col("c"), F.col("m"))).alias("a"), F.min(F.when(F.col("oc") != F.col("c"), F.col("m"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))

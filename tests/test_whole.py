@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,59 @@ def test_best_k_scores_all_rows(spark, monkeypatch):
     assert scored == [2400] * 3
 
 
+def silhouettes(spark, at, rows):
+    """By the registered query and by its SQL."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{at}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{at}/embeddings.parquet/*.parquet')")
+        want = con.sql(catalog.ORACLE["silhouette_euclid"]).fetchall()
+    order = lambda found: sorted(map(tuple, found), key=str)
+    began = time.time()
+    return order(catalog.QUERIES["silhouette_euclid"](spark, str(at)).collect()), order(want), time.time() - began
+
+
+def test_silhouette_of_some_thousand_vectors(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(i % 5 / 3, 1) for _ in range(64)], i % 5) for i in range(6000)]
+    got, want, seconds = silhouettes(spark, tmp_path, rows)
+    assert got == want and seconds < 25
+
+
+def test_silhouette_of_awkward_rows(spark, tmp_path):
+    """Copies, vectors far closer to each other than to the others, a cluster of one, and rows without a key, label or vector."""
+    rng = random.Random(8)
+    rows = [(i, [1e6 * (i % 3) + rng.randrange(4) for _ in range(5)], i % 3) for i in range(900)]
+    rows += [(900 + i, [0.125 + i % 2 / 1024] * 5, 3) for i in range(100)] + [(1000, [7.0] * 5, 4), (None, [5.0] * 5, 1), (1002, [3.0] * 5, None), (1003, None, 2)]
+    got, want, _ = silhouettes(spark, tmp_path, rows)
+    assert len(got) == 1004 and got == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 40])
+def test_silhouette_in_any_blocks(spark, block):
+    """Keys and clusters of text; two rows of one key don't meet."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(60, 3))
+    rows = [(f"k{i // 2 if i < 4 else i}", "ab"[i % 3 == 0] if i >= 4 else "a", points[i].tolist()) for i in range(60)]
+    got = {r["k"]: r["silhouette"] for r in cluster.silhouette(spark.createDataFrame(rows, "k string, c string, v array<double>"), "k", "c", "v", block).collect()}
+    far = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2))
+    for k in got:
+        own, mean = [i for i in range(60) if rows[i][0] == k], {}
+        for c in "ab":
+            mean[c] = np.mean([far[i, j] for i in own for j in range(60) if rows[j][1] == c and rows[j][0] != k])
+        a, b = (mean[c] for c in ("ab" if rows[own[0]][1] == "a" else "ba"))
+        assert got[k] == pytest.approx((b - a) / max(a, b), abs=1e-12)
+    assert len(got) == 58
+
+
+def test_distances_keep_their_digits():
+    """Beside the plain differences: vectors close together and far from the middle, copies, and values that are not finite."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(40, 16)), 1e8 + rng.normal(size=(40, 16)) * 1e-3, np.full((2, 16), np.inf), np.full((1, 16), np.nan)])
+    with np.errstate(invalid="ignore"):
+        plain = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    np.testing.assert_allclose(cluster.distances(x, x), plain, rtol=1e-11)
+
+
 def test_searches_are_as_long_as_the_reference_s(spark, monkeypatch):
     seeds, make = [], cluster.KMeans
     monkeypatch.setattr(cluster, "KMeans", lambda **named: seeds.append(named["seed"]) or make(**named))

@@ -364,12 +364,10 @@ def manifest_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = (F.when(k % 4 == 0, F.concat(F.lit("P"), k, F.lit("_T"), k % 7, F.lit("_side_front"))).when(k % 4 == 1, F.concat(k, F.lit(" Side top")))
             .when(k % 4 == 2, F.concat(F.lit("p0"), k, F.lit(" rear T"), k % 13)).otherwise("x side front"))
     docs = read(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/data/"), "source", F.lit("/"), name, F.lit(".mp4")))
-    # A probe for each row; names may repeat, so rows keep their number.
-    rows = docs.withColumn("key", F.concat_ws("#", "path", k))
-    probes = rows.select(F.col("key").alias("path"), F.when(F.col("lang") != "en", 25 + k % 10 / 7).otherwise(0.0).alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"),
-                         F.when(F.col("lang").isNotNull(), F.col("n_chars")).otherwise(0).alias("frames"))
-    return readers.manifest(rows.select(F.col("key").alias("path"), "text"), "path", "text", probes, rounded=scaled).withColumns(
-        {c: F.regexp_replace(c, r"#\d+$", "") for c in ("filename",)})
+    # Names may repeat, so each row brings its probe along.
+    rows = docs.select("path", "text", F.when(F.col("lang") != "en", 25 + k % 10 / 7).otherwise(0.0).alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+                       F.when(F.col("lang").isNotNull(), F.col("n_chars")).otherwise(0).alias("frames"))
+    return readers.manifest(rows, "path", "text", ["fps", "width", "height", "frames"], rounded=scaled)
 
 
 @query("""SELECT sha256(text) AS sha256, count(*) AS n, string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id) AS names FROM documents GROUP BY 1 HAVING count(*) > 1""")

@@ -102,17 +102,19 @@ def video_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*VIDEO_SUFFIXES))
 
 
-def manifest(files: DataFrame, path: str = "path", content: str | None = None, probes: DataFrame | None = None, exercise: str = "back_float",
+def manifest(files: DataFrame, path: str = "path", content: str | None = None, probes: DataFrame | list[str] | None = None, exercise: str = "back_float",
              rounded: Callable[[Column, int], Column] = F.bround) -> DataFrame:
     """The manifest's row of each file: ids from its name, what a probe of the video says, readable (it has frames and a
     duration) and sha256 of the content column. probes: path, fps, width, height, frames, one row a file, as a codec
-    gives them; a file without one, or with NULLs, counts as 0. rounded: how fps and duration are rounded to so
-    many digits."""
+    gives them; or the four columns of files that hold them already, where paths may repeat. A file without one, or with
+    NULLs, counts as 0. rounded: how fps and duration are rounded to so many digits."""
     name = file_name(F.col(path))
     pid, trial, view = manifest_participant(name), manifest_trial(name), manifest_view(name)
     rows = files
     if probes is None:
         rows = rows.withColumns({f"_{c}": F.lit(0) for c in ("fps", "width", "height", "frames")})
+    elif isinstance(probes, list):
+        rows = rows.withColumns({f"_{c}": F.col(own) for c, own in zip(("fps", "width", "height", "frames"), probes, strict=True)})
     else:
         told = probes.select(F.col("path").alias(path), *[F.col(c).alias(f"_{c}") for c in ("fps", "width", "height", "frames")])
         rows = rows.join(told, path, "left")

@@ -54,6 +54,17 @@ def test_manifest_rounds_as_its_sql(spark, tmp_path):
     pd.testing.assert_frame_equal(normal(got.toPandas()), want)
 
 
+def test_manifest_of_awkward_rows(spark, tmp_path):
+    """A number twice, and rows without a source, text, language, length or number."""
+    rows = [(6, "f", "de", "s", 100), (6, "g", "de", "s", 200), (6, "g", "de", "s", 200), (2, "b", "de", None, 100), (3, None, "fr", "s", 100), (4, "d", None, "s", 100),
+            (5, "e", "de", "s", None), (None, "n", "de", "s", 5), (9, "", "en", "a/b#1", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = normal(con.sql(catalog.ORACLE["manifest_qc"]).df())
+    pd.testing.assert_frame_equal(normal(catalog.QUERIES["manifest_qc"](spark, str(tmp_path)).toPandas()), want)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
